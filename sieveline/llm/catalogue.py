@@ -1,11 +1,13 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
-from sieveline.llm import exact_dedup, mixing, sharding
+from sieveline.llm import decontaminate, exact_dedup, mixing, quality, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_extendible_sharding": sharding.op4_extendible_sharding,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op7_quality": quality.op7_quality,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,

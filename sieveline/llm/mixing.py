@@ -150,13 +150,13 @@ f AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(
 g AS (SELECT *, cap * left_weight <= left_over * weight AS capped FROM f),
 l AS (SELECT max_by(left_over, left_weight) AS lo, max(left_weight) AS lw FROM g WHERE NOT capped),
 t AS (SELECT source, source_size, cls, CASE WHEN capped THEN cap::DOUBLE ELSE weight * lo / lw END AS target FROM g LEFT JOIN l ON true),
-a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM d),
+a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run0 FROM d),
 j AS (SELECT a.*, t.source_size, t.target, t.cls, round(t.target)::BIGINT AS goal,
              CASE WHEN t.source_size > 0 THEN round(t.target)::BIGINT // t.source_size ELSE 0 END AS passes
       FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, greatest(0, least(size, goal - passes * source_size - at)) AS part FROM j),
+p AS (SELECT *, greatest(0, least(size, goal - passes * source_size - run0)) AS part FROM j),
 q AS (SELECT *, CASE WHEN size > 0 THEN passes + (part > 0)::BIGINT ELSE 0 END::INTEGER AS copies,
-             (at + CASE WHEN passes > 0 THEN size ELSE part END::DOUBLE / 2) / nullif(goal, 0) AS u FROM p)
+             (run0 + CASE WHEN passes > 0 THEN size ELSE part END::DOUBLE / 2) / nullif(goal, 0) AS u FROM p)
 SELECT doc_id{extra}, size, source_size, target, size * passes + part AS taken, copies,
        CASE WHEN copies > 0 THEN CASE cls {when} END END AS first_position
 FROM q
