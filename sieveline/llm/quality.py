@@ -31,7 +31,7 @@ JUNK_RULES = (
     ("caps", 0.30, 0.08), ("tails", 0.20, 0.05), ("pipes", 0.08, 0.01), ("shouts", 0.15, 0.03),
     ("repeats", 0.20, 0.08), ("symbols", 0.025, 0.01), ("sameness", 0.60, 0.45),
 )
-#: the toxic lexicon is dealt into this many parts, each a labeller; one more votes on two hits or more
+#: the toxic lexicon is dealt by strength into this many parts, each a labeller; others vote on counts and density
 PARTS = 4
 
 
@@ -79,24 +79,27 @@ def _signals(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.
     return signals, doc, h, shape
 
 
-def _lexicon_hits(doc, h, n_docs: int, lexicon: np.ndarray):
-    """Per text: which parts of the lexicon occur, and how many distinct words of it."""
+def _lexicon_hits(doc, h, n_docs: int, lexicon: tuple[np.ndarray, np.ndarray]):
+    """Per text: which parts of the lexicon (word hashes, their parts) occur, how many distinct words, and per word of text."""
+    lexicon, part = lexicon
     parts = np.zeros((n_docs, PARTS), bool)
     hits = np.zeros(n_docs, np.int64)
     if len(lexicon) and len(h):
         at = np.searchsorted(lexicon, h)
         found = lexicon[np.minimum(at, len(lexicon) - 1)] == h
-        parts[doc[found], at[found] % PARTS] = True
+        parts[doc[found], part[at[found]]] = True
         pair = np.unique(doc[found] * len(lexicon) + at[found])
         hits = np.bincount(pair // len(lexicon), minlength=n_docs)
-    return parts, hits
+    return parts, hits, hits / np.maximum(np.bincount(doc, minlength=n_docs), 1)
 
 
-def _votes(signals, parts, hits) -> dict[str, np.ndarray]:
+def _votes(signals, parts, hits, dense) -> dict[str, np.ndarray]:
     """A column per labeller: BAD, GOOD or ABSTAIN."""
     junk = [np.where(signals[k] >= bad, BAD, np.where(signals[k] <= good, GOOD, ABSTAIN)) for k, bad, good in JUNK_RULES]
-    toxic = [np.where(parts[:, i], BAD, np.where(hits > 0, ABSTAIN, GOOD)) for i in range(PARTS)]
-    toxic.append(np.where(hits >= 2, BAD, np.where(hits == 1, ABSTAIN, GOOD)))
+    # a word missing says nothing; how many there are, and how dense, speaks both ways
+    toxic = [np.where(parts[:, i], BAD, ABSTAIN) for i in range(PARTS)]
+    toxic += [np.where(hits >= k, BAD, GOOD) for k in (2, 4)]
+    toxic.append(np.where(dense >= 0.006, BAD, np.where(dense < 0.002, GOOD, ABSTAIN)))
     return {"junk": np.stack(junk, 1), "toxic": np.stack(toxic, 1)}
 
 
@@ -104,10 +107,10 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarra
     """P(bad) of each vote pattern: EM over labellers that vote independently given the class.
 
     ``patterns`` (P, K) holds votes 0, 1, 2 and ``counts`` how many documents show each. Starts
-    from "any bad vote", and keeps a labeller's bad votes at least as likely in bad documents
+    from two bad votes, and keeps a labeller's bad votes at least as likely in bad documents
     as in good ones, so the classes cannot swap.
     """
-    bad = np.clip((patterns == BAD).mean(1) * 4, 0.02, 0.98)
+    bad = np.array([0.02, 0.3, 0.95])[np.minimum((patterns == BAD).sum(1), 2)]
     for _ in range(rounds):
         prior = np.clip((counts * bad).sum() / counts.sum(), 1e-4, 0.5)
         logs = np.stack([np.full(len(patterns), np.log(1 - prior)), np.full(len(patterns), np.log(prior))])
@@ -124,7 +127,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarra
     return bad
 
 
-def _features(doc, h, shape, parts, hits, n_docs: int):
+def _features(doc, h, shape, parts, hits, dense, n_docs: int):
     """Hashed features: ``(text, bucket, value)``. Words and shape pairs by share, lexicon hits by presence."""
     n = np.maximum(np.bincount(doc, minlength=n_docs), 1)
     word = (mix64(h ^ np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -134,12 +137,15 @@ def _features(doc, h, shape, parts, hits, n_docs: int):
     for i, b in enumerate(bits):
         on = (shape >> i) & 1 == 1
         text.append(doc[on]), bucket.append(b[on].astype(np.int64)), value.append(8.0 / n[doc[on]])
-    for k in range(1, 4):
+    for k in range(1, 6):
         d = np.flatnonzero(hits >= k)
         text.append(d), bucket.append(np.full(len(d), k, np.int64)), value.append(np.full(len(d), 2.0))
     for k in range(PARTS):
         d = np.flatnonzero(parts[:, k])
         text.append(d), bucket.append(np.full(len(d), 8 + k, np.int64)), value.append(np.full(len(d), 1.0))
+    for k, least in enumerate((0.001, 0.002, 0.004, 0.006, 0.01, 0.02)):
+        d = np.flatnonzero(dense >= least)
+        text.append(d), bucket.append(np.full(len(d), 16 + k, np.int64)), value.append(np.ones(len(d)))
     d = np.arange(n_docs)
     text.append(d), bucket.append(np.zeros(n_docs, np.int64)), value.append(np.ones(n_docs))
     return np.concatenate(text), np.concatenate(bucket), np.concatenate(value)
@@ -160,22 +166,23 @@ def _fit(text, bucket, value, target: np.ndarray, rounds: int = 150, rate: float
 class Scorer:
     """A fitted model: small and picklable."""
 
-    lexicon: np.ndarray
+    lexicon: tuple[np.ndarray, np.ndarray]
     weights: dict[str, np.ndarray]
 
     def bad(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         signals, doc, h, shape = _signals(texts)
-        parts, hits = _lexicon_hits(doc, h, len(texts), self.lexicon)
-        text, bucket, value = _features(doc, h, shape, parts, hits, len(texts))
+        parts, hits, dense = _lexicon_hits(doc, h, len(texts), self.lexicon)
+        text, bucket, value = _features(doc, h, shape, parts, hits, dense, len(texts))
         return {k: 1 / (1 + np.exp(-np.clip(np.bincount(text, value * w[bucket], len(texts)), -30, 30))) for k, w in self.weights.items()}
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 6000, size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 10000, size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words that mark toxic documents, from at most ``sample`` labelled rows, at most ``size`` words.
 
     A word's occurrences after the same word count for the smallest document that has them, so
     neither copies of a toxic document nor a long one make its plain words look toxic. A word
-    qualifies in 5 such toxic documents, 2 % of them at least, at 25 times the others' rate.
+    qualifies in 5 such toxic documents at 15 times the others' rate. Returns sorted hashes and
+    their parts: the words in four shares from the strongest ratio down.
     """
     marks = labels.where("toxic is not null").select(F.col("doc_id").alias("_doc"), "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(marks, "_doc")
@@ -196,13 +203,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 6000, size:
     pairs = rows.mapInArrow(words, "h long, before long, doc long, toxic int").groupBy("h", "before").agg(F.min(F.when(is_bad, F.col("doc"))).alias("b"), F.min(F.when(~is_bad, F.col("doc"))).alias("g"))
     counts = pairs.groupBy("h").agg(F.countDistinct("b").alias("b"), F.countDistinct("g").alias("g"))
     ratio = (F.col("b") / F.lit(max(bad, 1))) / ((F.col("g") + 0.5) / F.lit(max(good, 1)))
-    top = counts.where((F.col("b") >= max(5, 0.02 * bad)) & (ratio >= 25)).orderBy(F.desc("b"), "h").limit(size).select("h").collect()
-    return np.unique(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    top = counts.where((F.col("b") >= 5) & (ratio >= 15)).orderBy(ratio.desc(), "h").limit(size).select("h").collect()
+    h = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (np.arange(len(h)) * PARTS // max(len(h), 1))[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Votes over all documents, EM, then a scorer trained on at most ``fit_rows`` documents' posteriors."""
-    lexicon = learn_lexicon(docs, labels, id_col=id_col, text_col=text_col) if labels is not None else np.zeros(0, np.uint64)
+    lexicon = learn_lexicon(docs, labels, id_col=id_col, text_col=text_col) if labels is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
 
     def vote(batches):
@@ -214,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
                     u, c = np.unique(votes, axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([aspect] * len(u)), pa.array(["".join(map(str, x)) for x in u]), pa.array(c)], ["aspect", "votes", "n"])
 
-    # a labeller has 3 votes, so there are at most 3^7 + 3^5 patterns
+    # a labeller has 3 votes, so there are at most 3^7 + 3^7 patterns
     seen = rows.mapInArrow(vote, "aspect string, votes string, n long").groupBy("aspect", "votes").agg(F.sum("n").alias("n")).collect()
     posterior = {}
     for aspect in ASPECTS:
@@ -227,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
         for batch in batches:
             for _, texts in sub_batches(batch, "text"):
                 signals, doc, h, shape = _signals(texts)
-                parts, hits = _lexicon_hits(doc, h, len(texts), lexicon)
-                v = _votes(signals, parts, hits)
-                text, bucket, value = _features(doc, h, shape, parts, hits, len(texts))
+                parts, hits, dense = _lexicon_hits(doc, h, len(texts), lexicon)
+                v = _votes(signals, parts, hits, dense)
+                text, bucket, value = _features(doc, h, shape, parts, hits, dense, len(texts))
                 both = text * BUCKETS + bucket
                 u, at = np.unique(both, return_inverse=True)
                 value = np.bincount(at, value)
