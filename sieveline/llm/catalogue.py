@@ -1,12 +1,14 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
-from sieveline.llm import decontaminate, exact_dedup, mixing, quality, sharding
+from sieveline.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_extendible_sharding": sharding.op4_extendible_sharding,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_quality": quality.op7_quality,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
