@@ -1,10 +1,11 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
-from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, quality, sharding, suffix_dedup
+from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, pii, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_language_crf": language_crf.op1_language_crf,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii": pii.op3_pii,
     "op4_extendible_sharding": sharding.op4_extendible_sharding,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_brown_lm": brown_lm.op6_brown_lm,
