@@ -1,5 +1,6 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
+import corpus_pipeline
 from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, pii, quality, sharding, suffix_dedup
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,

@@ -75,6 +75,35 @@ def position(u: Column, knots: list[tuple[float, float]]) -> Column:
     return out
 
 
+def _passes(docs: DataFrame, weights, share, limit, schedules, cells, seed, id_col, text_col, source_col) -> DataFrame:
+    """The mix with its working columns: ``full`` passes, ``part`` of the last one, ``u`` the demand at the first copy."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.withColumn("k", order_hash(F.col("id"), seed)).withColumn("cell", F.shiftright("k", 60 - int(math.log2(cells))))
+    by_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
+    sizes = by_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
+    targets = source_targets(sizes, weights, share, limit)
+    # the cells of one source are at most `cells` rows, whatever the source's size
+    up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_cell.select("source", "cell", F.coalesce(F.sum("cell_size").over(up_to), F.lit(0)).alias("start"))
+    starts = starts.join(targets, starts.source.eqNullSafe(targets.source)).drop(targets.source)
+    inside = Window.partitionBy("source", "cell").orderBy("k", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    r = rows.join(starts, rows.source.eqNullSafe(starts.source) & (rows.cell == starts.cell)).select(
+        "id", "size", "source_size", "target", "cls", (F.col("start") + F.col("own")).alias("at"), F.round("target").cast("long").alias("goal"))
+    r = r.withColumn("full", F.expr("if(source_size > 0, goal div source_size, 0)"))
+    r = r.withColumn("part", F.expr("greatest(0, least(size, goal - full * source_size - at))"))
+    r = r.withColumn("copies", F.when(F.col("size") > 0, F.col("full") + (F.col("part") > 0).cast("long")).otherwise(0).cast("int"))
+    return r.withColumn("u", F.expr("(at + cast(if(full > 0, size, part) as double) / 2) / nullif(goal, 0)"))
+
+
+def _when(u: Column, schedules) -> Column:
+    out = None
+    for c, knots in (schedules or SCHEDULES).items():
+        p = position(u, knots)
+        out = F.when(F.col("cls") == c, p) if out is None else out.when(F.col("cls") == c, p)
+    return out
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2, schedules=None, cells: int = 4096, seed: int = 42,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document the mix takes, and when.
@@ -89,31 +118,26 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2,
     of its own, last. Documents without words are never taken. Rows that share an id and a
     text stand in one fixed order up to their own exchange. Empty input gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("k", order_hash(F.col("id"), seed)).withColumn("cell", F.shiftright("k", 60 - int(math.log2(cells))))
-    by_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    sizes = by_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, limit)
-    # the cells of one source are at most `cells` rows, whatever the source's size
-    up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_cell.select("source", "cell", F.coalesce(F.sum("cell_size").over(up_to), F.lit(0)).alias("start"))
-    starts = starts.join(targets, starts.source.eqNullSafe(targets.source)).drop(targets.source)
-    inside = Window.partitionBy("source", "cell").orderBy("k", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    r = rows.join(starts, rows.source.eqNullSafe(starts.source) & (rows.cell == starts.cell)).select(
-        "id", "size", "source_size", "target", "cls", (F.col("start") + F.col("own")).alias("at"), F.round("target").cast("long").alias("goal"))
-    full = F.expr("if(source_size > 0, goal div source_size, 0)")
-    part = F.expr("greatest(0, least(size, goal - full * source_size - at))")
-    r = r.withColumn("full", full).withColumn("part", part)
-    r = r.withColumn("copies", F.when(F.col("size") > 0, F.col("full") + (F.col("part") > 0).cast("long")).otherwise(0))
-    first = F.expr("(at + cast(if(full > 0, size, part) as double) / 2) / nullif(goal, 0)")
-    schedules = schedules or SCHEDULES
-    when = None
-    for c, knots in schedules.items():
-        p = position(first, knots)
-        when = F.when(F.col("cls") == c, p) if when is None else when.when(F.col("cls") == c, p)
+    r = _passes(docs, weights, share, limit, schedules, cells, seed, id_col, text_col, source_col)
     return r.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("full") + F.col("part")).alias("taken"),
-                    F.col("copies").cast("int").alias("copies"), F.when(F.col("copies") > 0, when).alias("first_position"))
+                    "copies", F.when(F.col("copies") > 0, _when(F.col("u"), schedules)).alias("first_position"))
+
+
+def training_order(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: int = 2, schedules=None, cells: int = 4096, seed: int = 42,
+                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` once per copy the mix takes, range-sorted by training position.
+
+    Columns are those of ``docs``. Documents stay whole: one that the target cuts counts as a
+    copy. Rows that share an id are taken as often as the most taken of them, rows without an
+    id likewise. Documents without words leave.
+    """
+    r = _passes(docs, weights, share, limit, schedules, cells, seed, id_col, text_col, source_col).where("copies > 0")
+    lap = (F.col("lap") * F.col("source_size")) / F.col("goal")
+    r = r.withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    r = r.select(F.col("id").alias("_id"), F.col("lap").alias("_lap"), _when(F.least(F.col("u") + lap, F.lit(1.0)), schedules).alias("_at"))
+    r = r.groupBy("_id", "_lap").agg(F.min("_at").alias("_at"))
+    out = docs.join(r, F.col(id_col).eqNullSafe(F.col("_id")))
+    return out.repartitionByRange("_at", id_col).sortWithinPartitions("_at", id_col).drop("_id", "_lap", "_at")
 
 
 def op5_source_mixing(spark, sf_dir):
