@@ -34,7 +34,7 @@ def followup_due(events: DataFrame, as_of: Column, days: int = 5, id_col: str =
 
 def rolling_count(events: DataFrame, by: list[str], ts: str = "ts", hours: int = 24) -> DataFrame:
     """Adds ``n_window``: events of the group in the ``hours`` up to and including each event."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(ts)).rangeBetween(-hours * 3600 * 1_000_000, 0)
+    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-hours * 3600 * 1_000_000, 0)
     return events.withColumn("n_window", F.count("*").over(w))
 
 
