@@ -198,14 +198,27 @@ def split_list(c: Column, pattern: str = r"[,;|/]") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: legal forms and articles that are no first name; fixed values
+NO_FIRST_NAME = ("sarl", "sas", "eurl", "sa", "sci", "snc", "the", "le", "la", "les")
+
+
 def first_name(c: Column) -> Column:
-    """The first word of a firm's name that is no legal form or article."""
-    skip = ("sarl", "sas", "sa", "eurl", "sasu", "sci", "snc", "ei", "le", "la", "les", "l", "the", "un", "une")
-    w = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"[\s\-_]+"), lambda x: (x != "") & ~F.lower(x).isin(*skip))
-    return F.coalesce(F.initcap(F.try_element_at(w, F.lit(1))), F.lit(""))
+    """The first word of a firm's name that has a letter and is no legal form or article, else empty."""
+    bare = lambda w: F.regexp_replace(F.lower(w), r"^[.,()\[\]]+|[.,()\[\]]+$", "")
+    w = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: bare(x).rlike(r"\p{L}") & ~bare(x).isin(*NO_FIRST_NAME))
+    first = F.try_element_at(w, F.lit(1))
+    return F.coalesce(F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1 << 20))), F.lit(""))
+
+
+def message_name(c: Column) -> Column:
+    """The name used in messages: up to a parenthesis; ALL CAPS word by word, lower case by the display rule."""
+    n = F.regexp_replace(F.substring_index(F.coalesce(c, F.lit("")), "(", 1), r"^[ .-]+|[ .-]+$", "")
+    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    caps = F.array_join(F.transform(F.split(n, r"\s+"), word), " ")
+    return F.when((n != "") & (n == F.upper(n)), caps).otherwise(display_name(n))
 
 
 def split_answer(c: Column) -> Column:
     """``struct(subject, body)`` of a model's mail: the subject line, and the rest."""
     line = r"(?im)^\s*(?:OBJET|SUBJECT)\s*[:：]\s*(.+?)\s*$"
-    return F.struct(F.regexp_extract(c, line, 1).alias("subject"), F.trim(F.regexp_replace(c, line, "")).alias("body"))
+    return F.struct(F.regexp_extract(c, line, 1).alias("subject"), F.regexp_replace(F.regexp_replace(c, line, ""), r"^\s+|\s+$", "").alias("body"))
