@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.brown_lm import held_out
+from sieveline.llm.sampling import bounded_sample
 from sieveline.llm.textops import Rolling, mix64, sub_batches, words_of
 
 LETTER = np.zeros(256, bool)
@@ -163,9 +164,9 @@ def fit(sample: list[tuple[bytes, str]], rounds: int = 12, rate: float = 0.3, l2
 
 def take_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 2000, max_bytes: int = 6 << 20) -> list[tuple[bytes, str]]:
     """Labelled texts for ``fit``: the first ``max_docs`` by md5 of the id, up to ``max_bytes`` of text in all."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("k"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     out, held = [], 0
-    for r in rows.where(F.col("n") <= max_bytes // 50).orderBy("k", "n", "l").limit(max_docs).toLocalIterator():
+    for r in bounded_sample(rows.where(F.col("n") <= max_bytes // 50), F.col("k"), max_docs).toLocalIterator():
         if held + r["n"] > max_bytes:
             break
         held += r["n"]

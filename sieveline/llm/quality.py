@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.sampling import bounded_sample
 from sieveline.llm.textops import LOWER, NOT_SPACE, Rolling, grams, mix64, sub_batches, words_of
 from sieveline.session import written
 
@@ -184,7 +185,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 10000, size:
     qualifies in 5 such toxic documents at 15 times the others' rate. Returns sorted hashes and
     their parts: the words in four shares from the strongest ratio down.
     """
-    marks = labels.where("toxic is not null").select(F.col("doc_id").alias("_doc"), "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
+    marks = bounded_sample(labels.where("toxic is not null").select(F.col("doc_id").alias("_doc"), "toxic"), F.col("_doc"), sample)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(marks, "_doc")
 
     def words(batches):
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
         own = sorted((r["votes"], r["n"]) for r in seen if r["aspect"] == aspect)
         if own:
             posterior[aspect] = dict(zip([v for v, _ in own], em(np.array([[int(c) for c in v] for v, _ in own]), np.array([n for _, n in own], float))))
-    sample = rows.orderBy(F.md5(F.col("_doc").cast("string").cast("binary")), "_doc").limit(fit_rows)
+    sample = bounded_sample(rows, F.col("_doc"), fit_rows)
 
     def gather(batches):
         for batch in batches:
