@@ -54,8 +54,8 @@ def spiral(spark, step_m: int, cells: int = 49):
     rings = 1
     while (2 * rings + 1) ** 2 < cells:
         rings += 1
-    side = spark.range(-rings, rings + 1)
-    grid = side.select(F.col("id").alias("x")).join(side.select(F.col("id").alias("y")))
+    side = 2 * rings + 1
+    grid = spark.range(side * side).select((F.col("id") % side - rings).alias("x"), (F.floor(F.col("id") / side) - rings).alias("y"))
     ring = F.greatest(F.abs("x"), F.abs("y"))
     edge = F.abs("y") == ring
     # rows of a ring first by x, top before bottom; then its sides by y, right before left

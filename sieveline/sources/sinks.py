@@ -48,8 +48,6 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def upsert_counts(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """``(created, merged, total)`` of an upsert, from keys alone."""
-    new = incoming.select(F.col(key)).distinct()
-    hit = new.join(current.select(F.col(key), F.lit(1).alias("old")).distinct(), key, "left")
-    n = current.select(key).distinct().agg(F.count("*").alias("had"))
-    c = hit.agg(F.count_if(F.col("old").isNull()).alias("created"), F.count_if(F.col("old").isNotNull()).alias("merged"))
-    return c.join(n).select("created", "merged", (F.col("had") + F.col("created")).alias("total"))
+    new = incoming.select(key, F.lit(1).alias("new")).distinct()
+    both = new.join(current.select(key, F.lit(1).alias("old")).distinct(), key, "full")
+    return both.agg(F.count_if(F.col("old").isNull()).alias("created"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("merged"), F.count("*").alias("total"))
