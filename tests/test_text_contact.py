@@ -49,7 +49,7 @@ def test_text_extraction(one):
 
 
 def test_guessed(spark):
-    df = spark.createDataFrame([(0, "contact@boite.fr", "web"), (1, "jordan@boite.fr", "web"), (2, "jordan@boite.fr", "guess"), (3, None, None)], "i int, e string, s string")
+    df = spark.createDataFrame([(0, "contact@boite.fr", "web"), (1, "nina@boite.fr", "web"), (2, "nina@boite.fr", "guess"), (3, None, None)], "i int, e string, s string")
     assert [r[0] for r in df.orderBy("i").select(contact.is_guessed(F.col("e"), F.col("s"))).collect()] == [True, False, True, True]
 
 
