@@ -4,12 +4,15 @@ Documents are sets of 5-word shingles; equal sets collapse into one class first.
 64 minwise tokens. In each of ``trees`` independent trees a node picks one token position (and
 a second one with probability 1 / threshold - 1) and deals its documents to one child per token
 value, so dissimilar documents part quickly while a pair at the threshold is expected to share
-one child. Nodes of at most ``leaf`` documents are compared exhaustively; only larger ones branch.
+one child. Small nodes (at most ``leaf`` documents and ``weight`` shingles) are compared
+exhaustively; only larger ones branch. A large node at the top of a tree is also cut into blocks
+that each hold the node's hub, the document whose tokens are most common in it: in a large group
+of near copies that is the text they come from, and every link to it is met.
 
 Leaves give candidate links by token agreement, set five standard deviations below the threshold.
-Components of candidates of at most ``leaf`` classes are then compared pair by pair on their full
-sets; larger components are compared leaf by leaf, over all trees. Only links confirmed on full
-sets enter the result. Every group that reaches a task holds at most ``leaf`` sets.
+Small components of candidates are then compared pair by pair on their full sets; larger
+components are compared leaf by leaf, over all trees. Only links confirmed on full sets enter the
+result. What reaches a task as one group is bounded by ``leaf`` and ``weight``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from sieveline.session import written
 
 TOKENS = 64
 SHINGLE = 5
-#: nodes deeper than this no longer branch; their documents agree in nearly all tokens
+#: nodes this deep no longer branch; their documents agree in nearly all tokens
 MAX_DEPTH = 40
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1 << 63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,9 +99,12 @@ def _candidates(least: int):
                 sig = np.asarray(members.values.field("sig").flatten().to_numpy()).reshape(len(ids), TOKENS)
                 order = np.argsort(ids)
                 ids, sig = ids[order], sig[order]
-                agree = np.zeros((len(ids), len(ids)), np.int16)
-                for t in range(TOKENS):
-                    agree += sig[:, t][:, None] == sig[:, t][None, :]
+                if len(ids) <= 64:
+                    agree = (sig[:, None, :] == sig[None, :, :]).sum(2)
+                else:
+                    agree = np.zeros((len(ids), len(ids)), np.int16)
+                    for t in range(TOKENS):
+                        agree += sig[:, t][:, None] == sig[:, t][None, :]
                 root = _roots(agree >= least)
                 for r in np.flatnonzero(np.bincount(root, minlength=len(ids)) > 1):
                     own = np.flatnonzero(root == r)
@@ -161,7 +167,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: int = 2048, weight: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``percent`` * union of shingle sets.
 
     Returns one row per input row: ``id_col, n_shingles, component_id`` (smallest id reachable)``,
@@ -178,46 +184,54 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
     # an id may stand for several classes; they are one node, but each class is dealt by itself
     j = percent / 100
     extra = max(1, round((1 / j - 1) * 1000))
-    by_rep = classes.select("rep", "sig", F.xxhash64("d1", "d2").alias("cls"))
-    frontier = by_rep.select("rep", "cls", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "v")).select("rep", "cls", F.xxhash64("tree", "v").alias("path"))
+    by_cls = classes.select(F.xxhash64("d1", "d2").alias("cls"), "n", "sig")
+    frontier = by_cls.select("cls", "n", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "v")).select("cls", "n", "tree", F.xxhash64("tree", "v").alias("path"))
+    small = (F.col("size") <= leaf) & (F.col("weight") <= weight)
+    blocks_of = F.ceil(F.greatest(F.col("size") * 2 / leaf, F.col("weight") * 2 / weight))
     leaves, depth = [], 1
     while True:
-        sizes = frontier.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = frontier.join(sizes, "path")
-        if depth == MAX_DEPTH:
-            # members of such a node share almost every token: blocks, each with the node's smallest class
-            block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") * 2 / leaf))
-            low = sized.where(f"size > {leaf}").groupBy("path").agg(F.min("cls").alias("cls0"), F.max("size").alias("size0"))
-            more = low.select("path", "cls0", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size0") * 2 / leaf) - 1)).alias("b")).join(by_rep.select("rep", F.col("cls").alias("cls0")), "cls0")
-            blocks = sized.select("rep", "cls", F.when(F.col("size") > leaf, F.xxhash64("path", block.cast("long"))).otherwise(F.col("path")).alias("path"))
-            leaves.append(blocks.unionByName(more.select("rep", F.col("cls0").alias("cls"), F.xxhash64("path", F.col("b").cast("long")).alias("path"))).distinct())
-            break
-        sized = written(sized)
-        leaves.append(sized.where(f"size <= {leaf}").select("rep", "cls", "path"))
-        large = sized.where(f"size > {leaf}")
+        sizes = frontier.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+        sized = written(frontier.join(sizes, "path"))
+        leaves.append(sized.where(small).select("cls", "path"))
+        large = sized.where(~small)
         if not large.take(1):
             break
+        if depth in (1, MAX_DEPTH):
+            # blocks around the hub: at the top, and where members share almost every token
+            common = sized.groupBy("cls").agg(F.sum("size").alias("common"))
+            top = large.where("tree < 4") if depth == 1 else large
+            block = F.pmod(F.xxhash64("cls"), blocks_of)
+            hubs = top.join(common, "cls").groupBy("path").agg(F.max_by("cls", F.struct("common", "cls")).alias("cls"), F.max(blocks_of).alias("blocks"))
+            hubs = hubs.select("cls", "path", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            cut = top.select("cls", "path", block.alias("block")).unionByName(hubs)
+            leaves.append(cut.select("cls", F.xxhash64("path", "block").alias("path")).distinct())
+        if depth == MAX_DEPTH:
+            break
         # one token position per node, sometimes two; both follow from the node's path alone
         first = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(TOKENS))
         second = F.when(F.pmod(F.xxhash64("path", F.lit(-depth)), F.lit(1000)) < extra, F.pmod(first + 1 + F.pmod(F.hash("path"), F.lit(TOKENS - 1)), F.lit(TOKENS)))
         picks = F.array_compact(F.array(first, second))
         frontier = (
-            large.join(by_rep.drop("rep"), "cls").select("rep", "cls", "path", "sig", F.explode(picks).alias("i"))
-            .select("rep", "cls", F.xxhash64("path", "i", F.expr("element_at(sig, cast(i + 1 as int))")).alias("path"))
+            large.select("cls", "n", "tree", "path").join(by_cls.select("cls", "sig"), "cls").withColumn("i", F.explode(picks))
+            .select("cls", "n", "tree", F.xxhash64("path", "i", F.expr("element_at(sig, cast(i + 1 as int))")).alias("path"))
         )
         depth += 1
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
-    members = members.join(by_rep.drop("rep"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "sig").alias("m"))
+    # trees often end in leaves of the same documents: one of each is enough
+    alike = members.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b"))
+    members = members.join(alike.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+    members = members.join(by_cls.select("cls", "sig"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "sig").alias("m"))
     least = math.floor(TOKENS * j - 5 * math.sqrt(TOKENS * j * (1 - j)))
     groups = members.groupBy("path").agg(F.collect_list("m").alias("members")).mapInArrow(_candidates(least), "gid long, rep long, low long")
     groups = written(groups)
     coarse = connected_components(groups, "rep", "low")
     coarse = written(coarse)
-    small = coarse.groupBy("component").agg(F.count("*").alias("size")).where(f"size <= {leaf}").select("component")
-    in_small = coarse.join(small, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
-    in_large = groups.join(coarse.join(small, "component", "left_anti").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
+    heavy = coarse.join(by_cls.select(F.col("cls").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    few = heavy.where(small).select("component")
+    in_small = coarse.join(few, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
+    in_large = groups.join(coarse.join(few, "component", "left_anti").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
     # leaves of several trees often hold the same documents: one of each is enough
     same = in_large.groupBy("gid").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b"))
     once = same.groupBy("n", "a", "b").agg(F.min("gid").alias("gid")).select("gid")
