@@ -8,23 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontaminate, mixing, near_dedup, quality, sharding
+from sieveline.llm import decontaminate, mixing, near_dedup, on_workers, quality, sharding
 from sieveline.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects as junk or toxic go."""
+    on_workers(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (similarity 0.8) the smallest id stays; of repeated rows, one."""
+    on_workers(spark)
     gone = near_dedup.near_components(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of 10 words with a benchmark item go."""
+    on_workers(spark)
     hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,9 +1,19 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
 import corpus_pipeline
-from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, pii, quality, sharding, suffix_dedup
+from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, on_workers, pii, quality, sharding, suffix_dedup
 
-QUERIES = {
+
+def _query(run):
+    def query(spark, sf_dir):
+        on_workers(spark)
+        return run(spark, sf_dir)
+
+    query.__name__, query.__doc__ = run.__name__, run.__doc__
+    return query
+
+
+_RUNS = {
     "op1_language_crf": language_crf.op1_language_crf,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
@@ -16,6 +26,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: _query(run) for name, run in _RUNS.items()}
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_extendible_sharding": sharding.SQL,
