@@ -9,7 +9,7 @@ exhaustively; only larger ones branch. A large node at the top of a tree is also
 that each hold the node's hub, the document whose tokens are most common in it: in a large group
 of near copies that is the text they come from, and every link to it is met.
 
-Leaves give candidate links by token agreement, set five standard deviations below the threshold.
+Leaves give candidate links by agreement of 8 bits per token, set five standard deviations below the threshold.
 Small components of candidates are then compared pair by pair on their full sets; larger
 components are compared leaf by leaf, over all trees. Only links confirmed on full sets enter the
 result. What reaches a task as one group is bounded by ``leaf`` and ``weight``.
@@ -74,7 +74,7 @@ def _signatures(batches):
                     sig[some, t] = (mix64(np.minimum.reduceat(flat * _MUL[t] + _ADD[t], at)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
             d = [_digest(s) for s in sets]
             tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, TOKENS), pa.int32()), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc")[rows], pa.array(sizes), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), tokens], ["doc", "n", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc")[rows], pa.array(sizes), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), tokens, pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["doc", "n", "d1", "d2", "sig", "marks"])
 
 
 def _roots(adjacent: np.ndarray) -> np.ndarray:
@@ -89,14 +89,14 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
 
 
 def _candidates(least: int):
-    """Groups of a leaf whose members agree in ``least`` tokens or more, directly or through others."""
+    """Groups of a leaf whose members agree (by 8 bits each) in ``least`` tokens or more, directly or through others."""
 
     def run(batches):
         for batch in batches:
             paths, out = batch.column("path").to_pylist(), ([], [], [])
             for path, members in zip(paths, batch.column("members")):
                 ids = members.values.field("rep").to_numpy()
-                sig = np.asarray(members.values.field("sig").flatten().to_numpy()).reshape(len(ids), TOKENS)
+                sig = np.frombuffer(b"".join(members.values.field("marks").to_pylist()), np.uint8).reshape(len(ids), TOKENS)
                 order = np.argsort(ids)
                 ids, sig = ids[order], sig[order]
                 if len(ids) <= 64:
@@ -178,13 +178,13 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
     without an id keeps a null component and links nothing. Empty input gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    s = written(rows.select("doc", "text").mapInArrow(_signatures, "doc long, n long, d1 long, d2 long, sig array<short>"))
-    classes = written(s.where("n > 0 and doc is not null").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")))
+    s = written(rows.select("doc", "text").mapInArrow(_signatures, "doc long, n long, d1 long, d2 long, sig array<short>, marks binary"))
+    classes = written(s.where("n > 0 and doc is not null").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.first("marks").alias("marks")))
 
     # an id may stand for several classes; they are one node, but each class is dealt by itself
     j = percent / 100
     extra = max(1, round((1 / j - 1) * 1000))
-    by_cls = classes.select(F.xxhash64("d1", "d2").alias("cls"), "n", "sig")
+    by_cls = classes.select(F.xxhash64("d1", "d2").alias("cls"), "n", "sig", "marks")
     frontier = by_cls.select("cls", "n", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "v")).select("cls", "n", "tree", F.xxhash64("tree", "v").alias("path"))
     small = (F.col("size") <= leaf) & (F.col("weight") <= weight)
     blocks_of = F.ceil(F.greatest(F.col("size") * 2 / leaf, F.col("weight") * 2 / weight))
@@ -222,7 +222,7 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
     # trees often end in leaves of the same documents: one of each is enough
     alike = members.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b"))
     members = members.join(alike.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
-    members = members.join(by_cls.select("cls", "sig"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "sig").alias("m"))
+    members = members.join(by_cls.select("cls", "marks"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "marks").alias("m"))
     least = math.floor(TOKENS * j - 5 * math.sqrt(TOKENS * j * (1 - j)))
     groups = members.groupBy("path").agg(F.collect_list("m").alias("members")).mapInArrow(_candidates(least), "gid long, rep long, low long")
     groups = written(groups)
