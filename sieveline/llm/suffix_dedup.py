@@ -22,20 +22,23 @@ one suffix per stretch (from the anchor on, then its left context reversed) is s
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.textops import Rolling, signed, sub_batches
+from sieveline.llm.textops import Rolling, mix64, signed, sub_batches
 from sieveline.session import written
 
 SPAN = 100
 GRAM = 32
 #: a document without an id sorts first
 NO_ID = -(2**63)
-RUN = 150_000
+RUN = 40_000
+BLOCK = 1 << 18
+_ZSTD = pa.Codec("zstd", compression_level=3)
 SEGMENT = 16
 
 
@@ -67,12 +70,13 @@ def _stretches(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
         return data, none, none, none, none, np.zeros(0, np.uint64), ends - lens
     size = np.add.reduceat(valid.astype(np.int64), first)
     a = anchor[first]
-    return data, np.searchsorted(ends, first, side="right"), first, first + size - 1, a, g[a], ends - lens
+    # a minimum is small; mixed again it spreads over bitmap and ranges
+    return data, np.searchsorted(ends, first, side="right"), first, first + size - 1, a, mix64(g[a]), ends - lens
 
 
 def _count(batches):
     for batch in batches:
-        for _, texts in sub_batches(batch, "text"):
+        for _, texts in sub_batches(batch, "text", BLOCK):
             h, c = np.unique(_stretches(texts)[5], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], ["h", "c"])
 
@@ -118,6 +122,24 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
     return end
 
 
+BLOCKS = ["part", "n", "size", "block"]
+
+
+def _pack(part: int, n: int, *sections) -> pa.RecordBatch:
+    """One compressed block; ``n`` is negative for copies already known."""
+    raw = b"".join(x if isinstance(x, bytes) else x.tobytes() for x in sections)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([len(raw)], pa.int32()), pa.array([_ZSTD.compress(raw, asbytes=True)])], BLOCKS)
+
+
+def _unpack(raw: bytes, n: int, *types):
+    """The typed sections of a block of ``n`` entries, and the bytes that remain."""
+    out, at = [], 0
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return (*out, raw[at:])
+
+
 def _runs(bitmap, log_bits: int, parts: int):
     """Front-coded sorted runs per hash range, and the copies found inside runs."""
 
@@ -135,22 +157,20 @@ def _runs(bitmap, log_bits: int, parts: int):
                         copies.append((x[1], x[2], x[3] + SPAN))
                 else:
                     keep.append(x)
+            held.clear()
             at = np.array([int.from_bytes(x[0][:8], "big") * parts >> 64 for x in keep], np.int64)
             cuts = np.searchsorted(at, np.unique(at))
             for a, b in zip(cuts, [*cuts[1:], len(keep)]):
                 own = keep[a:b]
                 shared, rest = _front_code([x[0] for x in own])
-                lens = np.array([len(x[0]) for x in own], np.uint16)
-                where = np.array([x[1:5] for x in own], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(at[a])], pa.int32()), pa.array([shared.tobytes()]), pa.array([lens.tobytes()]), pa.array([rest]), pa.array([where.T.tobytes()])], ["part", "shared", "lens", "rest", "places"])
+                doc, p, q, anchor = np.array([x[1:5] for x in own], np.int64).T
+                yield _pack(int(at[a]), len(own), shared, np.array([len(x[0]) for x in own], np.uint16), doc, p.astype(np.int32), (q - p).astype(np.uint16), (anchor - p).astype(np.uint16), rest)
             if copies:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(copies[0][1] % parts)], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([np.array(copies, np.int64).T.tobytes()])], ["part", "shared", "lens", "rest", "places"])
-            held.clear()
+                doc, p, q = np.array(copies, np.int64).T
+                yield _pack(int(copies[0][1] % parts), -len(copies), doc, p.astype(np.int32), q.astype(np.int32))
 
         for batch in batches:
-            for rows, texts in sub_batches(batch, "text"):
+            for rows, texts in sub_batches(batch, "text", BLOCK):
                 ids = batch.column("doc")[rows].to_numpy()
                 data, text, first, last, anchor, h, start = _stretches(texts)
                 bit = (h >> np.uint64(64 - log_bits)).astype(np.int64)
@@ -231,32 +251,35 @@ class LoserTree:
             winner = w
 
 
-def _shared_strings(variants: list[tuple[bytes, tuple]]):
-    """Strings that several variants of one anchor have in common: all but the first occurrence, as spans."""
+def _shared_strings(variants: list[tuple[bytes, tuple]], emit) -> None:
+    """Strings that several variants of one anchor have in common: spans of all but the first occurrence.
+
+    Equal strings have their anchor at the same offset, so one offset is compared at a time and
+    only its strings are held; a variant remembers its repeats as a bit set.
+    """
     variants.sort(key=lambda v: (v[1][0], v[1][3]))
-    if len(variants) <= 64:
+    found = [0] * len(variants)
+    rows = [(j, body, at - p, q - p) for j, (body, (_, p, q, at)) in enumerate(variants)]
+    for offset in range(min(o - n for _, _, o, n in rows), max(o for _, _, o, _ in rows) + 1):
         seen: set[bytes] = set()
-        for body, (doc, p, q, _) in variants:
-            for i in range(q - p + 1):
+        for j, body, o, n in rows:
+            i = o - offset
+            if 0 <= i <= n:
                 w = body[i : i + SPAN]
                 if w in seen:
-                    yield doc, p + i, p + i + SPAN
+                    found[j] |= 1 << i
                 else:
                     seen.add(w)
-        return
-    starts = np.cumsum([0, *[len(v[0]) for v in variants]])
-    data = np.frombuffer(b"".join(v[0] for v in variants), np.uint8)
-    size = np.array([v[1][2] - v[1][1] + 1 for v in variants])
-    owner = np.repeat(np.arange(len(variants)), size)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    at = starts[owner] + inside
-    both = np.stack([Rolling(data, w).ranges(at, at + SPAN) for w in (0, 1)])
-    first = np.unique(both, axis=1, return_index=True)[1]
-    again = np.ones(len(owner), bool)
-    again[first] = False
-    for i in np.flatnonzero(again):
-        doc, p = variants[owner[i]][1][:2]
-        yield doc, p + int(inside[i]), p + int(inside[i]) + SPAN
+    for bits, (_, (doc, p, _, _)) in zip(found, variants):
+        i = 0
+        while bits >> i:
+            if bits >> i & 1:
+                first = i
+                while bits >> i & 1:
+                    i += 1
+                emit(doc, p + first, p + i - 1 + SPAN)
+            else:
+                i += 1
 
 
 def _body(key: bytes) -> bytes:
@@ -266,27 +289,36 @@ def _body(key: bytes) -> bytes:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    spans: list[tuple[int, int, int]] = []
+    docs, starts, ends = array("q"), array("q"), array("q")
     runs, places = [], []
-    for x in table.select(["shared", "lens", "rest", "places"]).to_pylist():
-        if x["rest"] is None:
-            spans += zip(*np.frombuffer(x["places"], np.int64).reshape(3, -1).tolist())
+
+    def emit(doc, start, end):
+        docs.append(doc), starts.append(start), ends.append(end)
+
+    for n, size, block in zip(*(table.column(c) for c in BLOCKS[1:])):
+        n = n.as_py()
+        raw = _ZSTD.decompress(block.as_buffer(), size.as_py(), asbytes=True)
+        if n < 0:
+            doc, p, q, _ = _unpack(raw, -n, np.int64, np.int32, np.int32)
+            docs.extend(doc.tolist()), starts.extend(p.tolist()), ends.extend(q.tolist())
         else:
-            runs.append((np.frombuffer(x["shared"], np.uint16), np.frombuffer(x["lens"], np.uint16), x["rest"]))
-            places.append(np.frombuffer(x["places"], np.int64).reshape(4, -1).T.tolist())
+            shared, lens, doc, p, wide, at, rest = _unpack(raw, n, np.uint16, np.uint16, np.int64, np.int32, np.uint16, np.uint16)
+            runs.append((shared, lens, rest))
+            places.append((doc, p, wide, at))
 
     def close(group):
         if len(group) > 1:
-            spans.extend(_shared_strings([(_body(k), p) for k, p in group]))
+            _shared_strings([(_body(k), p) for k, p in group], emit)
 
     group: list[list] = []
     for key, known, run, i in LoserTree(runs):
-        place = tuple(places[run][i])
+        doc, p, wide, at = (int(x[i]) for x in places[run])
+        place = (doc, p, p + wide, p + at)
         if group and known == len(key) == len(group[-1][0]):
             old = group[-1][1]
             if place[:2] != old[:2]:
                 first, second = (old, place) if (old[0], old[3]) <= (place[0], place[3]) else (place, old)
-                spans.append((second[0], second[1], second[2] + SPAN))
+                emit(second[0], second[1], second[2] + SPAN)
                 group[-1][1] = first
             continue
         if group and known < 8 + GRAM:
@@ -294,7 +326,7 @@ def _merge(table: pa.Table) -> pa.Table:
             group = []
         group.append([key, place])
     close(group)
-    doc, start, end = (np.array([s[i] for s in spans], np.int64) for i in range(3))
+    doc, start, end = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (docs, starts, ends))
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
     # join overlapping spans of one document: fewer rows leave the task
@@ -315,7 +347,7 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc, "start": start, "end": end})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log_bits: int = 27) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log_bits: int = 25) -> DataFrame:
     """Byte spans ``(doc, start, end)`` covered by 100-byte strings that also start earlier; spans may overlap."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -327,14 +359,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for p, bits in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]).tobytes()])], ["piece", "bits"])
 
-    # 2^log_bits / 8 bytes at most reach the driver: 16 MB, whatever the corpus
+    # 2^log_bits / 8 bytes at most reach the driver: 4 MB, whatever the corpus
     bitmap = np.zeros((1 << log_bits) // 8, np.uint8)
     for r in pieces.mapInArrow(join, "piece long, bits binary").collect():
         a = r["piece"] << (SEGMENT - 3)
         bitmap[a : a + (1 << (SEGMENT - 3))] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.mapInArrow(_runs(shared, log_bits, parts), "part int, shared binary, lens binary, rest binary, places binary")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.mapInArrow(_runs(shared, log_bits, parts), "part int, n int, size int, block binary")
     return runs.groupBy("part").applyInArrow(lambda t: _merge(t), "doc long, start long, end long")
 
 

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_BYTES = 1 << 20
 
@@ -62,15 +63,16 @@ class Rolling:
 
 def sub_batches(batch: pa.RecordBatch, text: str, max_bytes: int = MAX_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
     """Slices of the rows of ``batch`` and their texts as bytes (null: empty)."""
-    texts = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
+    column = batch.column(text).cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > max_bytes:
-            yield slice(begin, i), texts[begin:i]
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > max_bytes:
+            yield slice(begin, i), [x or b"" for x in column[begin:i].to_pylist()]
             begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield slice(begin, len(texts)), texts[begin:]
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes)), [x or b"" for x in column[begin:].to_pylist()]
 
 
 @dataclass
