@@ -9,6 +9,11 @@ exhaustively; only larger ones branch. A large node at the top of a tree is also
 that each hold the node's hub, the document whose tokens are most common in it: in a large group
 of near copies that is the text they come from, and every link to it is met.
 
+Branching ends at the depth to which a pair at the threshold shares a node of some tree with
+probability ``RECALL``, whatever the group's size. What is still large there is compared in full: of
+the components known by then, the node's largest keeps its inner pairs unread (they change nothing),
+and every other member meets every member, block against block.
+
 Leaves give candidate links by agreement of 8 bits per token, set five standard deviations below the threshold.
 Small components of candidates are then compared pair by pair on their full sets; larger
 components are compared leaf by leaf, over all trees. Only links confirmed on full sets enter the
@@ -30,8 +35,10 @@ from sieveline.session import written
 
 TOKENS = 64
 SHINGLE = 5
-#: nodes this deep no longer branch; their documents agree in nearly all tokens
+#: no node is deeper; ``branching_ends`` is reached before at the thresholds in use
 MAX_DEPTH = 40
+#: least probability that a pair at the threshold shares a leaf or an end node of some tree
+RECALL = 0.999
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1 << 63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1 << 63, size=TOKENS, dtype=np.uint64)
@@ -152,6 +159,27 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * inter >= percent * union
 
 
+def recall(percent: int, trees: int, depth: int) -> float:
+    """Probability that a pair at the threshold shares a node of this depth in some tree, over the agreement of its tokens."""
+    j = percent / 100
+    extra = max(1, round((1 / j - 1) * 1000)) / 1000
+    missed = 0.0
+    for k in range(TOKENS + 1):
+        a, stays = k / TOKENS, 1.0
+        for _ in range(depth - 1):
+            stays = (1 - extra) * a * stays + extra * (1 - (1 - a * stays) ** 2)
+        missed += math.comb(TOKENS, k) * j**k * (1 - j) ** (TOKENS - k) * (1 - a * stays) ** trees
+    return 1 - missed
+
+
+def branching_ends(percent: int, trees: int) -> int:
+    """The last depth with ``RECALL``; 1 where no depth has it."""
+    depth = 1
+    while depth < MAX_DEPTH and recall(percent, trees, depth + 1) >= RECALL:
+        depth += 1
+    return depth
+
+
 def _confirm(percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
@@ -188,7 +216,7 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
     frontier = by_cls.select("cls", "n", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "v")).select("cls", "n", "tree", F.xxhash64("tree", "v").alias("path"))
     small = (F.col("size") <= leaf) & (F.col("weight") <= weight)
     blocks_of = F.ceil(F.greatest(F.col("size") * 2 / leaf, F.col("weight") * 2 / weight))
-    leaves, depth = [], 1
+    leaves, depth, last, ends = [], 1, branching_ends(percent, trees), None
     while True:
         sizes = frontier.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
         sized = written(frontier.join(sizes, "path"))
@@ -196,16 +224,17 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
         large = sized.where(~small)
         if not large.take(1):
             break
-        if depth in (1, MAX_DEPTH):
-            # blocks around the hub: at the top, and where members share almost every token
+        if depth in (1, last):
+            # blocks around the hub: at the top, and where branching ends
             common = sized.groupBy("cls").agg(F.sum("size").alias("common"))
-            top = large.where("tree < 4") if depth == 1 else large
+            top = large.where("tree < 4") if depth < last else large
             block = F.pmod(F.xxhash64("cls"), blocks_of)
             hubs = top.join(common, "cls").groupBy("path").agg(F.max_by("cls", F.struct("common", "cls")).alias("cls"), F.max(blocks_of).alias("blocks"))
             hubs = hubs.select("cls", "path", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
             cut = top.select("cls", "path", block.alias("block")).unionByName(hubs)
             leaves.append(cut.select("cls", F.xxhash64("path", "block").alias("path")).distinct())
-        if depth == MAX_DEPTH:
+        if depth == last:
+            ends = large.select("cls", "n", "path")
             break
         # one token position per node, sometimes two; both follow from the node's path alone
         first = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(TOKENS))
@@ -216,34 +245,53 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
             .select("cls", "n", "tree", F.xxhash64("path", "i", F.expr("element_at(sig, cast(i + 1 as int))")).alias("path"))
         )
         depth += 1
+
+    def confirmed(members: DataFrame) -> DataFrame:
+        # trees often end in leaves of the same documents: one of each is enough
+        alike = members.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b"))
+        members = members.join(alike.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+        members = members.join(by_cls.select("cls", "marks"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "marks").alias("m"))
+        least = math.floor(TOKENS * j - 5 * math.sqrt(TOKENS * j * (1 - j)))
+        groups = members.groupBy("path").agg(F.collect_list("m").alias("members")).mapInArrow(_candidates(least), "gid long, rep long, low long")
+        groups = written(groups)
+        coarse = connected_components(groups, "rep", "low")
+        coarse = written(coarse)
+        heavy = coarse.join(by_cls.select(F.col("cls").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+        few = heavy.where(small).select("component")
+        in_small = coarse.join(few, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
+        in_large = groups.join(coarse.join(few, "component", "left_anti").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
+        # leaves of several trees often hold the same documents: one of each is enough
+        same = in_large.groupBy("gid").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b"))
+        once = same.groupBy("n", "a", "b").agg(F.min("gid").alias("gid")).select("gid")
+        wanted = in_small.unionByName(in_large.join(once, "gid", "left_semi")).groupBy("rep").agg(F.collect_set("gid").alias("gids"))
+        wanted = wanted.join(classes.select(F.xxhash64("d1", "d2").alias("cls"), "d1", "d2", F.col("rep").alias("doc")), F.col("rep") == F.col("cls")).select("doc", "d1", "d2", "gids")
+        sets = rows.join(wanted, "doc").select("text", "gids", "d1", "d2", F.col("doc").alias("rep")).mapInArrow(_sets, "gid long, rep long, body binary").dropDuplicates(["gid", "rep", "body"])
+        return sets.groupBy("gid").applyInArrow(_confirm(percent), "src long, dst long")
+
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
-    # trees often end in leaves of the same documents: one of each is enough
-    alike = members.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b"))
-    members = members.join(alike.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
-    members = members.join(by_cls.select("cls", "marks"), "cls").select("path", F.struct(F.col("cls").alias("rep"), "marks").alias("m"))
-    least = math.floor(TOKENS * j - 5 * math.sqrt(TOKENS * j * (1 - j)))
-    groups = members.groupBy("path").agg(F.collect_list("m").alias("members")).mapInArrow(_candidates(least), "gid long, rep long, low long")
-    groups = written(groups)
-    coarse = connected_components(groups, "rep", "low")
-    coarse = written(coarse)
-    heavy = coarse.join(by_cls.select(F.col("cls").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    few = heavy.where(small).select("component")
-    in_small = coarse.join(few, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
-    in_large = groups.join(coarse.join(few, "component", "left_anti").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
-    # leaves of several trees often hold the same documents: one of each is enough
-    same = in_large.groupBy("gid").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b"))
-    once = same.groupBy("n", "a", "b").agg(F.min("gid").alias("gid")).select("gid")
-    wanted = in_small.unionByName(in_large.join(once, "gid", "left_semi")).groupBy("rep").agg(F.collect_set("gid").alias("gids"))
-    wanted = wanted.join(classes.select(F.xxhash64("d1", "d2").alias("cls"), "d1", "d2", F.col("rep").alias("doc")), F.col("rep") == F.col("cls")).select("doc", "d1", "d2", "gids")
-    sets = rows.join(wanted, "doc").select("text", "gids", "d1", "d2", F.col("doc").alias("rep")).mapInArrow(_sets, "gid long, rep long, body binary").dropDuplicates(["gid", "rep", "body"])
-    links = sets.groupBy("gid").applyInArrow(_confirm(percent), "src long, dst long")
     # classes under one id are the same node
     named = s.where("n > 0 and doc is not null")
     several = named.groupBy("doc").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc")
     own = named.join(several, "doc", "left_semi").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc <> rep")
-    links = links.unionByName(own.select(F.col("doc").alias("src"), F.col("rep").alias("dst")))
+    own = own.select(F.col("doc").alias("src"), F.col("rep").alias("dst"))
+    links = confirmed(members).unionByName(own)
+    if ends is not None:
+        links = written(links)
+        known = classes.join(connected_components(links), F.col("rep") == F.col("node"), "left").select(F.xxhash64("d1", "d2").alias("cls"), F.coalesce("component", "rep").alias("component"))
+        ends = written(ends.join(known, "cls"))
+        most = ends.groupBy("path", "component").agg(F.count("*").alias("size")).groupBy("path").agg(F.max_by("component", F.struct("size", "component")).alias("most"))
+        other = ends.join(most, "path").where("component <> most").select("cls", "n", "path")
+        blocks = lambda d, name: d.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).select("path", blocks_of.alias(name))
+        # every block of the others meets every block of the node
+        dealt = blocks(other, "n_other").join(blocks(ends, "n_all"), "path")
+        pair = F.xxhash64("path", F.lit("other"), "a", "b").alias("path")
+        of = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        left = other.join(dealt, "path").select("cls", "path", of("n_other").alias("a"), each("n_all").alias("b"))
+        right = ends.join(dealt, "path").select("cls", "path", each("n_other").alias("a"), of("n_all").alias("b"))
+        links = links.unionByName(confirmed(left.unionByName(right).select("cls", pair).distinct()))
     parts = connected_components(links)
     labels = classes.join(parts, classes.rep == parts.node, "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = s.join(labels, ["d1", "d2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

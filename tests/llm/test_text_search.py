@@ -93,6 +93,38 @@ def test_near_against_brute_force(spark, percent, leaf):
     assert got == {d: (len(shingles(t)), want[d], want[d] == d) for d, t in docs}
 
 
+def crowd(pairs, others, seed=3):
+    """A large group of near copies of one text, and in it pairs that are linked to each other only: ``2 * i`` with ``2 * i + 1``."""
+    rnd = random.Random(seed)
+    fresh = iter(range(10**9))
+    hub = [f"h{i}" for i in range(100)]
+
+    def changed(w, places):
+        w = list(w)
+        for p in places:
+            w[p] = f"n{next(fresh)}"
+        return w
+
+    docs = []
+    for _ in range(pairs):
+        x = changed(hub, rnd.sample(range(5, 95), 4))
+        docs += [x, changed(x, [rnd.randrange(5, 95), 98])]
+    docs += [changed(hub, [rnd.randrange(5, 95)]) for _ in range(others)]
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+def test_near_pairs_apart_from_the_hub(spark, monkeypatch):
+    """Where branching ends, a node far above ``leaf`` still links pairs that its hub does not."""
+    monkeypatch.setattr(near_dedup, "MAX_DEPTH", 1)
+    pairs = 80
+    docs = crowd(pairs, 60)
+    sets = [shingles(t) for _, t in docs]
+    linked = [i for i in range(pairs) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 85 * len(sets[2 * i] | sets[2 * i + 1])]
+    got = near(edge(spark, docs), percent=85, trees=4, leaf=64)
+    lost = [i for i in linked if got[2 * i][1] != got[2 * i + 1][1]]
+    assert len(linked) > pairs // 2 and len(lost) <= 0.01 * len(linked), (len(lost), len(linked))
+
+
 def test_near_edge(spark):
     got = near(edge(spark), percent=85)
     want = components([(d, t) for d, t in dict(EDGE).items() if d is not None], 85)
