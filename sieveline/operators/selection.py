@@ -13,14 +13,41 @@ def anti_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_anti")
 
 
-def eligible(entities: DataFrame, sent: DataFrame, drafts: DataFrame | None = None, id_col: str = "entity_id") -> DataFrame:
+def has_email(emails: str = "emails") -> Column:
+    """Is one of the addresses not blank?"""
+    return F.exists(F.coalesce(emails, F.array().cast("array<string>")), lambda e: F.trim(e) != "")
+
+
+def is_group_account(name: Column, handle: Column, url: Column) -> Column:
+    """Does the account stand for a community (``r/...``) and not for a person?"""
+    n, h, u = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, handle, url))
+    n, h = F.trim(n), F.trim(h)
+    return n.startswith("r/") | h.startswith("r/") | h.startswith("/r/") | (u.contains("reddit.com/r/") & ~u.contains("reddit.com/u/") & ~u.contains("reddit.com/user/"))
+
+
+def eligible(entities: DataFrame, sent: DataFrame, drafts: DataFrame | None = None, id_col: str = "entity_id", only_verified: bool = False, limit: int | None = None) -> DataFrame:
     """Entities with an e-mail, a fresh status, nothing sent and no draft waiting.
 
-    ``entities`` has ``emails`` and ``status``; ``sent`` and ``drafts`` need ``id_col`` only.
+    ``entities`` has ``emails`` and ``status``, and ``tags`` for ``only_verified``; ``sent`` and
+    ``drafts`` need ``id_col`` only. ``limit`` takes the smallest ids.
     """
-    out = entities.where(F.exists(F.coalesce("emails", F.array().cast("array<string>")), lambda e: F.trim(e) != "") & F.col("status").isin("new", "qualified"))
+    out = entities.where(has_email() & F.col("status").isin("new", "qualified"))
+    if only_verified:
+        out = out.where(F.array_contains("tags", "site_verified"))
     out = anti_known(out, sent, id_col)
-    return anti_known(out, drafts, id_col) if drafts is not None else out
+    out = anti_known(out, drafts, id_col) if drafts is not None else out
+    return out.orderBy(id_col).limit(limit) if limit is not None else out
+
+
+def eligible_creators(entities: DataFrame, sent: DataFrame, drafts: DataFrame | None = None, id_col: str = "entity_id", limit: int | None = None) -> DataFrame:
+    """As ``eligible``, without group accounts; ``entities`` has ``name, handle, platform_url`` too."""
+    own = entities.where(~is_group_account(F.col("name"), F.col("handle"), F.col("platform_url")))
+    return eligible(own, sent, drafts, id_col, limit=limit)
+
+
+def accepted_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with an e-mail, rows without, and one row of counts ``n_accepted, n_rejected``."""
+    return rows.where(has_email()), rows.where(~has_email()), rows.agg(F.count_if(has_email()).alias("n_accepted"), F.count_if(~has_email()).alias("n_rejected"))
 
 
 def followup_due(events: DataFrame, as_of: Column, days: int = 5, id_col: str = "entity_id", suffix: str = "_relance_j5") -> DataFrame:

@@ -40,6 +40,19 @@ def test_merge_rules(spark):
     assert r.emails == ["A@b.fr", "c@d.fr"]
 
 
+def test_selection_of_creators(spark):
+    s = "entity_id int, name string, handle string, platform_url string, emails array<string>, status string, tags array<string>"
+    mail, tags = ["a@b.fr"], ["site_verified"]
+    rows = [(1, "Ann", None, None, mail, "new", tags), (2, " R/python", None, None, mail, "new", tags), (3, "x", "/r/x", None, mail, "new", None), (4, "x", None, "https://Reddit.com/r/x", mail, "new", []),
+            (5, "x", None, "https://reddit.com/user/x?from=reddit.com/r/y", mail, "new", None), (6, "x", None, None, [" "], "new", tags), (7, None, None, None, None, "new", tags), (8, "Bob", "b", "u", mail, "qualified", tags)]
+    e, none = spark.createDataFrame(rows, s), spark.createDataFrame([], "entity_id int")
+    ids = lambda d: sorted(r.entity_id for r in d.collect())
+    assert ids(selection.eligible_creators(e, none)) == [1, 5, 8] and ids(selection.eligible_creators(e, none, limit=2)) == [1, 5]
+    assert ids(selection.eligible(e, none, only_verified=True)) == [1, 2, 8] and ids(selection.eligible(e, none, only_verified=True, limit=1)) == [1]
+    yes, no, n = selection.accepted_rejected(e)
+    assert ids(yes) == [1, 2, 3, 4, 5, 8] and ids(no) == [6, 7] and tuple(n.first()) == (6, 2)
+
+
 def test_selection(spark):
     e = spark.createDataFrame([(1, ["a@b.fr"], "new"), (2, [" "], "new"), (3, ["c@d.fr"], "won"), (4, ["e@f.fr"], "qualified"), (5, ["g@h.fr"], "new")], "entity_id int, emails array<string>, status string")
     sent, drafts = spark.createDataFrame([(4,)], "entity_id int"), spark.createDataFrame([(5,)], "entity_id int")
