@@ -1,27 +1,36 @@
 """Removal of repeated 100-byte strings by a distributed merge sort of sparse suffixes.
 
 Which bytes are repeated follows from the sorted suffixes: equal 100-byte strings are neighbours.
-Sorting a suffix per byte is not needed. Every 100-byte string owns an anchor, the smallest hash
-of the 32-byte grams in it, which depends on its bytes alone; so equal strings have equal anchors
-at equal offsets. Consecutive strings of a text that own the same anchor form one *stretch*, and
-one suffix per stretch (from the anchor on, then its left context reversed) is sorted.
+Sorting a suffix per byte is not needed. Every 100-byte string owns an anchor, the leftmost of the
+32-byte grams in it with the smallest hash, which depends on its bytes alone; so equal strings have
+equal anchors at equal offsets. Consecutive strings of a text that own the same anchor form one
+*stretch*, and one suffix per stretch (from the anchor on, then its left context reversed) is sorted.
 
 1. Anchor hashes are counted over all documents (one shuffle of 8-byte hashes, pre-aggregated).
-   Hashes seen once cannot lie in a repeat. The others fill a bitmap of fixed size that is
-   broadcast; false positives only add suffixes to the sort.
+   Hashes seen once cannot lie in a repeat. The others set bits of a filter that is broadcast,
+   16 bits for each of them and at most ``MAX_LOG_BITS`` in all: false positives only add suffixes to
+   the sort, so beyond that size the exchange grows (at worst every stretch enters) and the result stays.
 2. Map tasks sort the suffixes that remain into runs, drop copies inside a run but the first, and
    front-code the runs (length of the prefix shared with the suffix before, and the rest), cut at
-   the borders of hash ranges.
+   the borders of hash ranges. A suffix's sort key begins with its anchor's hash. Only suffixes of
+   one anchor can have a string in common, so any order of the anchors does, and hash order needs
+   no sampled splitters: ranges are even, and no anchor lies across a border.
 3. Each range merges its runs with a loser tree that carries, for every loser, the length of the
-   prefix shared with the winner, so known prefixes are never compared again.
+   prefix shared with the winner, so known prefixes are never compared again. There are as many
+   ranges as the counts call for at ``RANGE`` suffixes each.
 4. In merged order equal suffixes are adjacent: all but the first are repeats as a whole.
    Different suffixes of one anchor may share some of their strings; those are compared one by
    one against the strings already met, in order of first occurrence.
+5. Anchors seen more than ``hot`` times (a passage that a third of all documents share) would bring
+   all their surroundings to one range. Their stretches are taken apart into single strings, each of
+   which is a suffix with a hash of its own: equal ones meet, others spread over all ranges, and a
+   run holds each once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from array import array
 
 import numpy as np
@@ -37,9 +46,13 @@ GRAM = 32
 #: a document without an id sorts first
 NO_ID = -(2**63)
 RUN = 40_000
+RANGE = 50_000
+STRINGS = 60_000
 BLOCK = 1 << 18
+#: bits of a position inside a block; the other bits of an anchor's rank are its gram's hash, whatever the block
+PLACE = 20
+MAX_LOG_BITS = 28
 _ZSTD = pa.Codec("zstd", compression_level=3)
-SEGMENT = 16
 
 
 def _stretches(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
@@ -53,15 +66,14 @@ def _stretches(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
         return data, none, none, none, none, np.zeros(0, np.uint64), ends - lens
     at = np.arange(len(data) - gram + 1)
     g = Rolling(data).ranges(at, at + gram)
-    bits = int(len(data)).bit_length()
-    low = (g >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
+    low = (g >> np.uint64(PLACE) << np.uint64(PLACE)) | at.astype(np.uint64)
     width, want = 1, span - gram + 1
     while 2 * width <= want:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if want > width:
         low = np.minimum(low[: -(want - width)], low[want - width :])
-    anchor = (low & np.uint64((1 << bits) - 1)).astype(np.int64)[:n]
+    anchor = (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)[:n]
     valid = np.arange(n) + span <= np.repeat(ends, lens)[:n]
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
@@ -70,31 +82,38 @@ def _stretches(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
         return data, none, none, none, none, np.zeros(0, np.uint64), ends - lens
     size = np.add.reduceat(valid.astype(np.int64), first)
     a = anchor[first]
-    # a minimum is small; mixed again it spreads over bitmap and ranges
+    # a minimum is small; mixed again it spreads over filter and ranges
     return data, np.searchsorted(ends, first, side="right"), first, first + size - 1, a, mix64(g[a]), ends - lens
 
 
-def _count(batches):
-    for batch in batches:
-        for _, texts in sub_batches(batch, "text", BLOCK):
-            h, c = np.unique(_stretches(texts)[5], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], ["h", "c"])
+def _blocks(batch: pa.RecordBatch):
+    """``(row numbers, texts, offsets)`` of at most ``BLOCK`` bytes; a longer text comes in overlapping pieces."""
+    for rows, texts in sub_batches(batch, "text", BLOCK):
+        if max(map(len, texts)) <= BLOCK:
+            yield range(rows.start, rows.stop), texts, [0] * len(texts)
+            continue
+        for i, text in enumerate(texts, rows.start):
+            # a window of SPAN bytes lies whole in the piece in which it starts
+            for at in range(0, len(text) - SPAN + 1, BLOCK):
+                yield [i], [text[at : at + BLOCK + SPAN - 1]], [at]
 
 
-def _mark(log_bits: int):
-    """Bitmap pieces of the hashes of one partition: a row for each segment touched."""
+def _count(batches):
+    held, n = [], 0
 
-    def run(batches):
-        for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            bit = (h >> np.uint64(64 - log_bits)).astype(np.int64)
-            piece, inside = bit >> SEGMENT, bit & ((1 << SEGMENT) - 1)
-            for p in np.unique(piece):
-                mask = np.zeros(1 << SEGMENT, np.uint8)
-                mask[inside[piece == p]] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(mask).tobytes()])], ["piece", "bits"])
+    def flush():
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], ["h", "c"])
 
-    return run
+    for batch in batches:
+        for _, texts, _ in _blocks(batch):
+            held.append(_stretches(texts)[5])
+            n += len(held[-1])
+            if n > 1_000_000:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
 
 
 def _front_code(keys: list[bytes]) -> tuple[np.ndarray, bytes]:
@@ -140,45 +159,94 @@ def _unpack(raw: bytes, n: int, *types):
     return (*out, raw[at:])
 
 
-def _runs(bitmap, log_bits: int, parts: int):
+def _joined(doc, dig, start, end):
+    """Spans in order, overlapping ones of one document joined."""
+    order = np.lexsort((start, dig, doc))
+    doc, dig, start, end = doc[order], dig[order], start[order], end[order]
+    if not len(doc):
+        return doc, dig, start, end
+    same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (dig[1:] == dig[:-1])])
+    # ends grow with the document's number, so one running maximum serves all documents
+    step = int(end.max()) + 1
+    base = np.cumsum(~same) * step
+    reach = np.maximum.accumulate(base + end)
+    new = ~same
+    new[1:] |= base[1:] + start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return doc[at], dig[at], start[at], (reach - base)[np.concatenate([at[1:] - 1, [len(doc) - 1]])]
+
+
+def _runs(shared, log_bits: int, parts: int):
     """Front-coded sorted runs per hash range, and the copies found inside runs."""
 
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits, hot = shared.value
         held: list[tuple] = []
+        copies = tuple(array("q") for _ in range(4))
+
+        def copy(doc, dig, start, end):
+            for a, x in zip(copies, (doc, dig, start, end)):
+                a.append(x)
+
+        def blocks(keep):
+            """Sorted, distinct ``(key, doc, dig, p, q, anchor)`` as one run."""
+            at = np.array([int.from_bytes(x[0][:8], "big") * parts >> 64 for x in keep], np.int64)
+            cuts = np.searchsorted(at, np.unique(at))
+            for a, b in zip(cuts, [*cuts[1:], len(keep)]):
+                own = keep[a:b]
+                prefix, rest = _front_code([x[0] for x in own])
+                doc, dig, p, q, anchor = np.array([x[1:] for x in own], np.int64).T
+                yield _pack(int(at[a]), len(own), prefix, np.array([len(x[0]) for x in own], np.uint16), doc, dig, p.astype(np.int32), (q - p).astype(np.uint16), (anchor - p).astype(np.uint16), rest)
+
+        def strings(first: dict):
+            return blocks(sorted((hashlib.blake2b(s, digest_size=8).digest() + s + bytes([SPAN]), *place, place[2], place[2]) for s, place in first.items()))
 
         def flush():
             held.sort()
-            copies, keep = [], []
+            keep = []
             for x in held:
                 # equal keys sort by place, so the first of them is the earliest here
                 if keep and keep[-1][0] == x[0]:
-                    if keep[-1][1:3] != x[1:3]:
-                        copies.append((x[1], x[2], x[3] + SPAN))
+                    if keep[-1][1:4] != x[1:4]:
+                        copy(x[1], x[2], x[3], x[4] + SPAN)
                 else:
                     keep.append(x)
             held.clear()
-            at = np.array([int.from_bytes(x[0][:8], "big") * parts >> 64 for x in keep], np.int64)
-            cuts = np.searchsorted(at, np.unique(at))
-            for a, b in zip(cuts, [*cuts[1:], len(keep)]):
-                own = keep[a:b]
-                shared, rest = _front_code([x[0] for x in own])
-                doc, p, q, anchor = np.array([x[1:5] for x in own], np.int64).T
-                yield _pack(int(at[a]), len(own), shared, np.array([len(x[0]) for x in own], np.uint16), doc, p.astype(np.int32), (q - p).astype(np.uint16), (anchor - p).astype(np.uint16), rest)
-            if copies:
-                doc, p, q = np.array(copies, np.int64).T
-                yield _pack(int(copies[0][1] % parts), -len(copies), doc, p.astype(np.int32), q.astype(np.int32))
+            if len(hot):
+                apart = [x for x in keep if x[0][:8] in hot]
+                keep = [x for x in keep if x[0][:8] not in hot]
+                first: dict[bytes, tuple] = {}
+                for key, doc, dig, p, q, _ in apart:
+                    body = _body(key)
+                    for i in range(q - p + 1):
+                        s, place = body[i : i + SPAN], (doc, dig, p + i)
+                        old = first.setdefault(s, place)
+                        if old != place:
+                            if place < old:
+                                first[s], place = place, old
+                            copy(*place, place[2] + SPAN)
+                    if len(first) > STRINGS:
+                        yield from strings(first)
+                        first = {}
+                yield from strings(first)
+            yield from blocks(keep)
+            if copies[0]:
+                spans = _joined(*(np.array(x, np.int64) for x in copies))
+                yield _pack(int(spans[0][0] % parts), -len(spans[0]), *spans)
+                for x in copies:
+                    del x[:]
 
         for batch in batches:
-            for rows, texts in sub_batches(batch, "text", BLOCK):
-                ids = batch.column("doc")[rows].to_numpy()
+            ids, digs = batch.column("doc").to_numpy(), batch.column("dig").to_numpy()
+            for rows, texts, offsets in _blocks(batch):
                 data, text, first, last, anchor, h, start = _stretches(texts)
                 bit = (h >> np.uint64(64 - log_bits)).astype(np.int64)
-                on = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+                on = np.flatnonzero((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
                 raw = data.tobytes()
-                for i, k, a, p, q, f in zip(text[on].tolist(), h[on].tolist(), anchor[on].tolist(), first[on].tolist(), last[on].tolist(), start[text[on]].tolist()):
+                shift = start - np.array(offsets, np.int64)
+                for i, k, a, p, q, f in zip(text[on].tolist(), h[on].tolist(), anchor[on].tolist(), first[on].tolist(), last[on].tolist(), shift[text[on]].tolist()):
                     right = raw[a : q + SPAN]
-                    held.append((k.to_bytes(8, "big") + right + raw[p:a][::-1] + len(right).to_bytes(1, "big"), int(ids[i]), p - f, q - f, a - f))
+                    held.append((k.to_bytes(8, "big") + right + raw[p:a][::-1] + len(right).to_bytes(1, "big"), int(ids[rows[i]]), int(digs[rows[i]]), p - f, q - f, a - f))
                 if len(held) >= RUN:
                     yield from flush()
         yield from flush()
@@ -257,9 +325,9 @@ def _shared_strings(variants: list[tuple[bytes, tuple]], emit) -> None:
     Equal strings have their anchor at the same offset, so one offset is compared at a time and
     only its strings are held; a variant remembers its repeats as a bit set.
     """
-    variants.sort(key=lambda v: (v[1][0], v[1][3]))
+    variants.sort(key=lambda v: (v[1][0], v[1][1], v[1][4]))
     found = [0] * len(variants)
-    rows = [(j, body, at - p, q - p) for j, (body, (_, p, q, at)) in enumerate(variants)]
+    rows = [(j, body, at - p, q - p) for j, (body, (_, _, p, q, at)) in enumerate(variants)]
     for offset in range(min(o - n for _, _, o, n in rows), max(o for _, _, o, _ in rows) + 1):
         seen: set[bytes] = set()
         for j, body, o, n in rows:
@@ -270,14 +338,14 @@ def _shared_strings(variants: list[tuple[bytes, tuple]], emit) -> None:
                     found[j] |= 1 << i
                 else:
                     seen.add(w)
-    for bits, (_, (doc, p, _, _)) in zip(found, variants):
+    for bits, (_, (doc, dig, p, _, _)) in zip(found, variants):
         i = 0
         while bits >> i:
             if bits >> i & 1:
                 first = i
                 while bits >> i & 1:
                     i += 1
-                emit(doc, p + first, p + i - 1 + SPAN)
+                emit(doc, dig, p + first, p + i - 1 + SPAN)
             else:
                 i += 1
 
@@ -289,22 +357,23 @@ def _body(key: bytes) -> bytes:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    docs, starts, ends = array("q"), array("q"), array("q")
+    spans = tuple(array("q") for _ in range(4))
     runs, places = [], []
 
-    def emit(doc, start, end):
-        docs.append(doc), starts.append(start), ends.append(end)
+    def emit(*span):
+        for a, x in zip(spans, span):
+            a.append(x)
 
     for n, size, block in zip(*(table.column(c) for c in BLOCKS[1:])):
         n = n.as_py()
         raw = _ZSTD.decompress(block.as_buffer(), size.as_py(), asbytes=True)
         if n < 0:
-            doc, p, q, _ = _unpack(raw, -n, np.int64, np.int32, np.int32)
-            docs.extend(doc.tolist()), starts.extend(p.tolist()), ends.extend(q.tolist())
+            for a, x in zip(spans, _unpack(raw, -n, *[np.int64] * 4)):
+                a.frombytes(x.tobytes())
         else:
-            shared, lens, doc, p, wide, at, rest = _unpack(raw, n, np.uint16, np.uint16, np.int64, np.int32, np.uint16, np.uint16)
+            shared, lens, doc, dig, p, wide, at, rest = _unpack(raw, n, np.uint16, np.uint16, np.int64, np.int64, np.int32, np.uint16, np.uint16)
             runs.append((shared, lens, rest))
-            places.append((doc, p, wide, at))
+            places.append((doc, dig, p, wide, at))
 
     def close(group):
         if len(group) > 1:
@@ -312,13 +381,13 @@ def _merge(table: pa.Table) -> pa.Table:
 
     group: list[list] = []
     for key, known, run, i in LoserTree(runs):
-        doc, p, wide, at = (int(x[i]) for x in places[run])
-        place = (doc, p, p + wide, p + at)
+        doc, dig, p, wide, at = (int(x[i]) for x in places[run])
+        place = (doc, dig, p, p + wide, p + at)
         if group and known == len(key) == len(group[-1][0]):
             old = group[-1][1]
-            if place[:2] != old[:2]:
-                first, second = (old, place) if (old[0], old[3]) <= (place[0], place[3]) else (place, old)
-                emit(second[0], second[1], second[2] + SPAN)
+            if place[:3] != old[:3]:
+                first, second = (old, place) if old[:3] <= place[:3] else (place, old)
+                emit(*second[:3], second[3] + SPAN)
                 group[-1][1] = first
             continue
         if group and known < 8 + GRAM:
@@ -326,62 +395,54 @@ def _merge(table: pa.Table) -> pa.Table:
             group = []
         group.append([key, place])
     close(group)
-    doc, start, end = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (docs, starts, ends))
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    # join overlapping spans of one document: fewer rows leave the task
-    if len(doc):
-        far = end.copy()
-        new = np.ones(len(doc), bool)
-        reach = -1
-        for i in range(len(doc)):
-            if i and doc[i] == doc[i - 1] and start[i] <= reach:
-                new[i] = False
-            else:
-                reach = -1
-            reach = max(reach, int(end[i]))
-            far[i] = reach
-        at = np.flatnonzero(new)
-        end = far[np.concatenate([at[1:] - 1, [len(doc) - 1]])]
-        doc, start = doc[at], start[at]
-    return pa.table({"doc": doc, "start": start, "end": end})
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log_bits: int = 25) -> DataFrame:
-    """Byte spans ``(doc, start, end)`` covered by 100-byte strings that also start earlier; spans may overlap."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    often = rows.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-    pieces = often.mapInArrow(_mark(log_bits), "piece long, bits binary").groupBy("piece").agg(F.collect_list("bits").alias("bits"))
-
-    def join(batches):
-        for batch in batches:
-            for p, bits in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]).tobytes()])], ["piece", "bits"])
-
-    # 2^log_bits / 8 bytes at most reach the driver: 4 MB, whatever the corpus
-    bitmap = np.zeros((1 << log_bits) // 8, np.uint8)
-    for r in pieces.mapInArrow(join, "piece long, bits binary").collect():
-        a = r["piece"] << (SEGMENT - 3)
-        bitmap[a : a + (1 << (SEGMENT - 3))] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # fewer rows leave the task
+    return pa.table(dict(zip(("doc", "dig", "start", "end"), _joined(*(np.array(x, np.int64) for x in spans)))))
+
+
+def _filter(often: DataFrame, log_bits: int) -> np.ndarray:
+    """The bits of the hashes in ``often``; at most 2^log_bits / 64 words of 8 bytes reach the driver."""
+    bit = F.shiftrightunsigned("h", 64 - log_bits)
+    words = often.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log_bits}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros((1 << log_bits) >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def repeated_spans(rows: DataFrame, hot: int = 20_000) -> DataFrame:
+    """Byte spans ``(doc, dig, start, end)`` covered by 100-byte strings that also start earlier; spans may overlap.
+
+    ``rows`` has ``doc`` and ``dig`` (longs, not null), which together name a text, and ``text``.
+    """
+    spark = rows.sparkSession
+    counts = rows.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    often = written(counts.where("c > 1"))
+    n, total = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    log_bits = min(MAX_LOG_BITS, max(20, math.ceil(math.log2(16 * n + 1))))
+    # at most 65,536 anchors can be above the second bound
+    many = often.where(F.col("c") > max(hot, total // 65_536)).select("h").toArrow().column("h").to_numpy()
+    apart = {int(h).to_bytes(8, "big") for h in many.view(np.uint64)}
+    shared = spark.sparkContext.broadcast((_filter(often, log_bits), apart))
+    parts = max(1, math.ceil(total / RANGE))
     runs = rows.mapInArrow(_runs(shared, log_bits, parts), "part int, n int, size int, block binary")
-    return runs.groupBy("part").applyInArrow(lambda t: _merge(t), "doc long, start long, end long")
+    return runs.groupBy("part").applyInArrow(lambda t: _merge(t), "doc long, dig long, start long, end long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000) -> DataFrame:
     """Each row's text without the bytes covered by a 100-byte string that also starts earlier.
 
     Returns one row per input row: ``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept``
     (the remaining bytes). Earlier is a smaller id, or the same text further left. Strings are
     judged on the input, not on what is left. Null text is empty; texts under 100 bytes never
-    change. Rows without an id sort first and, like rows that share an id, are one document:
-    they do not remove each other's bytes at the same place.
+    change. Rows without an id sort first. Rows that repeat both id and text are one document and
+    do not remove each other's bytes; rows with one id and different texts (rows without an id
+    too) are documents of their own, in order of a hash of the text. Empty input gives no rows;
+    other columns are not read. ``hot`` is the count of an anchor above which its surroundings are
+    compared string by string over all ranges (see the module); the result does not depend on it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = written(spans.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("of"), "spans"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("dig"), "text")
+    spans = repeated_spans(rows.drop("id"), hot).groupBy("doc", "dig").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = written(spans.withColumnsRenamed({"doc": "of", "dig": "of_dig"}))
 
     def cut(batches):
         for batch in batches:
@@ -393,8 +454,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if own:
                         edge = np.zeros(len(text) + 1, np.int64)
                         for s in own:
-                            edge[min(s["start"], len(text))] += 1
-                            edge[min(s["end"], len(text))] -= 1
+                            edge[s["start"]] += 1
+                            edge[s["end"]] -= 1
                         off = np.cumsum(edge[:-1]) > 0
                         gone = int(off.sum())
                         runs = int((off[1:] & ~off[:-1]).sum() + off[0]) if len(off) else 0
@@ -402,11 +463,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for x, v in zip(out, (len(text), gone, runs, hashlib.sha256(kept).hexdigest(), kept)):
                         x.append(v)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc")[at], *[pa.array(x, t) for x, t in zip(out, types)]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[at], *[pa.array(x, t) for x, t in zip(out, types)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    both = rows.join(spans, rows.doc.eqNullSafe(spans.of), "left").select("doc", "text", "spans")
-    return both.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("doc", id_col)
+    both = rows.join(spans, (rows.doc == spans.of) & (rows.dig == spans.of_dig), "left").select("id", "text", "spans")
+    return both.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
 def op8_suffix_dedup(spark, sf_dir):
+    """``remove_repeats`` over all ``documents``, without the remaining bytes themselves; its handling of nulls, ties and repeats holds."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")

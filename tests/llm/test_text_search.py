@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import EDGE, SF, components, edge, empty, lower, repeats, shingles
@@ -196,6 +197,64 @@ def test_many_variants_of_one_anchor(spark):
     assert run8(edge(spark, docs)) == repeats(docs)
 
 
+@pytest.mark.parametrize("hot, strings", [(3, 60_000), (3, 100), (0, 1000)])
+def test_repeats_of_hot_anchors(spark, monkeypatch, hot, strings):
+    """Anchors taken apart into strings give the same spans."""
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = [noise(n) for n in (100, 130, 300)]
+    docs = [(i, noise(rnd.randint(0, 150)) + rnd.choice(shared) + noise(rnd.randint(0, 60)) + rnd.choice(shared)) for i in range(60)]
+    docs += [(100, "ab" * 300), (101, "é" * 120), (102, "é" * 120)]
+    monkeypatch.setattr(suffix_dedup, "STRINGS", strings)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(edge(spark, docs), hot=hot).collect()}
+    assert got == repeats(docs)
+
+
+def test_repeats_of_one_passage_everywhere(spark):
+    """Thousands of surroundings of one passage, far above ``hot``."""
+    passage = " ".join(f"shared{i}" for i in range(12))
+    docs = [(i, f"{hashlib.sha256(b'%d' % i).hexdigest()} {passage} {hashlib.md5(b'%d' % i).hexdigest()}") for i in range(6000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(edge(spark, docs), hot=200).collect()}
+    assert got == repeats(docs)
+
+
+def test_repeats_in_pieces(spark, monkeypatch):
+    """Texts longer than a block are read in pieces."""
+    rnd = random.Random(13)
+    noise = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    long = noise(3000)
+    docs = [(1, long), (2, long[500:2500] + noise(700)), (3, noise(200) + long[:1999]), (4, ""), (5, "ab" * 900)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 333)
+    rows = [(d, t.encode()) for d, t in docs]
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})
+    whole = {w: sum(1 for _, t in rows for i in range(len(t) - 99) if t[i : i + 100] == w) for w in {t[i : i + 100] for _, t in rows for i in range(len(t) - 99)}}
+    met: dict[bytes, int] = {}
+    for _, texts, _ in suffix_dedup._blocks(batch):
+        data, _, first, last, *_ = suffix_dedup._stretches(texts)
+        for p, q in zip(first.tolist(), last.tolist()):
+            for i in range(p, q + 1):
+                w = data[i : i + 100].tobytes()
+                met[w] = met.get(w, 0) + 1
+    assert met == whole
+    assert run8(edge(spark, docs)) == repeats(docs)
+
+
+def test_repeats_one_id_other_texts(spark):
+    """Rows with one id and different texts are documents of their own; repeated rows are one."""
+    rnd = random.Random(14)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    a, u1, u2 = noise(300), noise(200), noise(300)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(edge(spark, [(1, a), (5, a + u1), (5, u2), (5, u2), (None, u1), (None, u1)])).collect()}
+    assert got == {(1, 300): 0, (5, 500): 500, (5, 300): 0, (None, 200): 0}
+
+
+def test_filter_saturates(spark, monkeypatch):
+    """A filter far too small lets every stretch in and changes nothing."""
+    monkeypatch.setattr(suffix_dedup, "MAX_LOG_BITS", 6)
+    rows = [(d, t) for d, t in dict(EDGE).items() if d is not None]
+    assert run8(edge(spark, rows)) == repeats(rows)
+
+
 def test_repeats_edge(spark):
     rows = [(d, t) for d, t in dict(EDGE).items() if d is not None]
     got = run8(edge(spark, rows))
