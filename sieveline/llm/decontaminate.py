@@ -1,32 +1,33 @@
 """Benchmark decontamination by winnowing.
 
 Of every 6 consecutive 5-word hashes the smallest is a fingerprint, so any span of 10 shared
-words holds a shared one (5 + 6 - 1 = 10). Documents and benchmark are fingerprinted alike,
-joined on the fingerprint, and each document that shares one is searched for the items it met:
-windows of 10 words are looked up around every hit, which gives the full extent of shared spans.
+words holds a shared one (5 + 6 - 1 = 10). Documents and benchmark are fingerprinted alike. A
+document's fingerprints pass a filter of the benchmark's ones that is broadcast; around each that
+passes, every window of 10 words that holds it is joined, by 128 bits of its words' hashes, to the
+benchmark's windows. That extends hits to the full extent of shared spans.
 
-Items of fewer than 10 words are one window each and take every gram of their own length
-instead of a winnowed set, so short spans are guaranteed as well.
+Items of fewer than 10 words are one window each; every gram of such a length is tried instead of
+a winnowed set, so short spans are guaranteed as well.
 
-A bitmap of fixed size (128 KB) over fingerprint hashes is broadcast to drop most document
-fingerprints before they leave the task; a larger benchmark fills it and lets more through to
-the exact join, whose strategy Spark picks by size.
+Items enter as sets: a window names the set of items that hold it, and a document the combination
+of its windows' sets. Each distinct combination is worked out once, so a passage that stands in every
+item and in a third of all documents costs one row per document, not a pair with each item.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.textops import ALNUM, grams, signed, sub_batches, words_of
+from sieveline.llm.hashfilter import hash_filter
+from sieveline.llm.textops import ALNUM, grams, mix64, signed, sub_batches, words_of
 from sieveline.session import written
 
 K, WINDOW = 5, 10
-MAP_BITS = 20
+#: the filter holds 16 bits for each benchmark fingerprint, up to 16 MB; beyond that more windows reach the exact join
+MAX_LOG_BITS = 27
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,66 +50,84 @@ def _winnow(g: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
 
 
 def _fingerprints(texts: list[bytes], short: tuple[int, ...]):
-    """``(text index, gram length, hash)`` of each text: winnowed 5-grams, and all grams of the lengths in ``short``."""
+    """Words of the texts, and ``(gram length, position, hash)`` of winnowed 5-grams and of all grams of the lengths in ``short``."""
     w = words_of(texts, ALNUM)
-    h, n = w.hashes(), np.diff(w.first)
-    out = []
+    h = w.hashes()
     g = grams(h, K)
     at = _winnow(g, w.first, WINDOW - K + 1)
-    out.append((np.searchsorted(w.first, at, side="right") - 1, np.full(len(at), WINDOW), g[at]))
+    out = [(np.full(len(at), WINDOW), at, g[at])]
     for m in short:
-        g = grams(h, m)
+        g = mix64(grams(h, m) + np.uint64(m))
         start = np.arange(len(g))
-        text = np.searchsorted(w.first, start, side="right") - 1
-        ok = start + m <= w.first[text + 1]
-        out.append((text[ok], np.full(ok.sum(), m), g[ok]))
-    return [np.concatenate(x) for x in zip(*out)], n
+        ok = start + m <= w.first[np.searchsorted(w.first, start, side="right")] if len(g) else np.zeros(0, bool)
+        out.append((np.full(ok.sum(), m), start[ok], g[ok]))
+    return w, [np.concatenate(x) for x in zip(*out)]
+
+
+def _windows(w, size: int, start: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each window of ``size`` words, from two families of word hashes."""
+    out = []
+    for which in (0, 1):
+        h, total = w.hashes(which), np.zeros(len(start), np.uint64)
+        for i in range(size):
+            total = total * np.uint64(0xD6E8FEB86659FD93) + h[start + i]
+        out.append(signed(mix64(total)))
+    return out
+
+
+_ITEM = ["item", "mark", "size", "h0", "h1"]
 
 
-def _emit(docs: DataFrame, key: str, short, bitmap=None, own: bool = False) -> DataFrame:
-    """Fingerprints of a table with columns ``key, text``. ``own``: a short item gives its own length only."""
+def _item_windows(batches):
+    """A row for each window of an item, and one for each fingerprint (``mark``) that stands for some."""
+    for batch in batches:
+        for rows, texts in sub_batches(batch, "text"):
+            w = words_of(texts, ALNUM)
+            n = np.diff(w.first)
+            short = tuple(sorted(set(n[(n > 0) & (n < WINDOW)].tolist())))
+            w, (size, at, h) = _fingerprints(texts, short)
+            text = np.searchsorted(w.first, at, side="right") - 1
+            own = size == np.minimum(n[text], WINDOW)
+            h = np.unique(h[own])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(signed(h)), *[pa.nulls(len(h), t) for t in (pa.int32(), pa.int64(), pa.int64())]], _ITEM)
+            for m in (*short, WINDOW):
+                start = np.arange(len(w.starts))
+                text = np.searchsorted(w.first, start, side="right") - 1
+                start = start[(start + m <= w.first[text + 1]) & (np.minimum(n[text], WINDOW) == m)]
+                text = np.searchsorted(w.first, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column("item")[rows].take(pa.array(text)), pa.nulls(len(start), pa.int64()), pa.array(np.full(len(start), m, np.int32)), *map(pa.array, _windows(w, m, start))], _ITEM)
+
+
+_SEEN = ["doc", "dig", "n_words", "size", "start", "h0", "h1"]
+
+
+def _document_windows(shared, short):
+    """A row for each document with its number of words, and one for each of its windows around a fingerprint that passes."""
 
     def run(batches):
         for batch in batches:
             for rows, texts in sub_batches(batch, "text"):
-                (text, size, h), n = _fingerprints(texts, short)
-                if own:
-                    keep = np.where(n[text] >= WINDOW, size == WINDOW, size == n[text])
-                    text, size, h = text[keep], size[keep], h[keep]
-                if bitmap is not None:
-                    bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8))
-                    keep = bits[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)] == 1
-                    text, size, h = text[keep], size[keep], h[keep]
-                if len(h):
-                    u = np.unique(np.stack([text, size, signed(h)]), axis=1)
-                    keys = batch.column("key")[rows].take(pa.array(u[0]))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(u[1].astype(np.int32)), pa.array(u[2])], ["key", "size", "h"])
-
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, "key long, size int, h long")
-
-
-def _search(text: bytes, items: list[tuple[int, bytes]]) -> tuple[int, list[int]]:
-    """Words of ``text`` inside any window of ``items``, and the items that occur."""
-    low = text.translate(_TRANSLATE).split()
-    hit = np.zeros(len(low), bool)
-    index: dict[int, dict[tuple, list[int]]] = {}
-    for item, body in items:
-        w = body.translate(_TRANSLATE).split()
-        m = min(WINDOW, len(w))
-        for i in range(len(w) - m + 1):
-            index.setdefault(m, {}).setdefault(tuple(w[i : i + m]), []).append(item)
-    seen: set[int] = set()
-    for m, windows in index.items():
-        heads = {k[0] for k in windows}
-        for i, word in enumerate(low[: len(low) - m + 1]):
-            if word in heads and (at := windows.get(tuple(low[i : i + m]))):
-                hit[i : i + m] = True
-                seen.update(at)
-    return int(hit.sum()), sorted(seen, key=str)
-
-
-#: word bytes stay (A-Z lower-cased), all others become a space
-_TRANSLATE = bytes((c + 32 if 65 <= c <= 90 else c) if ALNUM[c + 32 if 65 <= c <= 90 else c] else 32 for c in range(256))
+                w, (size, at, h) = _fingerprints(texts, short)
+                n = np.diff(w.first)
+                doc, dig = batch.column("doc")[rows], batch.column("dig")[rows]
+                none = [pa.nulls(len(texts), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([doc, dig, pa.array(n), *none], _SEEN)
+                on = shared.value.passes(h)
+                size, at = size[on], at[on]
+                for m in np.unique(size).tolist():
+                    p = at[size == m]
+                    text = np.searchsorted(w.first, p, side="right") - 1
+                    if m == WINDOW:
+                        start = (p[:, None] - np.arange(WINDOW - K + 1)).ravel()
+                        text = np.repeat(text, WINDOW - K + 1)
+                        ok = (start >= w.first[text]) & (start + WINDOW <= w.first[text + 1])
+                        p = np.unique(start[ok])
+                        text = np.searchsorted(w.first, p, side="right") - 1
+                    take = pa.array(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc.take(take), dig.take(take), pa.nulls(len(p), pa.int64()), pa.array(np.full(len(p), m, np.int32)), pa.array((p - w.first[text]).astype(np.int32)), *map(pa.array, _windows(w, m, p))], _SEEN)
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,41 +137,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. Null or wordless
     texts have no words and no hits; null or wordless items never occur. Items repeating an id
-    count once by that id, each with its own windows. Every row is searched in its own text, also
-    rows that repeat an id or have none. With no items nothing is contaminated.
+    count once by that id, each with its own windows. The windows of items without an id hit words
+    like any others, but such items have no name and count in neither ``n_items`` nor the digest.
+    Every row is searched in its own text, also rows that repeat an id or have none. With no items
+    nothing is contaminated. Empty input gives no rows; other columns are not read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text")
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    m = F.least(F.regexp_count(lower, F.lit(PATTERN)), F.lit(WINDOW))
+    spark = docs.sparkSession
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("dig"), F.col(text_col).alias("text"))
+    items = written(benchmark.select(F.col("item_id").cast("long").alias("item"), "text").mapInArrow(_item_windows, "item long, mark long, size int, h0 long, h1 long"))
+    marks = items.where("mark is not null").select("mark").distinct()
     # at most nine lengths below a window
-    short = tuple(sorted(r[0] for r in items.select(m.alias("m")).where(f"m between 1 and {WINDOW - 1}").distinct().collect()))
-    marks = _emit(items, "item", short, own=True).withColumnRenamed("key", "item")
-    places = marks.select(F.expr(f"cast(shiftrightunsigned(h, {64 - MAP_BITS}) as int)").alias("p")).distinct()
-    bits = np.zeros(1 << MAP_BITS, np.uint8)
-    bits[[r[0] for r in places.toLocalIterator()]] = 1  # at most 2^20 places, whatever the benchmark's size
-    bitmap = d.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    met = _emit(d, "doc", short, bitmap).join(marks, ["size", "h"]).select(F.col("key").alias("hit_doc"), "item").distinct()
-    pairs = met.join(items, "item").groupBy("hit_doc").agg(F.collect_list(F.struct("item", F.col("text").alias("body"))).alias("items"))
-    pairs = written(pairs)
-
-    def search(batches):
-        for batch in batches:
-            for rows, texts in sub_batches(batch, "text"):
-                w = words_of(texts, ALNUM)
-                out = [(0, [])] * len(texts)
-                for i, its in enumerate(batch.column("items")[rows].to_pylist()):
-                    if its:
-                        out[i] = _search(texts[i], [(x["item"], x["body"].encode()) for x in its])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc")[rows], pa.array(np.diff(w.first)), pa.array([x[0] for x in out], pa.int64()), pa.array([len(x[1]) for x in out], pa.int64()),
-                     pa.array([hashlib.sha256(",".join(map(str, x[1])).encode()).hexdigest() for x in out]), pa.array([x[0] > 0 for x in out])],
-                    ["doc", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    both = d.join(pairs, d.doc.eqNullSafe(pairs.hit_doc), "left").select("doc", "text", "items")
-    return both.mapInArrow(search, "doc long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").withColumnRenamed("doc", id_col)
+    short = tuple(sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect()))
+    shared = spark.sparkContext.broadcast(hash_filter(marks, "mark", marks.count(), MAX_LOG_BITS))
+    of = items.where("size is not null").groupBy("size", "h0", "h1").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set", F.md5(F.to_json("items").cast("binary")))
+    of = written(of)
+    seen = written(d.mapInArrow(_document_windows(shared, short), "doc long, dig long, n_words long, size int, start int, h0 long, h1 long"))
+    # repeated rows have the same windows: one of each counts
+    hits = seen.where("size is not null").join(of.select("size", "h0", "h1", "set"), ["size", "h0", "h1"])
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    per = hits.groupBy("doc", "dig").agg(spans.alias("spans"), F.array_sort(F.collect_set("set")).alias("sets"))
+    grown = F.aggregate(
+        "spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n")))
+    per = written(per.select(F.col("doc").alias("of_doc"), F.col("dig").alias("of_dig"), grown["n"].alias("n_hit"), "sets", F.md5(F.array_join("sets", ",").cast("binary")).alias("mix")))
+    named = per.select("mix", "sets").dropDuplicates(["mix"]).select("mix", F.explode("sets").alias("set")).join(of.select("set", "items").dropDuplicates(["set"]), "set")
+    named = named.select("mix", F.explode("items").alias("item")).groupBy("mix").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
+    named = named.select("mix", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    per = per.join(named, "mix", "left").select("of_doc", "of_dig", "n_hit", "n_items", "items_sha256")
+    base = seen.where("n_words is not null").select("doc", "dig", "n_words")
+    out = base.join(per, base.doc.eqNullSafe(per.of_doc) & (base.dig == per.of_dig), "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def op10_decontaminate(spark, sf_dir):
+    """``contamination`` of all ``documents`` by all ``benchmark`` items; its handling of nulls, ties and repeats holds."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

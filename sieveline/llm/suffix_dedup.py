@@ -7,8 +7,8 @@ equal anchors at equal offsets. Consecutive strings of a text that own the same
 *stretch*, and one suffix per stretch (from the anchor on, then its left context reversed) is sorted.
 
 1. Anchor hashes are counted over all documents (one shuffle of 8-byte hashes, pre-aggregated).
-   Hashes seen once cannot lie in a repeat. The others set bits of a filter that is broadcast,
-   16 bits for each of them and at most ``MAX_LOG_BITS`` in all: false positives only add suffixes to
+   Hashes seen once cannot lie in a repeat. The others enter a filter that is broadcast, of
+   16 bits for each of them and at most 2^``MAX_LOG_BITS`` bits in all: false positives only add suffixes to
    the sort, so beyond that size the exchange grows (at worst every stretch enters) and the result stays.
 2. Map tasks sort the suffixes that remain into runs, drop copies inside a run but the first, and
    front-code the runs (length of the prefix shared with the suffix before, and the rest), cut at
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.hashfilter import hash_filter
 from sieveline.llm.textops import Rolling, mix64, signed, sub_batches
 from sieveline.session import written
 
@@ -176,11 +177,11 @@ def _joined(doc, dig, start, end):
     return doc[at], dig[at], start[at], (reach - base)[np.concatenate([at[1:] - 1, [len(doc) - 1]])]
 
 
-def _runs(shared, log_bits: int, parts: int):
+def _runs(shared, parts: int):
     """Front-coded sorted runs per hash range, and the copies found inside runs."""
 
     def run(batches):
-        bits, hot = shared.value
+        known, hot = shared.value
         held: list[tuple] = []
         copies = tuple(array("q") for _ in range(4))
 
@@ -240,8 +241,7 @@ def _runs(shared, log_bits: int, parts: int):
             ids, digs = batch.column("doc").to_numpy(), batch.column("dig").to_numpy()
             for rows, texts, offsets in _blocks(batch):
                 data, text, first, last, anchor, h, start = _stretches(texts)
-                bit = (h >> np.uint64(64 - log_bits)).astype(np.int64)
-                on = np.flatnonzero((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+                on = np.flatnonzero(known.passes(h))
                 raw = data.tobytes()
                 shift = start - np.array(offsets, np.int64)
                 for i, k, a, p, q, f in zip(text[on].tolist(), h[on].tolist(), anchor[on].tolist(), first[on].tolist(), last[on].tolist(), shift[text[on]].tolist()):
@@ -399,15 +399,6 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("doc", "dig", "start", "end"), _joined(*(np.array(x, np.int64) for x in spans)))))
 
 
-def _filter(often: DataFrame, log_bits: int) -> np.ndarray:
-    """The bits of the hashes in ``often``; at most 2^log_bits / 64 words of 8 bytes reach the driver."""
-    bit = F.shiftrightunsigned("h", 64 - log_bits)
-    words = often.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log_bits}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros((1 << log_bits) >> 6, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def repeated_spans(rows: DataFrame, hot: int = 20_000) -> DataFrame:
     """Byte spans ``(doc, dig, start, end)`` covered by 100-byte strings that also start earlier; spans may overlap.
 
@@ -417,13 +408,12 @@ def repeated_spans(rows: DataFrame, hot: int = 20_000) -> DataFrame:
     counts = rows.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     often = written(counts.where("c > 1"))
     n, total = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    log_bits = min(MAX_LOG_BITS, max(20, math.ceil(math.log2(16 * n + 1))))
     # at most 65,536 anchors can be above the second bound
     many = often.where(F.col("c") > max(hot, total // 65_536)).select("h").toArrow().column("h").to_numpy()
     apart = {int(h).to_bytes(8, "big") for h in many.view(np.uint64)}
-    shared = spark.sparkContext.broadcast((_filter(often, log_bits), apart))
+    shared = spark.sparkContext.broadcast((hash_filter(often, "h", n, MAX_LOG_BITS), apart))
     parts = max(1, math.ceil(total / RANGE))
-    runs = rows.mapInArrow(_runs(shared, log_bits, parts), "part int, n int, size int, block binary")
+    runs = rows.mapInArrow(_runs(shared, parts), "part int, n int, size int, block binary")
     return runs.groupBy("part").applyInArrow(lambda t: _merge(t), "doc long, dig long, start long, end long")
 
 

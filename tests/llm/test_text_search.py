@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from helpers import EDGE, SF, components, edge, empty, lower, repeats, shingles
-from sieveline.llm import decontaminate, near_dedup, suffix_dedup
+from sieveline.llm import decontaminate, hashfilter, near_dedup, suffix_dedup, textops
 
 
 def contamination(docs, items):
@@ -28,7 +28,7 @@ def contamination(docs, items):
             for i in range(len(w) - m + 1):
                 if own := windows.get(tuple(w[i : i + m])):
                     hit |= set(range(i, i + m))
-                    found |= own
+                    found |= own - {None}
         out.append((d if d is not None else -1, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
@@ -52,6 +52,27 @@ def test_decontaminate_short_items_and_edges(spark):
     assert run10(empty(spark), bench) == []
 
 
+def test_decontaminate_items_without_id_and_a_common_passage(spark):
+    """One passage in every item and document; items without an id hit, but have no name."""
+    rnd = random.Random(8)
+    some = lambda n: " ".join(f"w{rnd.randint(0, 400)}" for _ in range(n))
+    passage, lone = some(25), some(12)
+    items = [(i % 40, some(5) + " " + passage + " " + some(8)) for i in range(60)] + [(None, lone), (None, None), (90, lone[: len(lone) // 2])]
+    docs = [(i, f"{some(3)} {passage} {some(9)}") for i in range(50)] + [(50, lone), (51, f"x {lone} y"), (51, some(30)), (None, lone), (None, passage)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert run10(edge(spark, docs), bench) == contamination(docs, items)
+
+
+def test_filter_of_hashes(spark, monkeypatch):
+    """Every hash passes its own filter; a saturated one lets more windows through and changes nothing."""
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    f = hashfilter.hash_filter(spark.createDataFrame([(int(x),) for x in h], "h long"), "h", len(h), 27)
+    assert f.passes(h.view(np.uint64)).all() and f.passes(textops.mix64(h.view(np.uint64))).mean() < 0.05
+    monkeypatch.setattr(decontaminate, "MAX_LOG_BITS", 6)
+    items = [(1, "the quick BROWN fox jumps over the lazy dog again"), (2, "one, two")]
+    assert run10(edge(spark), spark.createDataFrame(items, "item_id long, text string")) == contamination(EDGE, items)
+
+
 def test_winnowing_guarantee():
     """Any shared span of 10 words shares a fingerprint, whatever stands around it."""
     rnd = random.Random(5)
@@ -61,7 +82,7 @@ def test_winnowing_guarantee():
         marks = []
         for _ in range(2):
             text = " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 9))) + " " + span + " " + " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 9)))
-            marks.append(set(decontaminate._fingerprints([text.strip().encode()], ())[0][2].tolist()))
+            marks.append(set(decontaminate._fingerprints([text.strip().encode()], ())[1][2].tolist()))
         assert marks[0] & marks[1]
 
 
