@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 from helpers import EDGE, SF, edge, empty, words
-from sieveline.llm import brown_lm, language_crf, quality
+from sieveline.llm import brown_lm, language_crf, quality, textops
 
 
 def test_lm_counts(spark):
@@ -30,6 +30,35 @@ def test_lm_counts(spark):
     assert ours > base  # classes predict held-out text better than words alone
 
 
+def test_lm_score_is_brute_force(spark):
+    """Every text's score, token by token, with classes for members, for further words of the head, and for the rest."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, counts = brown_lm.fit(docs.where("doc_id % 7 <> 2"), members=40, head=400)
+    cls = dict(zip(model.head.tolist(), model.head_class.tolist()))
+    c = {r.h % 2**64: r.c for r in counts.collect()}
+    assert len(set(model.head_class.tolist())) > 10 and (model.head_class < model.classes).all()
+    got = {r.doc_id: r.score for r in brown_lm.score(docs, model, counts).collect()}
+    for r in docs.collect():
+        w = textops.words_of([(r.text or "").encode()])
+        want, last = 0.0, model.classes
+        for h, rare in zip([*w.hashes().tolist(), None], [*brown_lm._rare(w).tolist(), None]):
+            k = model.classes if h is None else cls.get(h, model.classes + 1 + (rare or 0))
+            n = model.ends if h is None else c.get(h, 0)
+            want += model.log_next[last, k] + math.log10(n + 1) - model.log_size[k]
+            last = k
+        assert abs(got[r.doc_id] - want) < 1e-6 * abs(want)
+    # sizes: every token and word is in one class
+    assert abs((10 ** model.log_size - 1).sum() - (model.tokens + model.distinct)) < 1e-3
+
+
+def test_batch_exchange_predicts_better(spark):
+    """Classes by choice for words beyond the members beat fixed ones on held-out text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train, rest = docs.where("doc_id % 7 <> 2"), docs.where("doc_id % 7 = 2")
+    total = lambda sweeps: sum(r.score for r in brown_lm.score(rest, *brown_lm.fit(train, members=60, sweeps=sweeps)).collect())
+    assert total(1) > total(0)
+
+
 def test_lm_tail_join(spark, monkeypatch):
     """The same scores when nearly all words go through the join."""
     docs = edge(spark, [(i, t) for i, t in EDGE if i is not None and i < 13])
@@ -71,7 +100,7 @@ def test_exchange_raises_likelihood():
 
 def test_forward_backward_is_exact():
     rnd = np.random.default_rng(3)
-    m = language_crf.Crf(["a", "b"], None, None, rnd.normal(size=(2, 2)), rnd.normal(size=2))
+    m = language_crf.Crf(["a", "b"], None, None, rnd.normal(size=(2, 2)), rnd.normal(size=2), None, None)
     e = rnd.normal(size=(9, 2))
     seg = np.full((2, language_crf.SEGMENT), -1)
     seg[0, :5], seg[1, :4] = range(5), range(5, 9)
@@ -85,6 +114,63 @@ def test_forward_backward_is_exact():
         assert np.allclose(post[row[:n]], total / total.sum(1, keepdims=True))
 
 
+def naive_language(m, text):
+    """Word by word and chain by chain: ``(label, score)`` of one text, over windows of 64 words with 8 more on both sides."""
+    w, idx, tri = language_crf._features([text])
+    table = {int(h): int(k) for h, k in zip(*m.lexicon)}
+    n, size = len(w.starts), len(m.labels)
+    if not n:
+        return "und", 0.0
+    h = w.hashes()
+    e = [[sum(float(m.words[idx[f][i]][k]) for f in range(len(idx))) + sum(float(m.grams[tri[b]][k]) for b in range(w.starts[i], w.ends[i])) + float(m.places[table.get(int(h[i]), size)][k]) for k in range(size)] for i in range(n)]
+    total = [0.0] * size
+    for at in range(0, n, 64):
+        a, b = max(0, at - 8), min(n, at + 72)
+        fwd = [[m.start[k] + e[a][k] for k in range(size)]]
+        for i in range(a + 1, b):
+            fwd.append([e[i][k] + np.logaddexp.reduce([fwd[-1][j] + m.moves[j][k] for j in range(size)]) for k in range(size)])
+        bwd = [[0.0] * size]
+        for i in range(b - 1, a, -1):
+            bwd.insert(0, [np.logaddexp.reduce([m.moves[k][j] + e[i][j] + bwd[0][j] for j in range(size)]) for k in range(size)])
+        z = np.logaddexp.reduce(fwd[-1])
+        for i in range(at, min(n, at + 64)):
+            for k in range(size):
+                total[k] += math.exp(fwd[i - a][k] + bwd[i - a][k] - z)
+    best = max(range(size), key=lambda k: total[k])
+    return m.labels[best], total[best] / n
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
+    m = language_crf.fit(language_crf.take_sample(docs, max_docs=60), rounds=4)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.limit(40).collect()}
+    got = [r for r in language_crf.predict(docs, m).collect() if r.doc_id in text]
+    assert len(got) == len(text)
+    for r in got:
+        lang, score = naive_language(m, text[r.doc_id])
+        assert (r.lang_pred, round(r.score, 5)) == (lang, round(score, 5))
+
+
+def test_switched_words(spark):
+    """Words of code-switched texts that no training saw get their span's language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) between 200 and 3000")
+    rows = [(r.text, r.lang) for r in docs.orderBy("doc_id").collect()]
+    m = language_crf.fit([(t.encode(), lang) for t, lang in rows[:300]])
+    assert all(m.moves[i, i] > m.moves[i, j] for i in range(len(m.labels)) for j in range(len(m.labels)) if i != j)
+    right = n = 0
+    rest = rows[300:600]
+    for k in range(0, len(rest) - 1, 2):
+        (a, la), (b, lb) = rest[k], rest[k + 1]
+        if la == lb:
+            continue
+        first, second = " ".join(a.split()[:15]), " ".join(b.split()[:15])
+        labelled = language_crf.label_words(first + " " + second, m)
+        cut = len(language_crf.label_words(first, m))
+        right += sum(x == (la if i < cut else lb) for i, (_, x, _) in enumerate(labelled))
+        n += len(labelled)
+    assert n > 1000 and right >= 0.93 * n, (right, n)
+
+
 def test_language_held_out(spark):
     got = language_crf.op1_language_crf(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
