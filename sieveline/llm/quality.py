@@ -1,6 +1,8 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote on two aspects of a document, *junk* and *toxic*. Votes overlap and
+Heuristic labellers vote on two aspects of a document, *junk* (repetition of words, word sequences
+and lines; odd word lengths, too few short words; bullets and ellipses; symbols, shouting and other
+marks) and *toxic* (a lexicon learned from labels, by strength, count and density). Votes overlap and
 err; expectation-maximisation on the counts of vote patterns (a small table, counted over all
 documents) estimates each labeller's vote probabilities in good and bad documents. The
 posterior of a document's pattern is its soft label, and a hashed linear scorer per aspect is
@@ -31,11 +33,38 @@ BAD, GOOD, ABSTAIN = 0, 1, 2
 JUNK_RULES = (
     ("caps", 0.30, 0.08), ("tails", 0.20, 0.05), ("pipes", 0.08, 0.01), ("shouts", 0.15, 0.03),
     ("repeats", 0.20, 0.08), ("symbols", 0.025, 0.01), ("sameness", 0.60, 0.45),
+    ("sequences", 0.97, 0.90), ("lines", 0.45, 0.15), ("lengths", 4.5, 2.5), ("no_short", 0.97, 0.85), ("bullets", 0.80, 0.40), ("ellipses", 0.30, 0.10),
 )
+#: fewer words, or lines, than these say nothing about shares of them
+FEW_WORDS, FEW_LINES = 20, 4
+#: bytes of a usual word with its punctuation; ``lengths`` is the distance of a text's mean from it
+USUAL_LENGTH = 5.5
 #: the toxic lexicon is dealt by strength into this many parts, each a labeller; others vote on counts and density
 PARTS = 4
 
 
+def _line_signals(data: np.ndarray, offsets: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Shares of each text's lines that repeat an earlier one, begin with a bullet, end in an ellipsis; 0 for texts of few lines."""
+    begin = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
+    begin = begin[begin < len(data)]
+    end = np.append(begin[1:], len(data)) - 1
+    # a text ends in the space that joins it to the next
+    end = np.maximum(np.minimum(end, offsets[np.searchsorted(offsets, begin, side="right")] - 1), begin)
+    full = end > begin
+    begin, end = begin[full], end[full]
+    text = np.searchsorted(offsets, begin, side="right") - 1
+    key = mix64(Rolling(data).ranges(begin, end) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    again = np.ones(len(key), bool)
+    again[np.unique(key, return_index=True)[1]] = False
+    count = np.bincount(text, minlength=n)
+    share = lambda on: np.where(count >= FEW_LINES, np.bincount(text[on], minlength=n) / np.maximum(count, 1), 0.0)
+    back = lambda k: data[np.maximum(end - k, begin)]
+    first, last = data[begin], data[end - 1]
+    bullet = (first == 45) | (first == 42) | ((first == 0xE2) & (data[np.minimum(begin + 1, end - 1)] == 0x80) & (data[np.minimum(begin + 2, end - 1)] == 0xA2))
+    dots = ((last == 46) & (back(2) == 46) & (back(3) == 46)) | ((back(3) == 0xE2) & (back(2) == 0x80) & (last == 0xA6))
+    return {"lines": share(again), "bullets": share(bullet), "ellipses": share(dots)}
+
+
 def _signals(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Signals per text, and for every word its text, the hash of its trimmed lower-case form and its shape."""
     w = words_of(texts, lower=False)
@@ -68,6 +97,13 @@ def _signals(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.
     key = mix64(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, once = np.unique(key, return_index=True)
     distinct = np.bincount(doc[once], minlength=len(n))
+    # five words in a row that stood in this order before
+    g = grams(h, 5)
+    w_doc = doc[: len(g)]
+    inside = w_doc == doc[4:] if len(g) else np.zeros(0, bool)
+    g, w_doc = mix64(g[inside] + w_doc[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), w_doc[inside]
+    again = np.ones(len(g), bool)
+    again[np.unique(g, return_index=True)[1]] = False
     shape = caps * 1 + shout * 2 + tail * 4 + pipe * 8 + same * 16
     sentence = (last == 46) | (last == 44)
     shape = shape + sentence * 32
@@ -75,7 +111,11 @@ def _signals(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.
         "caps": count(caps), "tails": count(tail), "pipes": count(pipe), "shouts": count(shout), "repeats": count(same),
         "symbols": symbols / np.maximum(np.diff(w.offsets), 1),
         # long texts repeat common words anyway; judged against the growth of a natural vocabulary
-        "sameness": np.where(n >= 20, 1 - distinct / np.maximum(np.minimum(size, 12 * np.sqrt(size)), 1), 0.0),
+        "sameness": np.where(n >= FEW_WORDS, 1 - distinct / np.maximum(np.minimum(size, 12 * np.sqrt(size)), 1), 0.0),
+        "sequences": np.where(n >= FEW_WORDS, np.bincount(w_doc[again], minlength=len(n)) / size, 0.0),
+        "lengths": np.where(n >= FEW_WORDS, np.abs(np.bincount(doc, w.ends - w.starts, len(n)) / size - USUAL_LENGTH), 0.0),
+        "no_short": np.where(n >= FEW_WORDS, 1 - count(w.ends - w.starts <= 3), 0.0),
+        **_line_signals(w.data, w.offsets, len(n)),
     }
     return signals, doc, h, shape
 
@@ -128,8 +168,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarra
     return bad
 
 
-def _features(doc, h, shape, parts, hits, dense, n_docs: int):
-    """Hashed features: ``(text, bucket, value)``. Words and shape pairs by share, lexicon hits by presence."""
+def _features(signals, doc, h, shape, parts, hits, dense, n_docs: int):
+    """Hashed features: ``(text, bucket, value)``. Words and shape pairs by share, lexicon hits and strong signals by presence."""
     n = np.maximum(np.bincount(doc, minlength=n_docs), 1)
     word = (mix64(h ^ np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
     form = (mix64(shape.astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(BUCKETS)).astype(np.int64)
@@ -147,6 +187,9 @@ def _features(doc, h, shape, parts, hits, dense, n_docs: int):
     for k, least in enumerate((0.001, 0.002, 0.004, 0.006, 0.01, 0.02)):
         d = np.flatnonzero(dense >= least)
         text.append(d), bucket.append(np.full(len(d), 16 + k, np.int64)), value.append(np.ones(len(d)))
+    for k, (name, bad, _) in enumerate(JUNK_RULES):
+        d = np.flatnonzero(signals[name] >= bad)
+        text.append(d), bucket.append(np.full(len(d), 32 + k, np.int64)), value.append(np.full(len(d), 2.0))
     d = np.arange(n_docs)
     text.append(d), bucket.append(np.zeros(n_docs, np.int64)), value.append(np.ones(n_docs))
     return np.concatenate(text), np.concatenate(bucket), np.concatenate(value)
@@ -173,7 +216,7 @@ class Scorer:
     def bad(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         signals, doc, h, shape = _signals(texts)
         parts, hits, dense = _lexicon_hits(doc, h, len(texts), self.lexicon)
-        text, bucket, value = _features(doc, h, shape, parts, hits, dense, len(texts))
+        text, bucket, value = _features(signals, doc, h, shape, parts, hits, dense, len(texts))
         return {k: 1 / (1 + np.exp(-np.clip(np.bincount(text, value * w[bucket], len(texts)), -30, 30))) for k, w in self.weights.items()}
 
 
@@ -210,8 +253,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 10000, size:
     return h[order], (np.arange(len(h)) * PARTS // max(len(h), 1))[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Votes over all documents, EM, then a scorer trained on at most ``fit_rows`` documents' posteriors."""
+def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, fit_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """Votes over all documents, EM, then a scorer trained on at most ``fit_rows`` documents' posteriors.
+
+    Of those, as many are used as their features (8 bytes for each distinct one) fit into ``fit_bytes``.
+    """
     lexicon = learn_lexicon(docs, labels, id_col=id_col, text_col=text_col) if labels is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
 
@@ -224,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
                     u, c = np.unique(votes, axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([aspect] * len(u)), pa.array(["".join(map(str, x)) for x in u]), pa.array(c)], ["aspect", "votes", "n"])
 
-    # a labeller has 3 votes, so there are at most 3^7 + 3^7 patterns
+    # a labeller has 3 votes: at most 3^13 + 3^7 patterns, in practice some hundreds, whatever the corpus
     seen = rows.mapInArrow(vote, "aspect string, votes string, n long").groupBy("aspect", "votes").agg(F.sum("n").alias("n")).collect()
     posterior = {}
     for aspect in ASPECTS:
@@ -239,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
                 signals, doc, h, shape = _signals(texts)
                 parts, hits, dense = _lexicon_hits(doc, h, len(texts), lexicon)
                 v = _votes(signals, parts, hits, dense)
-                text, bucket, value = _features(doc, h, shape, parts, hits, dense, len(texts))
+                text, bucket, value = _features(signals, doc, h, shape, parts, hits, dense, len(texts))
                 both = text * BUCKETS + bucket
                 u, at = np.unique(both, return_inverse=True)
                 value = np.bincount(at, value)
@@ -251,8 +297,12 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_rows: int = 6000, id_col:
                     ["bucket", "value", *ASPECTS],
                 )
 
-    # bounded: fit_rows documents, at most 65536 buckets each and in practice some hundreds
-    got = sample.mapInArrow(gather, "bucket binary, value binary, junk double, toxic double").collect()
+    got, held = [], 0
+    for r in sample.mapInArrow(gather, "bucket binary, value binary, junk double, toxic double").toLocalIterator():
+        held += 2 * len(r["bucket"])
+        if held > fit_bytes:
+            break
+        got.append(r)
     if not got:
         return Scorer(lexicon, {k: np.zeros(BUCKETS, np.float32) for k in ASPECTS})
     bucket = [np.frombuffer(r["bucket"], np.int32) for r in got]
@@ -265,7 +315,8 @@ def score(docs: DataFrame, model: Scorer, threshold: float = 0.5, id_col: str =
     """``id_col, p_junk, p_toxic, score, kept`` of each row; score is 1 minus the larger of the two.
 
     Null and empty texts have no words: their score is that of an empty document, decided like
-    any other. Ties, repeated rows and null ids need no care, each row is scored by itself.
+    any other. Ties, repeated rows and null ids need no care, each row is scored by itself and in
+    whole, however long. Empty input gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -281,7 +332,10 @@ def score(docs: DataFrame, model: Scorer, threshold: float = 0.5, id_col: str =
 
 
 def keep_good(docs: DataFrame, model: Scorer, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, all their columns as they were; one pass, no join back."""
+    """The rows of ``docs`` that are kept, all their columns as they were; one pass, no join back.
+
+    Decides as ``score``; columns may have any names, and repeated rows are kept or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -294,5 +348,6 @@ def keep_good(docs: DataFrame, model: Scorer, threshold: float = 0.5, text_col:
 
 
 def op7_quality(spark, sf_dir):
+    """``score`` of all ``documents`` by a model fitted on them and ``labels``; its handling of nulls, ties and repeats holds."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, fit(docs, labels))

@@ -3,6 +3,8 @@
 import collections
 import itertools
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -215,6 +217,42 @@ def test_quality_against_labels(spark):
     assert kept.columns == docs.columns and kept.count() == quality.score(docs, model).where("kept").count()
 
 
+def test_quality_signals_are_brute_force():
+    """Signals of texts in one batch against a plain count in each text by itself."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("a bb ccc dddd eeeee ffffff…  ggg... \n \n- \n• \n* x".split(" ")) for _ in range(rnd.choice([0, 3, 40, 200]))) for _ in range(60)]
+    texts += ["", " ", "\n\n\n", "a\na\na\na", "one line ...", "a…\nb…\nc\n\nd..."]
+    got = quality._signals([t.encode() for t in texts])[0]
+    bare = lambda w: (lambda m: m and m.group(0))(re.search(r"[a-z\x80-\U0010ffff].*[a-z\x80-\U0010ffff]|[a-z\x80-\U0010ffff]", w))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0d]+", t)
+        h = [bare(x) or "" for x in w]
+        g = [tuple(h[k : k + 5]) for k in range(len(h) - 4)]
+        share = lambda n: n / max(1, len(w)) if len(w) >= 20 else 0.0
+        assert abs(got["sequences"][i] - share(len(g) - len(set(g)))) < 1e-9
+        assert abs(got["no_short"][i] - (1 - sum(len(x.encode()) <= 3 for x in w) / len(w) if len(w) >= 20 else 0)) < 1e-9
+        assert abs(got["lengths"][i] - (abs(sum(len(x.encode()) for x in w) / len(w) - 5.5) if len(w) >= 20 else 0)) < 1e-9
+        lines = [x for x in t.split("\n") if x]
+        share = lambda n: n / len(lines) if len(lines) >= 4 else 0.0
+        assert abs(got["lines"][i] - share(len(lines) - len(set(lines)))) < 1e-9, (t, got["lines"][i])
+        assert abs(got["bullets"][i] - share(sum(x[0] in "-*•" for x in lines))) < 1e-9, repr(t)
+        assert abs(got["ellipses"][i] - share(sum(x.endswith(("...", "…")) for x in lines))) < 1e-9, repr(t)
+
+
+def test_quality_scores_alone_and_together(spark):
+    """A document's score is that of the logistic model on its own features, whatever else is in the batch."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in quality.score(docs, m).collect():
+        signals, doc, h, shape = quality._signals([text[r.doc_id]])
+        parts, hits, dense = quality._lexicon_hits(doc, h, 1, m.lexicon)
+        _, bucket, value = quality._features(signals, doc, h, shape, parts, hits, dense, 1)
+        want = [1 / (1 + math.exp(-max(-30, min(30, sum(v * float(m.weights[k][b]) for b, v in zip(bucket, value)))))) for k in quality.ASPECTS]
+        assert abs(r.p_junk - want[0]) < 1e-6 and abs(r.p_toxic - want[1]) < 1e-6 and r.kept == (1 - max(want) >= 0.5)
+
+
 def test_quality_edge(spark):
     m = quality.fit(edge(spark), spark.createDataFrame([(0, 1, 0), (11, 0, None), (99, None, 1)], "doc_id long, quality int, toxic int"))
     got = quality.score(edge(spark), m).collect()
