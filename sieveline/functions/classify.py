@@ -102,10 +102,17 @@ def commercial_signals(text: Column) -> Column:
     paid = F.transform(F.filter(urls, lambda u: u.rlike(COMMERCIAL)), lambda u: F.concat(F.lit("link:"), F.substring(u, 1, 60)))
     own = F.transform(F.filter(urls, lambda u: ~u.rlike(COMMERCIAL) & ~is_social(u)), lambda u: F.concat(F.lit("site:"), F.substring(u, 1, 60)))
     low = F.lower(t)
-    # Java's \b is ASCII; borders are spelled out so that accented words end where they end
-    word = lambda k: rf"(?<![\p{{L}}\p{{N}}_]){k.replace('.', chr(92) + '.')}(?![\p{{L}}\p{{N}}_])"
-    any_word = low.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(dict.fromkeys(dims.COMMERCIAL_WORDS)) + r")(?![\p{L}\p{N}_])")
-    words = F.when(any_word, F.array_compact(F.array(*[F.when(low.rlike(word(k)), F.lit("word:" + k)) for k in dict.fromkeys(dims.COMMERCIAL_WORDS)]))).otherwise(F.array().cast("array<string>"))
+    # Java's \b is ASCII; borders are spelled out so that accented words end where they end. One pass
+    # finds every place where some word of the list stands, in a look-ahead, so that words that
+    # overlap are all met; then the list's order, not the text's, decides
+    names = list(dict.fromkeys(dims.COMMERCIAL_WORDS))
+    by_length = sorted(names, key=len, reverse=True)
+    alone = lambda k: rf"{k.replace('.', chr(92) + '.')}(?![\p{{L}}\p{{N}}_])"
+    met = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])(?=(" + "|".join(alone(k) for k in by_length) + "))"), F.lit(1)))
+    # a longer word may hide shorter ones that end inside it at a border
+    inner = {k: [w for w in names if w != k and k.startswith(w) and not k[len(w)].isalnum() and k[len(w)] != "_"] for k in names}
+    shown = lambda k: reduce(lambda a, longer: a | F.array_contains(met, longer), [b for b in names if k in inner[b]], F.array_contains(met, k))
+    words = F.when(F.size(met) > 0, F.array_compact(F.array(*[F.when(shown(k), F.lit("word:" + k)) for k in names]))).otherwise(F.array().cast("array<string>"))
     mail = F.when(low.rlike(PRO_MAILBOX), F.array(F.lit("mailbox"))).otherwise(F.array().cast("array<string>"))
     reasons = F.concat(paid, own, words, mail)
     return F.struct((F.size(reasons) > 0).alias("monetized"), F.slice(reasons, 1, 6).alias("reasons"), F.slice(F.array_distinct(urls), 1, 8).alias("urls"))

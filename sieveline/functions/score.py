@@ -12,15 +12,19 @@ from sieveline.functions.text import fold, tokens
 
 
 def relevance(name: Column, handle: Column, description: Column, platform: Column, subscribers: Column, language: Column, country: Column,
-              has_urls: Column, has_emails: Column, query: str, boost: str = "") -> Column:
-    """Relevance of a profile to a query, 0 to 100, not rounded."""
+              has_urls: Column, has_emails: Column, query: str, boost: str = "", words: tuple[Column, Column, Column] | None = None) -> Column:
+    """Relevance of a profile to a query, 0 to 100, not rounded.
+
+    ``words`` are the tokens of name, handle and description where the caller has them as columns:
+    they are read several times here, and a column is computed once.
+    """
     terms = sorted({t for t in _terms(query)})
     if not terms:
         return F.lit(0.0)
     q, n = F.array(*[F.lit(t) for t in terms]), float(len(terms))
-    overlap = lambda c: F.size(F.array_intersect(q, tokens(c)))
+    own = words or (tokens(name), tokens(handle), tokens(description))
     inside = lambda c: F.lower(fold(F.coalesce(c, F.lit("")))).rlike("|".join(terms))
-    k, h, d = overlap(name), overlap(handle), overlap(description)
+    k, h, d = (F.size(F.array_intersect(q, w)) for w in own)
     s = F.when(k == len(terms), 35.0).when(k > 0, 20.0 * k / n).when(inside(name), 12.0).otherwise(0.0)
     s = s + F.when(h > 0, 15.0 * h / n).when(inside(handle), 6.0).otherwise(0.0)
     s = s + F.when(d > 0, 25.0 * d / n).when(inside(description), 5.0).otherwise(0.0)

@@ -46,9 +46,9 @@ def _hits(words: Column, hints) -> Column:
     return F.size(F.filter(words, lambda t: t.isin(*hints)))
 
 
-def query_language(c: Column) -> Column:
-    """``fr``, ``en`` or empty, by hint words and then by accented letters."""
-    w = tokens(c)
+def query_language(c: Column, words: Column | None = None) -> Column:
+    """``fr``, ``en`` or empty, by hint words and then by accented letters; ``words`` are the tokens of ``c`` where they are a column."""
+    w = tokens(c) if words is None else words
     fr, en = _hits(w, dims.FRENCH_HINTS), _hits(w, dims.ENGLISH_HINTS)
     return F.when(fr > en, "fr").when(en > fr, "en").when(c.rlike("[éèêëàâäîïôöùûüç]"), "fr").otherwise("")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.contact import is_social
+from sieveline.session import written
 
 
 def anti_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -84,15 +87,17 @@ def running_quota(rows: DataFrame, by: list[str], order: list[Column], amount: C
 def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the global row number, from 0, without one task sorting everything.
 
-    Rows are range-partitioned by ``order``; a small table of partition sizes gives each
-    partition its offset.
+    Rows are range-partitioned by ``order`` and numbered inside their partition by Spark's own
+    running id, then written once: both the rows and the partitions' offsets (a row for each
+    partition, so the broadcast is bounded by their number) are read from that table. ``order``
+    must be total for the numbers to be the same in every run.
     """
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    r = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("off") + F.col("_i") - 1).drop("_p", "_i", "off")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    r = written(r).withColumn("__part", F.shiftright("__at", 33))
+    sizes = r.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("__part").alias("__of"), F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return r.join(F.broadcast(before), r["__part"] == before["__of"]).withColumn(name, F.col("__off") + F.expr("__at & 8589934591L")).drop("__at", "__part", "__of", "__off")
 
 
 def stable_bucket(key: Column, buckets: Column | int) -> Column:
@@ -102,15 +107,31 @@ def stable_bucket(key: Column, buckets: Column | int) -> Column:
 
 
 def seeded_page(rows: DataFrame, id_col: str, seed: int, offset: int, size: int) -> DataFrame:
-    """A page of a shuffled listing that wraps around at the end; the order follows from id and seed."""
+    """A page of a shuffled listing that wraps around at the end; the order follows from id and seed.
+
+    Places come from ``numbered``, so a page deep in the listing costs no task more than one partition.
+    """
     key = F.md5(F.concat_ws("|", F.col(id_col), F.lit(seed)).cast("binary"))
-    total = rows.count()
-    if not total:
-        return rows.limit(0)
-    start = offset % total
-    top = rows.orderBy(key, id_col).offset(start).limit(size)
-    rest = size - min(size, total - start)
-    return top.unionByName(rows.orderBy(key, id_col).limit(min(rest, start))) if rest and start else top
+    placed = numbered(rows, [key, F.col(id_col)], "__place")
+    total = F.lit(placed.count())
+    return placed.where(F.pmod(F.col("__place") - F.lit(offset), total) < size).drop("__place")
+
+
+def without_longer(rows: DataFrame, by: list[str], col: str, least: int = 1) -> DataFrame:
+    """Distinct rows ``(*by, col)`` whose ``col`` has no proper prefix, of ``least`` letters or more, among its group's.
+
+    Each string looks up its prefixes by equi-join, only at lengths that some string of the group
+    has; no group is gathered anywhere.
+    """
+    own = rows.select(*by, col).distinct()
+    n = F.length(col)
+    as_ = lambda df, cs, mark: df.withColumnsRenamed({c: f"__{mark}{c}" for c in cs})
+    same = lambda cs, mark: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{mark}{c}")) for c in cs])
+    lengths = as_(own.groupBy(*by).agg(F.array_sort(F.collect_set(n)).alias("__ns")), by, "l")
+    probe = own.join(lengths, same(by, "l")).select(*by, col, F.explode(F.filter("__ns", lambda k: (k >= least) & (k < n))).alias("__n"))
+    probe = probe.select(*by, F.col(col).alias("__whole"), F.left(col, F.col("__n")).alias(col))
+    longer = probe.join(as_(own, [*by, col], "p"), same([*by, col], "p"), "left_semi").select(*by, F.col("__whole").alias(col)).distinct()
+    return own.join(as_(longer, [*by, col], "x"), same([*by, col], "x"), "left_anti")
 
 
 def send_order(guessed: Column, tags: Column, seq: Column, redo: str = "redo") -> list[Column]:
@@ -123,19 +144,20 @@ def route(messages: DataFrame, senders: DataFrame) -> DataFrame:
 
     ``messages`` has ``entity_id, template_from``; ``senders`` has ``account_id, from_email,
     remaining``. No required address gives state ``none``; no sender with that address or domain
-    ``missing``; none with quota left ``cap`` and the first of them; else ``ok`` and, of those with
-    quota, the one with the smallest md5 of entity and account.
+    ``missing``; none with quota left ``cap`` and the first of them; else ``ok`` and one of those with
+    quota, by the entity's stable bucket over their number. Equi-joins only: a domain's accounts are
+    counted and numbered, and each message looks up its one number.
     """
     domain = lambda c: F.lower(F.substring_index(c, "@", -1))
     m = messages.select("entity_id", "template_from", domain(F.col("template_from")).alias("d"))
-    s = senders.select("account_id", F.lower("from_email").alias("from_email"), domain(F.col("from_email")).alias("d"), "remaining")
+    s = senders.select("account_id", domain(F.col("from_email")).alias("d"), "remaining")
     has = F.col("remaining") > 0
-    pick = F.md5(F.concat_ws("||", "entity_id", "account_id").cast("binary"))
-    got = m.join(s, "d").groupBy("entity_id", "template_from").agg(
-        F.count_if(has).alias("free"), F.min("account_id").alias("first"), F.min_by("account_id", F.when(has, F.struct(pick, F.col("account_id")))).alias("chosen"))
-    out = m.select("entity_id", "template_from").join(got, ["entity_id", "template_from"], "left")
+    per = s.groupBy("d").agg(F.count_if(has).alias("free"), F.min("account_id").alias("first"))
+    free = s.where(has).select("d", "account_id", (F.row_number().over(Window.partitionBy("d").orderBy("account_id")) - 1).cast("long").alias("i"))
+    out = m.join(per, "d", "left").withColumn("i", F.when(F.col("free") > 0, stable_bucket(F.col("entity_id"), F.col("free"))))
+    out = out.join(free, ["d", "i"], "left")
     state = F.when(F.coalesce(F.trim("template_from"), F.lit("")) == "", "none").when(F.col("free").isNull(), "missing").when(F.col("free") == 0, "cap").otherwise("ok")
-    return out.select("entity_id", "template_from", state.alias("state"), F.when(state == "cap", F.col("first")).when(state == "ok", F.col("chosen")).alias("account_id"))
+    return out.select("entity_id", "template_from", state.alias("state"), F.when(state == "cap", F.col("first")).when(state == "ok", F.col("account_id")).alias("account_id"))
 
 
 def enrichment_candidates(entities: DataFrame, most: int | None = None) -> DataFrame:

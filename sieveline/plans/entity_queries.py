@@ -45,15 +45,16 @@ SELECT p_partkey, {_rules('upper(p_type)', PART_RULES, 'other')} AS category, {_
 
 
 def entity_components(spark, sf_dir):
-    """Customers of one segment that share a phone-like or name-like key, in components."""
-    c = load(spark, sf_dir, "customer").where("c_custkey <= 400")
-    keys = F.array(F.concat_ws(":", F.lit("a"), (F.col("c_custkey") % 97).cast("string")), F.when(F.col("c_custkey") % 7 == 0, F.concat_ws(":", F.lit("b"), F.floor(F.col("c_custkey") / 14).cast("string"))))
-    return entities.resolve(c.select("c_custkey", F.array_compact(keys).alias("keys")), "c_custkey", "keys")
+    """Customers that share a key, directly or through others: chains of keys across the whole table."""
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    keys = F.array(F.concat_ws(":", F.lit("a"), F.floor(k / 8).cast("string")), F.when(k % 7 == 0, F.concat_ws(":", F.lit("b"), F.floor(k / 14).cast("string"))))
+    return entities.resolve(c.select("c_custkey", F.array_compact(keys).alias("keys")), "c_custkey", "keys").select(F.col("id"), "component")
 
 
 ENTITY_COMPONENTS = """
-WITH RECURSIVE k AS (SELECT c_custkey AS id, 'a:' || (c_custkey % 97) AS key FROM customer WHERE c_custkey <= 400 UNION ALL SELECT c_custkey, 'b:' || (c_custkey // 14) FROM customer WHERE c_custkey <= 400 AND c_custkey % 7 = 0),
-e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM k a JOIN k b USING (key)),
+WITH RECURSIVE k AS (SELECT c_custkey AS id, 'a:' || (c_custkey // 8) AS key FROM customer UNION ALL SELECT c_custkey, 'b:' || (c_custkey // 14) FROM customer WHERE c_custkey % 7 = 0),
+m AS (SELECT key, min(id) AS low FROM k GROUP BY key), e AS (SELECT id AS x, low AS y FROM k JOIN m USING (key) UNION SELECT low, id FROM k JOIN m USING (key)),
 r(id, reach) AS (SELECT DISTINCT id, id FROM k UNION SELECT r.id, e.y FROM r JOIN e ON r.reach = e.x)
 SELECT id, min(reach) AS component FROM r GROUP BY id
 """
@@ -177,7 +178,7 @@ ROLLING_24H = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
 
 
 def daily_cap(spark, sf_dir):
-    """The first 20 events of each user and day, with the day's count."""
+    """The first 3 events of each user and day."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
     return selection.capped(e, ["user_id", "day"], [F.col("ts"), F.col("event_id")], F.lit(3)).select("event_id", "user_id", "day", "slot")
 
@@ -230,17 +231,20 @@ SELECT s_suppkey, s_name FROM r WHERE (k - 9 % n + n) % n < 7
 
 
 def sender_routing(spark, sf_dir):
+    """Customers' messages to the accounts of the domain that their template names: some domains have no account, some no quota."""
     c, s = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
-    m = c.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit("team@d"), (F.col("c_custkey") % 30).cast("string"), F.lit(".fr"))).otherwise("").alias("template_from"))
-    a = s.select(F.concat(F.lit("acc"), F.col("s_suppkey").cast("string")).alias("account_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@D"), (F.col("s_suppkey") % 20).cast("string"), F.lit(".fr")).alias("from_email"), F.when(F.col("s_suppkey") % 20 == 3, 0).otherwise(F.col("s_suppkey") % 3).alias("remaining")).where("account_id < 'acc5'")
+    m = c.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit("team@d"), (F.col("c_custkey") % 30).cast("string"), F.lit(".fr"))).when(F.col("c_custkey") % 12 == 0, "").alias("template_from"))
+    a = s.select(F.concat(F.lit("acc"), F.col("s_suppkey").cast("string")).alias("account_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@D"), (F.col("s_suppkey") % 20).cast("string"), F.lit(".fr")).alias("from_email"), F.when(F.col("s_suppkey") % 20 == 3, 0).otherwise(F.col("s_suppkey") % 3).alias("remaining"))
     return selection.route(m, a)
 
 
 SENDER_ROUTING = """
-WITH a AS (SELECT 'acc' || s_suppkey AS id, 'd' || (s_suppkey % 20) || '.fr' AS d, CASE WHEN s_suppkey % 20 = 3 THEN 0 ELSE s_suppkey % 3 END AS left_ FROM supplier WHERE 'acc' || s_suppkey < 'acc5'),
-m AS (SELECT c_custkey AS e, CASE WHEN c_custkey % 6 <> 0 THEN 'team@d' || (c_custkey % 30) || '.fr' ELSE '' END AS f, CASE WHEN c_custkey % 6 <> 0 THEN 'd' || (c_custkey % 30) || '.fr' END AS d FROM customer),
-j AS (SELECT e, f, count(id) AS n, count(*) FILTER (left_ > 0) AS free, min(id) AS first_, arg_min(id, md5(e || '||' || id)) FILTER (left_ > 0) AS pick FROM m LEFT JOIN a USING (d) GROUP BY e, f)
-SELECT e AS entity_id, f AS template_from, CASE WHEN f = '' THEN 'none' WHEN n = 0 THEN 'missing' WHEN free = 0 THEN 'cap' ELSE 'ok' END AS state, CASE WHEN f = '' OR n = 0 THEN NULL WHEN free = 0 THEN first_ ELSE pick END AS account_id FROM j
+WITH a AS (SELECT 'acc' || s_suppkey AS id, 'd' || (s_suppkey % 20) || '.fr' AS d, CASE WHEN s_suppkey % 20 = 3 THEN 0 ELSE s_suppkey % 3 END AS left_ FROM supplier),
+g AS (SELECT d, list(id ORDER BY id) FILTER (left_ > 0) AS free, min(id) AS first_ FROM a GROUP BY d),
+m AS (SELECT c_custkey AS e, CASE WHEN c_custkey % 6 <> 0 THEN 'team@d' || (c_custkey % 30) || '.fr' WHEN c_custkey % 12 = 0 THEN '' END AS f, CASE WHEN c_custkey % 6 <> 0 THEN 'd' || (c_custkey % 30) || '.fr' END AS d FROM customer)
+SELECT e AS entity_id, f AS template_from, CASE WHEN coalesce(f, '') = '' THEN 'none' WHEN first_ IS NULL THEN 'missing' WHEN free IS NULL THEN 'cap' ELSE 'ok' END AS state,
+  CASE WHEN coalesce(f, '') = '' OR first_ IS NULL THEN NULL WHEN free IS NULL THEN first_ ELSE free[('0x' || substr(md5(e::VARCHAR), 1, 8))::BIGINT % len(free) + 1] END AS account_id
+FROM m LEFT JOIN g USING (d)
 """
 
 
@@ -290,7 +294,7 @@ SELECT c_name AS legal_name, 'marie@firm' || c_custkey || '.fr' AS email, '+336'
 
 
 def review_parse(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = load(spark, sf_dir, "events")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('```json\n{"score": '), (F.col("user_id") % 15).cast("string"), F.lit(', "comment": "a } b", "modif_type": "Transition allégée"}\n```'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('Voici : {"verdict": "OK", "score": '), (F.col("user_id") % 9).cast("string"), F.lit("}"))).otherwise("rien")
     r = e.select("event_id", text.parse_review(raw).alias("r"))
     return r.select("event_id", "r.score", "r.verdict", "r.comment", "r.edit")
@@ -299,7 +303,7 @@ def review_parse(spark, sf_dir):
 REVIEW_PARSE = """
 SELECT event_id, (CASE event_id % 3 WHEN 0 THEN least(10, user_id % 15) WHEN 1 THEN user_id % 9 ELSE 0 END)::INTEGER AS score,
   CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 15 >= 7 THEN 'ok' ELSE 'draft' END WHEN 1 THEN 'ok' ELSE 'draft' END AS verdict,
-  CASE WHEN event_id % 3 = 0 THEN 'a } b' ELSE '' END AS comment, CASE WHEN event_id % 3 = 0 THEN 'fluidité' ELSE '' END AS edit FROM events WHERE event_id % 5 = 0
+  CASE WHEN event_id % 3 = 0 THEN 'a } b' ELSE '' END AS comment, CASE WHEN event_id % 3 = 0 THEN 'fluidité' ELSE '' END AS edit FROM events
 """
 
 
@@ -340,12 +344,13 @@ SELECT c_custkey, count(o_orderkey)::INTEGER AS n, coalesce(array_to_string(list
 
 
 def upsert_counts(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    return sinks.upsert_counts(c, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """Customers put under orders' keys: orders still pending name entities that are not known yet."""
+    x = load(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("k"))
+    return sinks.upsert_counts(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), x, "k")
 
 
 UPSERT_COUNTS = """
-WITH n AS (SELECT DISTINCT o_custkey AS k FROM orders), h AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+WITH n AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_custkey END AS k FROM orders), h AS (SELECT c_custkey AS k FROM customer)
 SELECT count(*) FILTER (h.k IS NULL) AS created, count(*) FILTER (h.k IS NOT NULL) AS merged, (SELECT count(*) FROM h) + count(*) FILTER (h.k IS NULL) AS total FROM n LEFT JOIN h USING (k)
 """
 
@@ -361,32 +366,65 @@ SELECT h >= 9 AND h < 18 AS office, h >= 22 OR h < 6 AS night, count(*) AS n FRO
 """
 
 
+def _events(spark, sf_dir):
+    # a pattern, as the table may be one file and a stream reads folders or patterns
+    return stream.read_events(spark, f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df, *cols):
+    """Times as the tables have them, without a zone."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+#: what is final in a stream that has read all events: watermarks trail the latest one by a day
+_FINAL = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"
+
+
 def stream_sessions(spark, sf_dir):
-    return stream.sessions(load(spark, sf_dir, "events"), "user_id", "2 hours")
+    """Sessions of each user by a streaming query over the landed events; those the watermark has closed."""
+    return _plain(stream.land(stream.sessions(_events(spark, sf_dir), "user_id", "2 hours")), "start", "end")
 
 
-STREAM_SESSIONS = """
+STREAM_SESSIONS = f"""
 WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, k
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOURS <= {_FINAL}
 """
 
 
 def stream_windows(spark, sf_dir):
-    return stream.windowed(load(spark, sf_dir, "events"), ["event_type"], "1 day").select("event_type", "start", "end", "n", F.round("total", 4).alias("total"))
+    """Daily counts by a streaming query over the landed events; the days the watermark has closed."""
+    return _plain(stream.land(stream.windowed(_events(spark, sf_dir), ["event_type"], "1 day")), "start", "end").select("event_type", "start", "end", "n", F.round("total", 4).alias("total"))
 
 
-STREAM_WINDOWS = """SELECT event_type, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"""
+STREAM_WINDOWS = f"""
+WITH d AS (SELECT event_type, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+SELECT * FROM d WHERE "end" <= {_FINAL}
+"""
 
 
 def stream_dedupe(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    return stream.dedupe(e.unionByName(e.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events that arrive twice, counted once, by a streaming query."""
+    e = _events(spark, sf_dir)
+    return stream.land(stream.dedupe(e.unionByName(_events(spark, sf_dir).where("event_type <> 'view'")))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 STREAM_DEDUPE = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"
 
 
+def stream_status(spark, sf_dir):
+    """The status of each user after all landed events, as a streaming query keeps it: the highest rank wins."""
+    s = F.element_at(F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv]), F.col("event_type"))
+    e = _events(spark, sf_dir).select("user_id", F.coalesce(s, F.lit("new")).alias("status"))
+    return stream.latest(stream.status_machine(e, key="user_id"), "user_id")
+
+
+STREAM_STATUS = f"""
+WITH r AS (SELECT user_id, coalesce({o.case_map('event_type', {k: "'" + v + "'" for k, v in _STATUS.items()}, 'NULL')}, 'new') AS s FROM events)
+SELECT user_id, arg_max(s, {_rank}) AS status FROM r GROUP BY user_id
+"""
+
+
 def guessed_first(spark, sf_dir):
     """Sending order: confirmed addresses before guessed ones, then redo tags, then key; the first 100."""
     c = load(spark, sf_dir, "customer")
@@ -402,7 +440,7 @@ _PAIRS = (
     (dimension_label, DIMENSION_LABEL), (rule_classifier, RULE_CLASSIFIER), (entity_components, ENTITY_COMPONENTS), (entity_merge, ENTITY_MERGE), (anti_known, ANTI_KNOWN), (eligible_first_contact, ELIGIBLE), (followup_due, FOLLOWUP_DUE), (reply_match, REPLY_MATCH),
     (evidence_verdict, EVIDENCE_VERDICT), (status_rank_merge, STATUS_RANK), (rolling_24h, ROLLING_24H), (daily_cap, DAILY_CAP), (running_quota, RUNNING_QUOTA), (pool_cap, POOL_CAP), (round_robin, ROUND_ROBIN), (stable_bucket, STABLE_BUCKET), (seeded_page, SEEDED_PAGE),
     (sender_routing, SENDER_ROUTING), (render_outbox, RENDER_OUTBOX), (event_extra_map, EVENT_EXTRA), (import_mapping, IMPORT_MAPPING), (review_parse, REVIEW_PARSE), (geo_grid, GEO_GRID), (answer_fallback, ANSWER_FALLBACK), (nested_children, NESTED_CHILDREN), (upsert_counts, UPSERT_COUNTS),
-    (send_window, SEND_WINDOW), (stream_sessions, STREAM_SESSIONS), (stream_windows, STREAM_WINDOWS), (stream_dedupe, STREAM_DEDUPE), (guessed_first, GUESSED_FIRST),
+    (send_window, SEND_WINDOW), (stream_sessions, STREAM_SESSIONS), (stream_windows, STREAM_WINDOWS), (stream_dedupe, STREAM_DEDUPE), (stream_status, STREAM_STATUS), (guessed_first, GUESSED_FIRST),
 )
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import classify, contact, dims, score, text
+from sieveline.operators import selection
 from sieveline.plans import oracle as o
 from sieveline.session import load
 from sieveline.sources.files import union_sources as union
@@ -16,7 +17,10 @@ QUERY = "the and that der nicht"
 def relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 most relevant documents to a query; the score is computed once per row, top-k without a full sort."""
     d = load(spark, sf_dir, "documents")
-    s = score.relevance(F.col("source"), F.col("source"), F.col("text"), F.lit(""), F.col("n_chars"), F.col("lang"), F.lit(""), F.lit(False), F.col("text").contains("@"), QUERY, "en")
+    # words once per row: an expression used twice inside lambdas is evaluated twice
+    d = d.withColumns({"own_words": text.tokens(F.col("source")), "words": text.tokens(F.col("text"))})
+    s = score.relevance(F.col("source"), F.col("source"), F.col("text"), F.lit(""), F.col("n_chars"), F.col("lang"), F.lit(""), F.lit(False), F.col("text").contains("@"), QUERY, "en",
+                        words=(F.col("own_words"), F.col("own_words"), F.col("words")))
     r = d.select("doc_id", "source", "n_chars", s.alias("raw"))
     top = r.orderBy(F.desc("raw"), F.desc("n_chars"), "source", "doc_id").limit(50)
     return top.select("doc_id", "source", "n_chars", F.round("raw", 6).alias("score"), score.relevance_label(F.col("raw")).alias("label"))
@@ -39,7 +43,8 @@ FROM r ORDER BY raw DESC, n_chars DESC, source, doc_id LIMIT 50
 
 def query_language(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    return d.groupBy(text.query_language(F.col("text")).alias("hint"), "lang").agg(F.count("*").alias("n"))
+    w = d.select("lang", "text", text.tokens(F.col("text")).alias("words"))
+    return w.groupBy(text.query_language(F.col("text"), F.col("words")).alias("hint"), "lang").agg(F.count("*").alias("n"))
 
 
 _count = lambda hints: f"len(list_filter(t, lambda x: x IN ({o.names(dict.fromkeys(hints))})))"
@@ -51,26 +56,27 @@ SELECT CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' WHEN regexp_matches(te
 
 
 def extract_emails(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    """Cleaned addresses of each document, written plainly or spelled out."""
+    d = load(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(contact.text_emails(F.col("text")), ",").alias("emails")).where("emails <> ''")
 
 
-_PLAIN = f"list_transform(regexp_extract_all(text, '{contact.EMAIL_WORD}'), lambda x: lower(x))"
+_PLAIN = f"(list_transform(regexp_extract_all(text, '{contact.EMAIL_WORD}'), lambda x: lower(x)) || list_transform(regexp_extract_all(text, '{contact.SPELLED}'), lambda x: lower(regexp_replace(x, '{contact.SPELLED}', '\\1@\\2.\\3'))))"
 EXTRACT_EMAILS = f"""
-WITH src AS (SELECT * FROM documents WHERE contains(text, '@')), {o.clean_emails('src', 'doc_id', _PLAIN)}
+WITH {o.clean_emails('documents', 'doc_id', _PLAIN)}
 SELECT doc_id, array_to_string(list_sort(list_distinct(list(e)))[1:5], ',') AS emails FROM cleaned GROUP BY doc_id
 """
 
 
 def clean_email_list(spark, sf_dir):
     """Addresses of each source, cleaned, distinct, best first."""
-    d = load(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    d = load(spark, sf_dir, "documents")
     e = d.select("source", F.explode(contact.raw_emails(F.col("text"))).alias("r")).select("source", contact.clean_email(F.col("r")).alias("e")).where("e is not null").distinct()
     return e.select("source", F.col("e").alias("email"), contact.email_rank(F.col("e")).alias("priority"))
 
 
 CLEAN_EMAIL_LIST = f"""
-WITH src AS (SELECT * FROM documents WHERE contains(text, '@')), {o.clean_emails('src', 'source', _PLAIN)}
+WITH {o.clean_emails('documents', 'source', _PLAIN)}
 SELECT DISTINCT source, e AS email, {o.case_map("split_part(e, '@', 1)", dims.EMAIL_PRIORITY, '10')} AS priority FROM cleaned
 """
 
@@ -172,29 +178,29 @@ SELECT page_id, len(reasons) > 0 AS monetized, least(8, len(list_distinct(urls))
 
 
 def keyword_guard(spark, sf_dir):
-    """Documents whose words meet a benchmark item's first words, by source: a broadcastable keyword dimension."""
-    words = load(spark, sf_dir, "benchmark").where("item_id < 5").select(F.explode(F.slice(text.tokens(F.col("text")), 1, 4)).alias("w")).distinct()
+    """Documents whose words meet any benchmark word, by source: how many, and how many distinct words they meet."""
+    words = load(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("w")).distinct()
     d = load(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
     return d.join(words, "w").groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_hits"))
 
 
 KEYWORD_GUARD = f"""
-WITH w AS (SELECT DISTINCT unnest({_T}[1:4]) AS w FROM benchmark WHERE item_id < 5),
+WITH w AS (SELECT DISTINCT unnest({_T}) AS w FROM benchmark),
 d AS (SELECT source, doc_id, unnest(list_distinct({_T})) AS w FROM documents)
 SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits FROM d JOIN w USING (w) GROUP BY source
 """
 
 
 def prefix_collapse(spark, sf_dir):
-    """Distinct first words of each source without those that start with a shorter one."""
-    d = load(spark, sf_dir, "documents").select("source", F.lower(F.try_element_at(F.split("text", r"\s+"), F.lit(1))).alias("w")).where("length(w) >= 3")
-    return d.groupBy("source").agg(F.array_sort(F.collect_set("w")).alias("ws")).select("source", F.array_join(contact.collapse_prefixes(F.col("ws")), " ").alias("kept"))
+    """The distinct words of each source that no shorter word of the source begins, from 3 letters on."""
+    d = load(spark, sf_dir, "documents").select("source", F.explode(text.tokens(F.col("text"))).alias("w")).where("length(w) >= 3")
+    return selection.without_longer(d.distinct(), ["source"], "w", 3)
 
 
-PREFIX_COLLAPSE = """
-WITH d AS (SELECT DISTINCT source, lower(regexp_extract(text, '^(\\S*)', 1)) AS w FROM documents), k AS (SELECT * FROM d WHERE len(w) >= 3)
-SELECT source, array_to_string(list(w ORDER BY w), ' ') AS kept FROM k a
-WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.source = a.source AND len(b.w) < len(a.w) AND starts_with(a.w, b.w)) GROUP BY source
+PREFIX_COLLAPSE = f"""
+WITH d AS (SELECT DISTINCT source, unnest({_T}) AS w FROM documents), k AS (SELECT * FROM d WHERE len(w) >= 3),
+p AS (SELECT DISTINCT source, w, substr(w, 1, unnest(range(3, len(w)))::INTEGER) AS pre FROM k)
+SELECT source, w FROM k a WHERE NOT EXISTS (SELECT 1 FROM p JOIN k b ON b.source IS NOT DISTINCT FROM p.source AND b.w = p.pre WHERE p.source IS NOT DISTINCT FROM a.source AND p.w = a.w)
 """
 
 

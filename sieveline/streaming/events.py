@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from sieveline.functions.classify import status_rank
+from sieveline.session import checkpoint_dir
 
 
 def read_events(spark: SparkSession, path: str, schema=None, files_per_trigger: int = 100) -> DataFrame:
@@ -35,24 +37,33 @@ def sessions(events: DataFrame, by: str, gap: str = "30 minutes", ts: str = "ts"
     return e.groupBy(by, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def status_machine(events: DataFrame, ranks: dict[str, int], key: str = "entity_id") -> DataFrame:
-    """Current status per entity as events arrive: the highest rank seen so far, opt-outs above all."""
+def status_machine(events: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Current status per entity as events arrive: the highest rank seen so far, opt-outs above all.
+
+    A running maximum per key is all the state; no event older than the best one is kept.
+    """
+    best = F.max_by("status", status_rank(F.col("status")))
+    return events.groupBy(key).agg(best.alias("status"))
+
+
+def land(stream: DataFrame) -> DataFrame:
+    """Process what has landed, then stop: the final rows as a Parquet table in the shared folder.
+
+    The query's checkpoint stands beside the table, so a run that is cut short goes on where it was.
+    """
+    path = f"{checkpoint_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{path}.parquet").option("checkpointLocation", f"{path}.state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}.parquet")
 
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState):
-        best = state.get[0] if state.exists else ""
-        for f in frames:
-            for s in f["status"]:
-                if ranks.get(s, -1) > ranks.get(best, -1) or not best:
-                    best = s
-        state.update((best,))
-        yield pd.DataFrame({key: [k[0]], "status": [best]})
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "status").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, status string", "status string", "update", GroupStateTimeout.NoTimeout)
+def latest(stream: DataFrame, key: str) -> DataFrame:
+    """Process what has landed in update mode: each batch's changed rows land, the last one of a key counts."""
+    path = f"{checkpoint_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
 
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}.parquet/batch={number}")
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what has landed, then stop; the result as an in-memory table (tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{path}.state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    columns = stream.columns
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("__batch", LongType())])).parquet(f"{path}.parquet")
+    return rows.groupBy(key).agg(*[F.max_by(c, "__batch").alias(c) for c in columns if c != key])

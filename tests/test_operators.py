@@ -124,16 +124,50 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(src).select(*cols).withColumn("ts", F.col("ts").cast("timestamp"))
     batch.unionByName(batch.limit(50)).repartition(3).write.parquet(str(tmp_path / "in"))
     live = stream.read_events(spark, str(tmp_path / "in"), files_per_trigger=10)
-    got = stream.run_available(stream.dedupe(live, late="60 days"), "deduped", str(tmp_path / "c1"))
-    assert got.count() == batch.count()
-    w = stream.run_available(stream.windowed(stream.read_events(spark, str(tmp_path / "in")), ["event_type"], late="60 days"), "windows", str(tmp_path / "c2"), "complete")
-    want = stream.windowed(batch.unionByName(batch.limit(50)), ["event_type"])
+    assert stream.land(stream.dedupe(live, late="60 days")).count() == batch.count()
+    last = batch.agg(F.max("ts")).first()[0]
+    w = stream.land(stream.windowed(stream.read_events(spark, str(tmp_path / "in")), ["event_type"], late="2 days"))
+    want = stream.windowed(batch.unionByName(batch.limit(50)), ["event_type"]).where(F.col("end") <= F.lit(last) - F.expr("interval 2 days"))
     assert sorted((r.event_type, r.start, r.n) for r in w.collect()) == sorted((r.event_type, r.start, r.n) for r in want.collect())
 
 
 def test_status_machine(spark, tmp_path):
-    rows = [(1, "new"), (1, "contacted"), (1, "qualified"), (2, "won"), (2, "unsubscribed"), (2, "contacted")]
-    spark.createDataFrame(rows, "entity_id long, status string").write.parquet(str(tmp_path / "in"))
-    ranks = {"new": 0, "qualified": 1, "contacted": 2, "won": 4, "unsubscribed": 101}
-    out = stream.run_available(stream.status_machine(stream.read_events(spark, str(tmp_path / "in")), ranks), "machine", str(tmp_path / "c"), "update")
-    assert {r.entity_id: r.status for r in out.collect()} == {1: "contacted", 2: "unsubscribed"}
+    """Over several batches, and again with more files and the same state."""
+    first = [(1, "new"), (1, "contacted"), (1, "qualified"), (2, "won"), (2, "unsubscribed"), (2, "contacted"), (3, "odd"), (None, "new"), (4, None)]
+    spark.createDataFrame(first, "entity_id long, status string").repartition(4).write.parquet(str(tmp_path / "in"))
+    out = stream.latest(stream.status_machine(stream.read_events(spark, str(tmp_path / "in"), files_per_trigger=1)), "entity_id")
+    assert {r.entity_id: r.status for r in out.collect()} == {1: "contacted", 2: "unsubscribed", 3: "odd", None: "new", 4: None}
+
+
+def test_numbered_is_a_permutation_of_a_large_table(spark):
+    """More rows than one sample of range bounds settles, with a payload that pruning could drop."""
+    n = 1_200_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    got = selection.numbered(rows, [F.col("k")])
+    assert got.where("rank <> k").count() == 0 and got.select("rank").distinct().count() == n
+    assert got.columns == ["k", "payload", "rank"] and selection.numbered(rows.limit(0), [F.col("k")]).count() == 0
+
+
+def test_seeded_page_wraps(spark):
+    rows = spark.range(20).withColumnRenamed("id", "k")
+    page = lambda o, n: {r.k for r in selection.seeded_page(rows, "k", 7, o, n).collect()}
+    assert len(page(17, 6)) == 6 and page(17, 6) == page(17, 3) | page(0, 3) and page(3, 50) == set(range(20))
+    assert page(25, 4) == page(5, 4)
+
+
+def test_without_longer(spark):
+    rows = [("a", "con"), ("a", "contact"), ("a", "cont"), ("b", "contact"), (None, "x" * 3000), (None, "xxx"), ("a", "xxxx"), ("a", None)]
+    got = selection.without_longer(spark.createDataFrame(rows, "source string, w string").where("w is not null"), ["source"], "w", 3)
+    assert {tuple(r) for r in got.collect()} == {("a", "con"), ("b", "contact"), (None, "xxx"), ("a", "xxxx")}
+
+
+def test_commercial_words_that_overlap(spark):
+    from sieveline.functions import classify, dims
+
+    text = "Ma boutique : code promo code, merch store et partenariats ; best seller-site webx, e-book pre-order"
+    got = spark.createDataFrame([(text,), (None,), ("shopping boutiques",)], "t string").select(classify.commercial_signals(F.col("t")).alias("c")).collect()
+    low = text.lower()
+    import re
+
+    want = ["word:" + k for k in dict.fromkeys(dims.COMMERCIAL_WORDS) if re.search(rf"(?<!\w){re.escape(k)}(?!\w)", low)]
+    assert got[0].c.reasons == want[:6] and len(want) > 6 and not got[1].c.monetized and not got[2].c.monetized
