@@ -164,3 +164,28 @@ SECTION_LABELS = {
     'T': "Activités des ménages en tant qu'employeurs",
     'U': 'Activités extra-territoriales',
 }
+#: hosts of pages that only list links; fixed values
+HUB_DOMAINS = (
+    "linktr.ee", "beacons.ai", "stan.store", "komi.io", "bio.link", "snipfeed.co", "campsite.bio", "lnk.bio",
+    "carrd.co", "milkshake.app", "tap.bio", "later.com", "msha.ke", "shorby.com", "withkoji.com",
+)
+#: networks that links of a hub are not followed to; fixed values
+HUB_SOCIAL_DOMAINS = (
+    "instagram.com", "twitter.com", "x.com", "facebook.com", "tiktok.com", "youtube.com", "youtu.be", "twitch.tv",
+    "reddit.com", "linkedin.com", "snapchat.com", "pinterest.com", "vimeo.com", "soundcloud.com", "spotify.com", "discord.gg",
+    "discord.com", "telegram.me", "t.me", "wa.me", "whatsapp.com", "threads.net", "bsky.app",
+)
+#: paths of pages that tend to hold contact details; fixed values
+PRIORITY_PATHS = (
+    "/mentions-legales", "/legal", "/contact", "/contactez-nous", "/nous-contacter", "/about", "/a-propos", "/qui-sommes-nous",
+    "/booking", "/reservation", "/devis", "/tarifs", "/prix", "/partenariat", "/partenariats", "/partner", "/partners",
+    "/collab", "/collaboration", "/collaborer", "/business", "/pro", "/professionnel", "/equipe", "/team", "/notre-equipe",
+    "/presse", "/media", "/medias", "/agence", "/agency", "/imprint", "/legal-notice", "/get-in-touch", "/work-with-us",
+    "/hire-me", "/hire-us", "/services",
+)
+#: words of links to such pages; fixed values
+PRIORITY_WORDS = (
+    "mentions légales", "mentions legales", "mentions", "contact", "contactez", "nous écrire", "écrire", "à propos", "a propos", "about",
+    "imprint", "legal", "booking", "réserver", "réservation", "devis", "partenariat", "partenariats", "partner", "collab",
+    "business", "pro", "travailler avec", "équipe", "team", "presse", "media", "tarifs", "prix", "services", "hire", "work with",
+)

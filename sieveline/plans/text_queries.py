@@ -61,9 +61,9 @@ def extract_emails(spark, sf_dir):
     return d.select("doc_id", F.array_join(contact.text_emails(F.col("text")), ",").alias("emails")).where("emails <> ''")
 
 
-_PLAIN = f"(list_transform(regexp_extract_all(text, '{contact.EMAIL_WORD}'), lambda x: lower(x)) || list_transform(regexp_extract_all(text, '{contact.SPELLED}'), lambda x: lower(regexp_replace(x, '{contact.SPELLED}', '\\1@\\2.\\3'))))"
+RAW_EMAILS = f"(list_transform(regexp_extract_all(text, '{contact.EMAIL_WORD}'), lambda x: lower(x)) || list_transform(regexp_extract_all(text, '{contact.SPELLED}'), lambda x: lower(regexp_replace(x, '{contact.SPELLED}', '\\1@\\2.\\3'))))"
 EXTRACT_EMAILS = f"""
-WITH {o.clean_emails('documents', 'doc_id', _PLAIN)}
+WITH {o.clean_emails('documents', 'doc_id', RAW_EMAILS)}
 SELECT doc_id, array_to_string(list_sort(list_distinct(list(e)))[1:5], ',') AS emails FROM cleaned GROUP BY doc_id
 """
 
@@ -76,7 +76,7 @@ def clean_email_list(spark, sf_dir):
 
 
 CLEAN_EMAIL_LIST = f"""
-WITH {o.clean_emails('documents', 'source', _PLAIN)}
+WITH {o.clean_emails('documents', 'source', RAW_EMAILS)}
 SELECT DISTINCT source, e AS email, {o.case_map("split_part(e, '@', 1)", dims.EMAIL_PRIORITY, '10')} AS priority FROM cleaned
 """
 
@@ -103,7 +103,7 @@ def html_text(spark, sf_dir):
     return p.select("page_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
-def _html_sql(c: str) -> str:
+def page_text(c: str) -> str:
     t = f"regexp_replace({c}, '<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<noscript\\b[^>]*>.*?</noscript>|<!--.*?-->', ' ', 'gis')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     for a, b in text.ENTITIES:
@@ -111,7 +111,7 @@ def _html_sql(c: str) -> str:
     return f"trim(regexp_replace({t}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-HTML_TEXT = f"SELECT page_id, md5(t) AS digest, len(t)::BIGINT AS n FROM (SELECT page_id, {_html_sql('html')} AS t FROM pages)"
+HTML_TEXT = f"SELECT page_id, md5(t) AS digest, len(t)::BIGINT AS n FROM (SELECT page_id, {page_text('html')} AS t FROM pages)"
 
 
 def page_contacts(spark, sf_dir):
@@ -123,7 +123,7 @@ def page_contacts(spark, sf_dir):
 
 
 PAGE_CONTACTS = f"""
-WITH src AS (SELECT page_id, {_html_sql('html')} AS text FROM pages), {o.clean_emails('src', 'page_id', _PLAIN)},
+WITH src AS (SELECT page_id, {page_text('html')} AS text FROM pages), {o.clean_emails('src', 'page_id', RAW_EMAILS)},
 em AS (SELECT page_id, array_to_string(list_sort(list_distinct(list(e)))[1:5], ',') AS emails FROM cleaned GROUP BY page_id)
 SELECT s.page_id, coalesce(emails, '') AS emails,
   array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b(\\d{{5}})\\b', 1), lambda x: x >= '01000'))), ',') AS postal_codes,
@@ -167,7 +167,7 @@ def commercial_signals(spark, sf_dir):
 _URL = contact.URL.replace("(?i)", "").replace("'", "''")
 _words = " || ".join(f"CASE WHEN regexp_matches(low, '(?:^|[^\\p{{L}}\\p{{N}}_]){k.replace('.', chr(92) + '.')}(?:$|[^\\p{{L}}\\p{{N}}_])') THEN ['word:{k}'] ELSE [] END" for k in dict.fromkeys(dims.COMMERCIAL_WORDS))
 COMMERCIAL_SIGNALS = f"""
-WITH t AS (SELECT page_id, concat_ws(' ', url, {_html_sql('html')}) AS t FROM pages),
+WITH t AS (SELECT page_id, concat_ws(' ', url, {page_text('html')}) AS t FROM pages),
 u AS (SELECT *, regexp_extract_all(t, '(?i){_URL}') AS urls, lower(t) AS low FROM t),
 m AS (SELECT *, list_filter(urls, lambda x: regexp_matches(x, '{classify.COMMERCIAL}')) AS paid,
   list_filter(urls, lambda x: NOT regexp_matches(x, '{classify.COMMERCIAL}') AND NOT regexp_matches(regexp_extract(lower(x), '^(?:https?://(?:www\\.)?|www\\.)([^/\\s]+)', 1), '(?:^|\\.)(?:{o.alternation(dims.SOCIAL_DOMAINS)})$')) AS own FROM u),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.contact import clean_list, norm_phone
 from sieveline.functions.text import split_list
+from sieveline.sources import sheets
 
 #: fields that a column may feed, in order, with the header forms that name them; fixed values
 HEADER_HINTS = {
@@ -57,7 +58,7 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV, TSV or TXT file with a header, or Parquet or JSON, by suffix; all text columns for delimited files."""
+    """A CSV, TSV or TXT file with a header, or a workbook, Parquet or JSON, by suffix; all text columns for delimited files."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv", "txt"):
         df = spark.read.option("header", True).option("sep", sniff_separator(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
@@ -66,6 +67,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if kind in ("json", "jsonl"):
         return spark.read.option("mode", "DROPMALFORMED").option("multiLine", kind == "json").json(path)
+    if kind == "xlsx":
+        return sheets.as_table(sheets.read_workbooks(spark, path))
     raise ValueError(f"unknown format: {kind}")
 
 

@@ -6,13 +6,14 @@ source's rules drop are filtered, so predicates and column pruning reach the sca
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.classify import commercial_signals, section_label
-from sieveline.functions.contact import clean_email, collapse_prefixes, is_social, text_emails, text_phones
+from sieveline.functions.contact import EMAIL, clean_email, collapse_prefixes, is_social, text_emails, text_phones
 from sieveline.functions.text import blank
 
 _NONE = "array<string>"
@@ -175,3 +176,51 @@ def enrich(left: DataFrame, right: DataFrame, key: str, text: str = "description
 def own_site(urls: Column) -> Column:
     """The first URL that leads to no social host, null if none."""
     return F.try_element_at(F.filter(urls, lambda u: ~is_social(u)), F.lit(1))
+
+
+LEGACY_RECORD = ("platform string, id string, name string, handle string, emails array<string>, emails_meta array<struct<email:string,source:string,source_id:string,url:string,context:string,found_at:string>>, "
+                 "phones array<string>, urls_in_bio array<string>, country string, language string, description string, monetized boolean, monetization_reasons array<string>, subscribers long, url string, "
+                 "status string, tags array<string>, notes string, found_at string")
+
+
+def from_legacy(raw: DataFrame, origin: str = "profile", source: str = "legacy") -> DataFrame:
+    """Records of the older collection (``LEGACY_RECORD``) as entities.
+
+    An address keeps the provenance it has; where the record has none, every address comes from the
+    profile it stood in. Statuses map by ``legacy_status``; descriptions are cut at 2,000.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(_NONE))
+    platform = _text("platform")
+    given = F.filter(F.coalesce("emails_meta", F.array()), lambda m: F.coalesce(m["email"], F.lit("")) != "")
+    own = F.transform(F.filter(none("emails"), lambda e: e != ""), lambda e: F.struct(
+        e.alias("email"), F.when(platform != "", F.concat_ws("_", F.lit(origin), platform)).otherwise(origin).alias("source"), _text("id").alias("source_id"), _text("url").alias("url"),
+        F.when(platform != "", F.concat(F.lit("bio / profil "), platform)).otherwise("profil créateur").alias("context"), _text("found_at").alias("found_at")))
+    return raw.select(
+        _text("name").alias("name"), _text("handle").alias("handle"), none("emails").alias("emails"), F.when(F.size(F.coalesce("emails_meta", F.array())) > 0, given).otherwise(own).alias("emails_meta"), none("phones").alias("phones"),
+        F.lit("").alias("website"), F.filter(none("urls_in_bio"), lambda u: u.isNotNull()).alias("other_urls"), _text("country").alias("country"), _text("language").alias("language"), platform.alias("industry"),
+        F.substring(_text("description"), 1, 2000).alias("description"), F.coalesce("monetized", F.lit(False)).alias("monetized"), none("monetization_reasons").alias("monetization_reasons"), F.col("subscribers").cast("long").alias("subscribers"),
+        _text("url").alias("platform_url"), legacy_status(F.col("status")).alias("status"), none("tags").alias("tags"), _text("notes").alias("notes"),
+        F.array(F.struct(F.lit(source).alias("name"), F.concat_ws("|", platform, _text("id")).alias("source_id"), _text("url").alias("url"), _text("found_at").alias("found_at"))).alias("sources"))
+
+
+def match_packages(packages: DataFrame, query: str) -> DataFrame:
+    """Packages whose name holds a word of the query between separators, or begins or ends with it at a dash."""
+    words = [re.escape(t.lower()) for t in re.split(r"\W+", query) if len(t) >= 2]
+    if not words:
+        return packages.limit(0)
+    return packages.where(F.lower(F.trim("name")).rlike(rf"(?:^|[\W_])(?:{'|'.join(words)})(?:[\W_]|$)"))
+
+
+def from_packages(meta: DataFrame) -> DataFrame:
+    """Package metadata as profiles: author's name, addresses of author and maintainer, first links, summary and text.
+
+    ``meta`` has ``name, author, maintainer, author_email, maintainer_email, summary, description,
+    home_page, project_urls`` (a map).
+    """
+    mails = lambda c: F.regexp_extract_all(_text(c), F.lit(EMAIL), F.lit(0))
+    emails = F.array_distinct(F.transform(F.concat(mails("author_email"), mails("maintainer_email")), lambda e: F.lower(e)))
+    who = F.trim(F.substring_index(F.coalesce(blank(F.col("author")), blank(F.col("maintainer")), F.lit("")), "<", 1))
+    web = F.array_distinct(F.filter(F.concat(F.array(_text("home_page")), F.coalesce(F.map_values("project_urls"), F.array().cast(_NONE))), lambda u: u.startswith("http")))
+    text = F.substring(F.concat_ws("\n\n", F.nullif(_text("summary"), F.lit("")), F.nullif(F.substring(_text("description"), 1, 1800), F.lit(""))), 1, 4000)
+    return meta.select(F.lit("package").alias("platform"), F.col("name").alias("handle"), F.when(who != "", who).otherwise(F.col("name")).alias("name"), text.alias("description"), emails.alias("emails"),
+                       F.slice(web, 1, 5).alias("urls_in_bio"), F.coalesce(F.try_element_at(web, F.lit(1)), F.lit("")).alias("website"), F.lit("en").alias("language"))

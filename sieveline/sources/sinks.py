@@ -19,8 +19,13 @@ def export_rows(entities: DataFrame) -> DataFrame:
     return entities.select(*[F.coalesce((cols[c] if c in cols else F.col(c) if c in have else F.lit(None)).cast("string"), F.lit("")).alias(c) for c in EXPORT])
 
 
+BOM = "\ufeff"
+
+
 def write_csv(rows: DataFrame, path: str, sep: str = ";") -> None:
-    rows.write.option("header", True).option("sep", sep).csv(path)
+    """CSV files with a header whose first name follows a byte order mark, so that spreadsheets read them as UTF-8."""
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, BOM + first).write.option("header", True).option("sep", sep).csv(path)
 
 
 #: event fields with a column of their own; all others live in ``extra``
