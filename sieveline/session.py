@@ -35,13 +35,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where it is unset on a local master (tests on one machine) a temporary folder is made; on a
+    cluster a folder of one machine would lose what others wrote, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()
 
