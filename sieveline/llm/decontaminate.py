@@ -130,10 +130,11 @@ def _document_windows(shared, short):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Words of each document that lie inside a benchmark window.
 
-    Returns one row per input row: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``.
+    Returns one row per input row: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``, and with
+    ``digest`` the ``xxhash64`` of the text, which tells rows of one id apart.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. Null or wordless
     texts have no words and no hits; null or wordless items never occur. Items repeating an id
@@ -169,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     zero = F.lit(0).cast("long")
     return out.select(
         F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *([F.col("dig").alias("digest")] if digest else []))
 
 
 def op10_decontaminate(spark, sf_dir):

@@ -37,6 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_exact_dedup(spark, sf_dir):
+    """``exact_groups`` over all ``documents``: whole texts, no change first, the largest id stays; its handling of nulls, ties and repeats holds."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -127,17 +127,18 @@ def training_order(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit
                    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` once per copy the mix takes, range-sorted by training position.
 
-    Columns are those of ``docs``. Documents stay whole: one that the target cuts counts as a
+    Columns are those of ``docs``, whatever their names. Documents stay whole: one that the target cuts counts as a
     copy. Rows that share an id are taken as often as the most taken of them, rows without an
-    id likewise. Documents without words leave.
+    id likewise. Documents without words, null and empty texts too, leave. Empty input gives no rows.
     """
     r = _passes(docs, weights, share, limit, schedules, cells, seed, id_col, text_col, source_col).where("copies > 0")
     lap = (F.col("lap") * F.col("source_size")) / F.col("goal")
     r = r.withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    r = r.select(F.col("id").alias("_id"), F.col("lap").alias("_lap"), _when(F.least(F.col("u") + lap, F.lit(1.0)), schedules).alias("_at"))
-    r = r.groupBy("_id", "_lap").agg(F.min("_at").alias("_at"))
-    out = docs.join(r, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.repartitionByRange("_at", id_col).sortWithinPartitions("_at", id_col).drop("_id", "_lap", "_at")
+    r = r.select(F.col("id").alias("of"), "lap", _when(F.least(F.col("u") + lap, F.lit(1.0)), schedules).alias("at"))
+    r = r.groupBy("of", "lap").agg(F.min("at").alias("at"))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
+    out = rows.join(r, rows.id.eqNullSafe(r["of"]))
+    return out.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("row.*")
 
 
 def op5_source_mixing(spark, sf_dir):

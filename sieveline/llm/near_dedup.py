@@ -299,4 +299,5 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
 
 
 def op9_near_dedup(spark, sf_dir):
+    """``near_components`` of all ``documents`` at 85 %; its handling of nulls, ties and repeats holds."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

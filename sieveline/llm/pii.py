@@ -183,4 +183,5 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 
 
 def op3_pii(spark, sf_dir):
+    """``find_pii`` over all ``documents``; its handling of nulls, ties and repeats holds."""
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import written
+
 BITS = 60
 #: bits worked out per pass beyond the depth the total size asks for
 STEP = 6
@@ -26,25 +28,15 @@ def key_hash(doc_id) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def extendible_shards(docs: DataFrame, max_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Assign each row to a shard of at most ``max_bytes`` bytes of UTF-8 text.
-
-    Returns one row per input row: ``id_col, n_bytes, shard`` (the bit prefix as text, empty for
-    a directory of depth 0)``, depth, shard_bytes, shard_docs, fits``. A shard splits while it
-    is over the limit and holds more than one document; a single document above the limit has a
-    shard of its own with ``fits`` false. Rows that share an id share all bits, so they stay
-    together; such a shard stops at depth 60 with ``fits`` false. Null text has 0 bytes, a null
-    id hashes as the empty string. Empty input gives no rows.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = rows.select("id", "n_bytes", key_hash(F.col("id")).alias("h"))
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+def _directory(cells: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
+    """The leaves ``(depth, prefix, shard_bytes, shard_docs)`` over cells ``(h, b, n)``, and the least depth of them."""
+    total = cells.agg(F.sum("b")).first()[0] or 0
     low, deep = 0, min(BITS, max(STEP, (total // max_bytes + 1).bit_length() + STEP))
-    leaves, todo = None, rows
+    leaves, todo = None, cells
     while True:
-        cells = todo.groupBy(F.shiftright("h", BITS - deep).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
-        nodes = (
-            cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth"))
+        per = todo.groupBy(F.shiftright("h", BITS - deep).alias("cell")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        nodes = written(
+            per.select("cell", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth"))
             .groupBy("depth", F.expr(f"shiftright(cell, {deep} - depth)").alias("prefix"))
             .agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         )
@@ -60,24 +52,57 @@ def extendible_shards(docs: DataFrame, max_bytes: int = 1 << 20, id_col: str = "
             break
         todo = todo.join(open_cells, F.shiftright(todo.h, BITS - deep) == open_cells.cell, "left_semi")
         low, deep = deep, min(BITS, deep + STEP)
-    # a leaf is found by (depth, prefix); a row tries the few depths that leaves have
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())
-    tries = rows.select("id", "n_bytes", "h", F.explode(F.array(*[F.lit(d) for d in depths] or [F.lit(0)])).alias("depth"))
-    tries = tries.withColumn("prefix", F.expr(f"shiftright(h, {BITS} - depth)"))
-    return tries.join(leaves, ["depth", "prefix"]).select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.expr("if(depth = 0, '', lpad(conv(cast(prefix as string), 10, 2), depth, '0'))").alias("shard"),
-        F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") <= max_bytes).alias("fits"),
-    )
+    leaves = written(leaves)
+    return leaves, leaves.agg(F.min("depth")).first()[0] or 0
+
+
+def sharded(docs: DataFrame, max_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", row: F.Column | None = None) -> DataFrame:
+    """Each row of ``docs`` whole, as the struct ``row`` (or what ``row`` says), with its shard: ``row, n_bytes, shard, depth, shard_bytes, shard_docs, fits``.
+
+    Only (hash, bytes) of each row are written and counted to work the directory out. The rows then
+    meet it in one equi-join on the bits that all leaves have in common: an entry there lists the few
+    leaves below it.
+    """
+    rows = docs.select((F.struct("*") if row is None else row).alias("row"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(id_col)).alias("h"))
+    cells = written(rows.groupBy("h").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")))
+    leaves, least = _directory(cells, max_bytes)
+    at = leaves.groupBy(F.expr(f"shiftright(prefix, depth - {least})").alias("at")).agg(F.collect_list(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaves"))
+    met = rows.join(at, F.shiftright(rows.h, BITS - least) == at["at"])
+    own = F.filter("leaves", lambda x: F.call_function("shiftright", F.col("h"), F.lit(BITS) - x["depth"]) == x["prefix"])[0]
+    out = met.select("row", "n_bytes", own.alias("leaf"))
+    return out.select(
+        "row", "n_bytes",
+        F.expr("if(leaf.depth = 0, '', lpad(conv(cast(leaf.prefix as string), 10, 2), leaf.depth, '0'))").alias("shard"),
+        F.col("leaf.depth").cast("int").alias("depth"), "leaf.shard_bytes", "leaf.shard_docs", (F.col("leaf.shard_bytes") <= max_bytes).alias("fits"))
 
 
-def write_shards(docs: DataFrame, path: str, max_bytes: int = 1 << 20, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder per shard; rows of a shard meet in the task that writes it."""
-    where = extendible_shards(docs, max_bytes, id_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard")).distinct()
-    docs.join(where, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").repartition("_shard").write.partitionBy("_shard").parquet(path)
+def extendible_shards(docs: DataFrame, max_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Assign each row to a shard of at most ``max_bytes`` bytes of UTF-8 text.
+
+    Returns one row per input row: ``id_col, n_bytes, shard`` (the bit prefix as text, empty for
+    a directory of depth 0)``, depth, shard_bytes, shard_docs, fits``. A shard splits while it
+    is over the limit and holds more than one document; a single document above the limit has a
+    shard of its own with ``fits`` false. Rows that share an id share all bits, so they stay
+    together; such a shard stops at depth 60 with ``fits`` false. Null text has 0 bytes, a null
+    id hashes as the empty string. Other columns are not read. Empty input gives no rows.
+    """
+    out = sharded(docs, max_bytes, id_col, text_col, F.col(id_col))
+    return out.select(F.col("row").alias(id_col), "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "fits")
+
+
+def write_shards(docs: DataFrame, path: str, max_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "_shard") -> None:
+    """Write ``docs`` as one folder per shard, ``<shard_col>=<bits>``; rows of a shard meet in the task that writes it.
+
+    Columns stay as they are; ``shard_col`` must not be one of them.
+    """
+    if shard_col in docs.columns:
+        raise ValueError(f"the table has a column {shard_col}; choose another shard_col")
+    out = sharded(docs, max_bytes, id_col, text_col).select("row.*", F.col("shard").alias(shard_col))
+    out.repartition(shard_col).write.partitionBy(shard_col).parquet(path)
 
 
 def op4_extendible_sharding(spark, sf_dir):
+    """``extendible_shards`` of all ``documents``; its handling of nulls, ties and repeats holds."""
     return extendible_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
