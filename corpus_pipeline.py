@@ -6,40 +6,95 @@ returns is written as Parquet in the shared folder and read again as the next on
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, mixing, near_dedup, on_workers, quality, sharding
 from sieveline.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects as junk or toxic go."""
+    """Documents that the weak-label classifier rejects as junk or toxic go.
+
+    Each row is judged by its own whole text: null and empty texts as a document without words (they
+    stay), repeated rows alike, rows without an id like others. All columns pass through as they are,
+    whatever their names. An empty table stays empty.
+    """
     on_workers(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (similarity 0.8) the smallest id stays; of repeated rows, one."""
+    """Of each component of near-duplicates (similarity 0.8) the smallest id stays; of rows that repeat id and text, one.
+
+    Of such repeated rows the smallest by the other columns, in their order, stays (maps are not
+    compared). Rows with one id and different texts are one document: they stay or go together.
+    Rows without an id, and texts without words, null ones too, are linked with nothing and stay. All
+    columns pass through. An empty table stays empty.
+    """
     on_workers(spark)
-    gone = near_dedup.near_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    kept = near_dedup.near_components(docs)
+    fate = written(kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.bool_or(~F.col("kept")).alias("gone"), (F.count("*") > 1).alias("many")).where("gone or many"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    rows = rows.join(fate.where("gone").select("of"), rows["doc_id"] == F.col("of"), "left_anti")
+    many = fate.where("many and not gone").select("of")
+    single = rows.join(many, rows["doc_id"] == F.col("of"), "left_anti").select("row.*")
+    again = rows.join(many, rows["doc_id"] == F.col("of"), "left_semi").select("row.*")
+    ordered = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not f.dataType.typeName() == "map"]
+    maps = [f.name for f in docs.schema if f.dataType.typeName() == "map"]
+    if maps:
+        one = again.dropDuplicates(["doc_id", "text"])
+    else:
+        # null sorts first
+        one = again.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in ordered])).alias("r"))
+        one = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("r")[c].alias(c) for c in docs.columns])
+    return single.unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of 10 words with a benchmark item go."""
+    """Documents that share a window of 10 words (or a whole shorter item) with a benchmark item go.
+
+    Rows that share an id go together if one of them is hit. A row without an id is judged by itself;
+    texts without words, null ones too, stay. All columns pass through, repeated rows too. No items or
+    an empty table change nothing.
+    """
     on_workers(spark)
-    hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), digest=True).where("contaminated").select(F.col("doc_id").alias("of"), "digest")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("dig"), F.struct("*").alias("row"))
+    named = rows.where("id is not null").join(hit.select("of").distinct(), rows["id"] == F.col("of"), "left_anti")
+    nameless = rows.where("id is null").join(hit.where("of is null").select("digest").distinct(), rows["dig"] == F.col("digest"), "left_anti")
+    return named.select("row.*").unionByName(nameless.select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the source mix takes it, in training order."""
-    return mixing.training_order(docs).select(docs.columns)
+    """Each document as often as the source mix takes it, in training order: files in order, and rows in them.
+
+    Documents without words, null and empty texts too, leave; a document at the target's border stays
+    whole. Rows that share an id are taken as often as the most taken of them, likewise rows without an
+    id. A null source is a source of its own. All columns pass through, whatever their names. An empty
+    table stays empty.
+    """
+    return mixing.training_order(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each row, of at most 1 MiB of text where one document allows it."""
-    return sharding.extendible_shards(docs)
+    """Every row whole with its shard, of at most 1 MiB of text where one document allows it, in training order inside its shard.
+
+    Returns ``doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, fits, place`` and ``row``, the document with all
+    its columns. ``place`` is the row's training position, the file and row that the stage before wrote
+    it to (null for tables that are not read from files). Copies of a document, and rows that share an id,
+    share a shard; null text has 0 bytes. An empty table stays empty.
+    """
+    names = docs.columns
+    try:
+        docs = docs.select("*", F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("__place"))
+    except AnalysisException:
+        docs = docs.withColumn("__place", F.lit(None).cast("string"))
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("__place").alias("place"))
+    out = sharding.sharded(docs, row=row)
+    out = out.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "fits", "row.place", F.col("row.row").alias("row"))
+    return out.repartition("shard").sortWithinPartitions("shard", "place")
 
 
 STAGES = [
