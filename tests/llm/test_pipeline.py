@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from helpers import SF
+from helpers import EDGE, SF, components
 from sieveline.llm import sharding
 
 
@@ -35,6 +37,68 @@ def test_stages_take_effect(spark, tmp_path):
     assert out.count() == docs.count()
 
 
+def odd(spark, path, rows):
+    """A table with clashing columns under ``path``, read again, and the other tables the stages want."""
+    s = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, at string, shard string, of long, gone boolean, kept string, __x map<string,string>"
+    full = [(i, t, "en", ["a", None, "b"][k % 3], 0, "r", "i", "z", "s", 1, True, "k", {"a": "b"}) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(full, s).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(7, "nothing that any text holds in ten words or more than that"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, tmp_path, name):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns; and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd(spark, tmp_path / "a", EDGE)
+    got = stage(spark, docs, str(tmp_path / "a"))
+    if name == "sharding":
+        assert got.count() == len(EDGE) and got.select("row.*").columns == docs.columns and got.where("place is null").count() == 0
+    else:
+        assert got.columns == docs.columns
+        texts = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got.collect())
+        before = sorted((i if i is not None else -1, t or "") for i, t in EDGE)
+        if name in ("quality", "decontamination"):
+            assert set(texts) <= set(before) and len(texts) >= len(before) - 8
+            assert name == "quality" or texts == before
+        if name == "near_dedup":
+            want = components([(d, t) for d, t in EDGE if d is not None], 80)
+            assert {i for i, _ in texts if i >= 0} == {d for d in want if want[d] == d} and sum(i < 0 for i, _ in texts) == 2
+    none = odd(spark, tmp_path / "b", [])
+    assert stage(spark, none, str(tmp_path / "b")).count() == 0
+
+
+def test_repeated_rows_are_chosen(spark, tmp_path):
+    """Of rows that repeat id and text, the smallest by the other columns stays; rows without an id all do."""
+    rows = [(1, "a b c d e f", "fr", "z", 1), (1, "a b c d e f", "en", "y", 1), (1, "other words of this id here", "en", "x", 1), (None, "q", "en", "x", 1), (None, "q", "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, rows[1:]))
+
+
+def test_decontamination_without_ids(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = odd(spark, tmp_path, [(None, "a clean text of no id"), (None, "x " + item), (1, item), (1, "clean but of the same id"), (2, "clean")])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in got.collect()) == ["a clean text of no id", "clean"]
+
+
+def test_shards_keep_training_order(spark, tmp_path):
+    """Inside a shard rows stand as the mix ordered them, copies apart by their place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mixing_stage(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.sharding_stage(spark, mixed, SF)
+    rows = got.collect()
+    assert len(rows) == mixed.count() == len({r.place for r in rows}) and all(r.row.text is not None for r in rows)
+    order = {}
+    for r in rows:
+        assert order.get(r.shard, "") < r.place
+        order[r.shard] = r.place
+
+
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
     out = corpus_pipeline.run(spark, SF)
