@@ -5,11 +5,13 @@ propose further candidates (spelled-out e-mail addresses, card-like numbers that
 digit, phone numbers without a plus sign). Labellers vote on every candidate: pattern form,
 check digits, a gazetteer of words that announce such data, and what stands before and after.
 Expectation-maximisation on the counts of vote patterns estimates how reliable each labeller is
-for the kind; the posteriors train a logistic span classifier on votes and shape. Candidates the
-classifier accepts are added; base spans always stay.
+for the kind; the posteriors train a logistic span classifier on the votes and on features that no
+labeller reads: length, separators, and the hashed word before the span. So a form of number that
+stands in personal contexts is accepted where its votes alone say little. Candidates the classifier
+accepts are added; base spans always stay.
 
-The counts behind EM and the classifier are a group-by over a few thousand possible patterns,
-so what reaches the driver does not grow with the corpus.
+The counts behind EM and the classifier are a group-by over votes and features with a fixed number
+of values, so what reaches the driver does not grow with the corpus beyond that.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +83,20 @@ def _votes(c: DataFrame) -> tuple[DataFrame, list[str]]:
     return c.withColumns({f"v_{k}": v.cast("int") for k, v in votes.items()}), [f"v_{k}" for k in votes]
 
 
+#: values of each feature of the span classifier
+LENGTHS, SEPARATORS, CONTEXTS = 8, 16, 16
+FEATURES = {"f_length": LENGTHS, "f_separators": SEPARATORS, "f_context": CONTEXTS}
+
+
+def _shape(c: DataFrame) -> DataFrame:
+    """Features of a candidate, each a small number: length in steps of 4, which separators it has, and a hash of the word before it."""
+    body = F.col("body")
+    marks = reduce(lambda a, b: a + b, [F.when(body.rlike(p), 1 << i).otherwise(0) for i, p in enumerate((r"\s", "-", r"\.", r"[()\[\]]"))])
+    word = F.regexp_extract(F.lower("left"), "([a-z]+)[^a-z]*$", 1)
+    hashed = F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int")
+    return c.withColumns({"f_length": F.least(F.floor(F.length(body) / 4), F.lit(LENGTHS - 1)).cast("int"), "f_separators": marks.cast("int"), "f_context": F.pmod(hashed, F.lit(CONTEXTS)).cast("int")})
+
+
 def _em(patterns: list[tuple[tuple, float]], rounds: int = 60) -> list[float]:
     """Posterior of each pattern; votes 0, 1, None are taken as independent given the class."""
     post = [min(0.95, max(0.05, 0.5 + 0.25 * (sum(v == 1 for v in p) - 1.5 * sum(v == 0 for v in p)))) for p, _ in patterns]
@@ -107,25 +124,44 @@ def _em(patterns: list[tuple[tuple, float]], rounds: int = 60) -> list[float]:
     return post
 
 
-def _logistic(rows: list[tuple[list[float], float, float]], rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """Weights of a logistic model on (features, target, count) rows, gradient descent with AdaGrad."""
-    w, g2 = [0.0] * len(rows[0][0]), [1e-8] * len(rows[0][0])
-    total = sum(n for _, _, n in rows)
+def _columns(votes: tuple, features: tuple) -> list[int]:
+    """The columns of the classifier that are 1 for a candidate: a constant, each vote that is cast, each feature's value."""
+    out, at = [0], 1
+    for v in votes:
+        if v is not None:
+            out.append(at + v)
+        at += 2
+    for f, n in zip(features, FEATURES.values()):
+        out.append(at + f)
+        at += n
+    return out
+
+
+def _logistic(rows: list[tuple[list[int], float, float]], size: int, rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic model on (columns that are 1, target, count) rows, gradient descent with AdaGrad."""
+    row = np.repeat(np.arange(len(rows)), [len(c) for c, _, _ in rows])
+    col = np.concatenate([c for c, _, _ in rows])
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    n = n / n.sum()
+    w, g2 = np.zeros(size), np.full(size, 1e-8)
     for _ in range(rounds):
-        g = [1e-4 * x for x in w]
-        for x, y, n in rows:
-            e = n / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x)))))) - y)
-            for i, xi in enumerate(x):
-                if xi:
-                    g[i] += e * xi
-        for i, gi in enumerate(g):
-            g2[i] += gi * gi
-            w[i] -= rate * gi / math.sqrt(g2[i])
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(rows)), -30, 30)))
+        g = np.bincount(col, (n * (p - y))[row], size) + l2 * w
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
     return w
 
 
-def _features(pattern: tuple) -> list[float]:
-    return [1.0, *[float(v == k) for v in pattern for k in (0, 1)]]
+def train(seen: list[tuple[tuple, tuple, float]]) -> np.ndarray | None:
+    """Weights for one kind from ``(votes, features, count)``: EM on the votes, then the classifier on its posteriors."""
+    if not seen:
+        return None
+    total: dict[tuple, float] = {}
+    for v, _, n in seen:
+        total[v] = total.get(v, 0.0) + n
+    patterns = sorted(total.items(), key=str)
+    post = dict(zip([p for p, _ in patterns], _em(patterns)))
+    return _logistic([(_columns(v, f), post[v], n) for v, f, n in sorted(seen, key=str)], 1 + 2 * len(seen[0][0]) + sum(FEATURES.values()))
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,18 +190,21 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
         _proposals(own, "card", CARD, text.rlike(CARD), ~luhn(F.col("body")), False),
         _proposals(own, "phone", NATIONAL, text.rlike(NATIONAL), n.between(9, 15), False),
     ]
-    cands, votes = _votes(reduce(DataFrame.unionByName, found))
+    cands, votes = _votes(_shape(reduce(DataFrame.unionByName, found)))
     cands = cands.drop("left", "right", "body")
-    seen = cands.groupBy("kind", *votes).agg(F.count("*").alias("n")).collect()
+    seen = cands.groupBy("kind", *votes, *FEATURES).agg(F.count("*").alias("n")).collect()
     accept = F.lit(0.0)
     for kind in KINDS:
-        patterns = sorted(((tuple(r[v] for v in votes), float(r["n"])) for r in seen if r["kind"] == kind), key=str)
-        if not patterns:
+        w = train([(tuple(r[v] for v in votes), tuple(r[f] for f in FEATURES), float(r["n"])) for r in seen if r["kind"] == kind])
+        if w is None:
             continue
-        w = _logistic([(_features(p), q, c) for (p, c), q in zip(patterns, _em(patterns))])
-        z = F.lit(w[0])
-        for i, v in enumerate(votes):
-            z = z + F.when(F.col(v) == 0, w[1 + 2 * i]).when(F.col(v) == 1, w[2 + 2 * i]).otherwise(0.0)
+        z, at = F.lit(float(w[0])), 1
+        for v in votes:
+            z = z + F.when(F.col(v) == 0, float(w[at])).when(F.col(v) == 1, float(w[at + 1])).otherwise(0.0)
+            at += 2
+        for f, n in FEATURES.items():
+            z = z + F.element_at(F.array(*[F.lit(float(x)) for x in w[at : at + n]]), F.col(f) + 1)
+            at += n
         accept = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(accept)
     rank = reduce(lambda a, k: a.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     span = F.struct(rank.alias("rank"), "start", "end", "kind")
