@@ -38,7 +38,9 @@ SHINGLE = 5
 #: no node is deeper; ``branching_ends`` is reached before at the thresholds in use
 MAX_DEPTH = 40
 #: least probability that a pair at the threshold shares a leaf or an end node of some tree
-RECALL = 0.999
+RECALL = 0.99999
+#: so many ids of large components, of 8 bytes each, are broadcast; more are joined by shuffle
+FEW = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(1 << 63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1 << 63, size=TOKENS, dtype=np.uint64)
@@ -257,9 +259,11 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
         coarse = connected_components(groups, "rep", "low")
         coarse = written(coarse)
         heavy = coarse.join(by_cls.select(F.col("cls").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-        few = heavy.where(small).select("component")
-        in_small = coarse.join(few, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
-        in_large = groups.join(coarse.join(few, "component", "left_anti").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
+        # components above a leaf are few (nodes / leaf at most): rows need no exchange by component, in which a large one is one task
+        large = written(heavy.where(~small).select("component"))
+        large = F.broadcast(large) if large.count() <= FEW else large
+        in_small = coarse.join(large, "component", "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("gid"))
+        in_large = groups.join(coarse.join(large, "component", "left_semi").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "gid")
         # leaves of several trees often hold the same documents: one of each is enough
         same = in_large.groupBy("gid").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("b"))
         once = same.groupBy("n", "a", "b").agg(F.min("gid").alias("gid")).select("gid")

@@ -147,6 +147,30 @@ def test_near_pairs_apart_from_the_hub(spark, monkeypatch):
     assert len(linked) > pairs // 2 and len(lost) <= 0.01 * len(linked), (len(lost), len(linked))
 
 
+def test_near_dense_group_far_above_the_leaf(spark):
+    """360 near copies, 16 of which fill a leaf: components against brute force, with the depth that the stated recall allows."""
+    rnd = random.Random(21)
+    fresh = iter(range(10**9))
+    hub = [f"h{i}" for i in range(110)]
+
+    def changed(w, n):
+        w = list(w)
+        for p in rnd.sample(range(5, 105), n):
+            w[p] = f"n{next(fresh)}"
+        return w
+
+    docs = []
+    for _ in range(90):
+        x = changed(hub, rnd.choice([2, 3, 4]))
+        docs += [x, changed(x, 1), changed(x, rnd.choice([1, 2])), changed(hub, rnd.choice([2, 5]))]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = components(docs, 85)
+    got = near(edge(spark, docs), percent=85, leaf=16)
+    lost = [d for d in want if got[d][1] != want[d]]
+    print(f"{len(set(want.values()))} components of {len(docs)} documents, {len(lost)} documents in a wrong one")
+    assert 50 < len(set(want.values())) < len(docs) and len(lost) <= 1
+
+
 def test_near_edge(spark):
     got = near(edge(spark), percent=85)
     want = components([(d, t) for d, t in dict(EDGE).items() if d is not None], 85)
