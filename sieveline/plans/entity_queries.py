@@ -36,7 +36,7 @@ def rule_classifier(spark, sf_dir):
     return p.select("p_partkey", classify.first_rule(F.upper("p_type"), PART_RULES, "other").alias("category"), classify.trade_category(F.concat_ws(" ", F.element_at(F.array(*[F.lit(t) for t in _TRADES]), (F.col("p_partkey") % len(_TRADES) + 1).cast("int")), "p_name")).alias("trade"))
 
 
-_TRADES = ("Plombier chauffagiste", "Avocat à la cour", "Fleuriste", "Ostéopathe", "Architecte d’intérieur", "Expert-comptable", "Métier inconnu", "Bœuf : boucherie", "Électricien", "DJ mariage")
+_TRADES = ("Plombier chauffagiste", "Avocat à la cour", "Fleuriste", "Ostéopathe", "Architecte d’intérieur", "Expert-comptable", "Métier inconnu", "Bœuf : boucherie", "Électricien", "DJ mariage", "", "BOULANGERIE-PÂTISSERIE", "Ébéniste & menuisier", "体育", "Coach sportif", "Agent immobilier", "Food-truck à burgers", "Pompe à chaleur", "Courtier en assurance", "Toilettage canin", "Garage auto")
 _rules = lambda c, rules, default: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{'|'.join(s).replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, s in rules) + f" ELSE '{default}' END"
 RULE_CLASSIFIER = f"""
 WITH t AS (SELECT p_partkey, p_type, replace(strip_accents(replace(lower(list_extract([{o.names(_TRADES)}], (p_partkey % {len(_TRADES)} + 1)::INTEGER) || ' ' || p_name), 'œ', 'oe')), '’', '''') AS s FROM part)

@@ -84,15 +84,16 @@ SELECT DISTINCT source, e AS email, {o.case_map("split_part(e, '@', 1)", dims.EM
 def email_status(spark, sf_dir):
     """Customers' written-out addresses under every rejection rule: what cleaning gives for raw variants."""
     c = load(spark, sf_dir, "customer")
-    n = F.col("c_custkey") % 12
-    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (n + 1).cast("int"))
+    n = F.col("c_custkey") % len(_RAW)
+    raw = F.element_at(F.array(*[F.lit(x) if x is not None else F.lit(None).cast("string") for x in _RAW]), (n + 1).cast("int"))
     return c.select("c_custkey", F.replace(raw, F.lit("#"), F.col("c_custkey").cast("string")).alias("raw")).select("c_custkey", contact.clean_email(F.col("raw")).alias("email"), F.coalesce(contact.guess_email(F.concat(F.lit("https://www.shop.firm"), F.col("c_custkey").cast("string"), F.lit(".fr/x?y=1"))), F.lit("")).alias("guess"))
 
 
 #: address variants: plain, noisy, accented, platform, placeholder, glued, technical; `#` is the key
-_RAW = ("Jean.#@Firm#.fr", "  contact@links.firm#.io ", "write to anna#@firm.com now", "andré#@firm.fr", "x#@sub.skool.com", "a#@example.com", "b#@gmail.comwebmaster", "only@firm#.fr", ".c#@firm.fr", "d#@www.firm.fr", "e#@o1.ingest.sentry.io", "info#@firm.bretagne")
+_RAW = ("Jean.#@Firm#.fr", "  contact@links.firm#.io ", "write to anna#@firm.com now", "andré#@firm.fr", "x#@sub.skool.com", "a#@example.com", "b#@gmail.comwebmaster", "only@firm#.fr", ".c#@firm.fr", "d#@www.firm.fr", "e#@o1.ingest.sentry.io", "info#@firm.bretagne",
+        "", "  ", None, "Élodie.#@firm.fr", "a#@b#@firm.fr", "œuvre#@firm.fr", "x#@münchen.de", "no address #", "A#@FIRM.COM,b@firm.com", "tel#@shop.firm.co.uk", "user+tag#@firm.museum", "<c#@firm.de>", "c#@firm", "体育#@firm.fr", "q#@firm.fr体")
 EMAIL_STATUS = f"""
-WITH src AS (SELECT c_custkey, [replace(list_extract([{o.names(_RAW)}], (c_custkey % 12 + 1)::INTEGER), '#', c_custkey::VARCHAR)] AS rs FROM customer), {o.clean_emails('src', 'c_custkey', 'rs')}
+WITH src AS (SELECT c_custkey, [replace(list_extract([{', '.join('NULL' if x is None else o.names([x]) for x in _RAW)}], (c_custkey % {len(_RAW)} + 1)::INTEGER), '#', c_custkey::VARCHAR)] AS rs FROM customer), {o.clean_emails('src', 'c_custkey', 'rs')}
 SELECT c.c_custkey, e AS email, 'contact@firm' || c.c_custkey || '.fr' AS guess FROM customer c LEFT JOIN cleaned k ON c.c_custkey = k.c_custkey
 """
 
@@ -217,17 +218,19 @@ SELECT kind, count(*) AS n, sum(len(text))::BIGINT AS chars, count(lang) AS n_la
 """
 
 
+#: phone variants; `#` is the key in eight digits
+_PHONES = ("06 12 #", "0033-1#", "+1 (555) #", "12-34", "", None, "+33 (0)6 #", "00 44 20 #", "tel. 0#6", "０６#", "+#", "07.#", "33 6 # ext 2", " # ", "ABC")
+
+
 def phone_normalise(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit("06 12 "), F.lpad((k % 10000).cast("string"), 6, "0"))).when(k % 4 == 1, F.concat(F.lit("0033-1"), F.lpad((k % 10000).cast("string"), 8, "0"))).when(k % 4 == 2, F.concat(F.lit("+1 (555) "), F.lpad((k % 10000).cast("string"), 7, "0"))).otherwise(F.lit("12-34"))
-    return s.select("s_suppkey", contact.norm_phone(raw).alias("phone"))
+    c = load(spark, sf_dir, "customer")
+    raw = F.element_at(F.array(*[F.lit(x) if x is not None else F.lit(None).cast("string") for x in _PHONES]), (F.col("c_custkey") % len(_PHONES) + 1).cast("int"))
+    return c.select("c_custkey", contact.norm_phone(F.replace(raw, F.lit("#"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("phone"))
 
 
 PHONE_NORMALISE = f"""
-WITH r AS (SELECT s_suppkey, lpad((s_suppkey % 10000)::VARCHAR, 6, '0') AS a, lpad((s_suppkey % 10000)::VARCHAR, 8, '0') AS b, lpad((s_suppkey % 10000)::VARCHAR, 7, '0') AS c FROM supplier),
-p AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '06 12 ' || a WHEN 1 THEN '0033-1' || b WHEN 2 THEN '+1 (555) ' || c ELSE '12-34' END AS raw FROM r)
-SELECT s_suppkey, {o.norm_phone('raw')} AS phone FROM p
+WITH p AS (SELECT c_custkey, replace(list_extract([{', '.join('NULL' if x is None else o.names([x]) for x in _PHONES)}], (c_custkey % {len(_PHONES)} + 1)::INTEGER), '#', lpad(c_custkey::VARCHAR, 8, '0')) AS raw FROM customer)
+SELECT c_custkey, {o.norm_phone('raw')} AS phone FROM p
 """
 
 
