@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.session import written
+
 KINDS = ("email", "ip", "card", "phone")
 #: starts only at the left end of a run (or where the last match ended), so long runs cost one pass
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -191,7 +193,8 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
         _proposals(own, "phone", NATIONAL, text.rlike(NATIONAL), n.between(9, 15), False),
     ]
     cands, votes = _votes(_shape(reduce(DataFrame.unionByName, found)))
-    cands = cands.drop("left", "right", "body")
+    # candidates without their texts are a small table, read twice
+    cands = written(cands.drop("left", "right", "body"))
     seen = cands.groupBy("kind", *votes, *FEATURES).agg(F.count("*").alias("n")).collect()
     accept = F.lit(0.0)
     for kind in KINDS:
