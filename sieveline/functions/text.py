@@ -224,32 +224,9 @@ def split_answer(c: Column) -> Column:
     return F.struct(F.regexp_extract(c, line, 1).alias("subject"), F.regexp_replace(F.regexp_replace(c, line, ""), r"^\s+|\s+$", "").alias("body"))
 
 
-def _shared(a: Column, b: Column) -> Column:
+
+def shared_start(a: Column, b: Column) -> Column:
     """Length of the common beginning of two texts."""
     n = F.least(F.length(a), F.length(b))
     differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), 1)
     return F.when(n == 0, 0).when(differs == 0, n).otherwise(differs - 1).cast("int")
-
-
-def edit_in_place(old: Column, new: Column, html: Column) -> Column:
-    """``struct(html, applied)``: the one span in which ``new`` differs from ``old``, replaced once in ``html``.
-
-    The span is looked for as it is, and with apostrophes and blanks before French punctuation as
-    entities; the replacement is written the same way. Where it is not found, or would only insert,
-    nothing changes.
-    """
-    o, n, h = (F.coalesce(c, F.lit("")) for c in (old, new, html))
-    start = _shared(o, n)
-    rest = lambda c: F.substr(c, start + 1)
-    end = _shared(F.reverse(rest(o)), F.reverse(rest(n)))
-    cut = lambda c: F.left(rest(c), F.length(c) - start - end)
-    gone, come = cut(o), cut(n)
-    marks = (lambda t: t, lambda t: F.regexp_replace(t, "['’]", "&rsquo;"), lambda t: F.regexp_replace(t, "['’]", "&#39;"))
-    blanks = (lambda t: t, lambda t: F.regexp_replace(t, " ([:;!?»])", "&nbsp;$1"))
-    out = F.when((h == "") | (F.trim(n) == "") | (F.trim(o) == F.trim(n)) | (F.trim(gone) == ""), F.lit(None).cast("string"))
-    for mark in marks:
-        for gap in blanks:
-            a, b = gap(mark(gone)), gap(mark(come))
-            at = F.instr(h, a)
-            out = out.when(at > 0, F.concat(F.left(h, at - 1), b, F.substr(h, at + F.length(a))))
-    return F.struct(F.coalesce(out, h).alias("html"), out.isNotNull().alias("applied"))

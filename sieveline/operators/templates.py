@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import message_name
+from sieveline.functions.text import message_name, shared_start
 
 
 def _low(c: Column) -> Column:
@@ -192,3 +192,25 @@ def chosen_model(provider: Column, usual: dict[str, str], cheap: dict[str, str]
     """A provider's model: the cheap one for simple work where it is listed, else its usual one, else empty."""
     pick = lambda table: reduce(lambda a, kv: a.when(provider == kv[0], kv[1]), table.items(), F.when(F.lit(False), ""))
     return F.coalesce(pick(cheap), pick(usual), F.lit("")) if cheap else F.coalesce(pick(usual), F.lit(""))
+
+
+def edit_in_place(rows: DataFrame, old: str, new: str, html: str) -> DataFrame:
+    """Adds ``edited, applied``: the one span in which ``new`` differs from ``old``, replaced once in ``html``.
+
+    The span is looked for as it is, and with apostrophes and blanks before French punctuation as
+    entities; the replacement is written the same way. Where it is not found, or would only insert,
+    nothing changes. Each step is a projection of its own, as it is read several times by the next.
+    """
+    r = rows.withColumns({f"__{k}": F.coalesce(F.col(c), F.lit("")) for k, c in (("o", old), ("n", new), ("h", html))})
+    r = r.withColumn("__at", shared_start(F.col("__o"), F.col("__n")))
+    r = r.withColumns({f"__{k}": F.substr(F.col(f"__{k}"), F.col("__at") + 1) for k in "on"} | {"__same": F.trim("__o") == F.trim("__n"), "__empty": (F.col("__h") == "") | (F.trim("__n") == "")})
+    r = r.withColumn("__end", shared_start(F.reverse("__o"), F.reverse("__n")))
+    r = r.withColumns({f"__{k}": F.left(F.col(f"__{k}"), F.length(f"__{k}") - F.col("__end")) for k in "on"})
+    marks = (lambda t: t, lambda t: F.regexp_replace(t, "['’]", "&rsquo;"), lambda t: F.regexp_replace(t, "['’]", "&#39;"))
+    blanks = (lambda t: t, lambda t: F.regexp_replace(t, " ([:;!?»])", "&nbsp;$1"))
+    ways = [F.struct(gap(mark(F.col("__o"))).alias("a"), gap(mark(F.col("__n"))).alias("b")) for mark in marks for gap in blanks]
+    r = r.withColumn("__way", F.try_element_at(F.filter(F.array(*ways), lambda w: (w["a"] != "") & F.col("__h").contains(w["a"])), F.lit(1)))
+    ok = F.col("__way").isNotNull() & ~F.col("__same") & ~F.col("__empty") & (F.trim("__o") != "")
+    at = F.instr("__h", F.col("__way.a"))
+    r = r.withColumns({"applied": ok, "edited": F.when(ok, F.concat(F.left(F.col("__h"), at - 1), F.col("__way.b"), F.substr(F.col("__h"), at + F.length("__way.a")))).otherwise(F.col("__h"))})
+    return r.drop("__o", "__n", "__h", "__at", "__end", "__same", "__empty", "__way")

@@ -267,8 +267,7 @@ _EDITS = (("Bonjour, je vous propose un site.", "Bonjour, je vous offre un site.
 def edits_in_place(spark, sf_dir):
     """A text's one changed span, carried into its HTML under the ways it may be written there."""
     c = load(spark, sf_dir, "customer").select("c_custkey", *[_case("c_custkey", [e[i] for e in _EDITS]).alias(n) for i, n in enumerate(("old", "new", "page"))])
-    r = text.edit_in_place(F.col("old"), F.col("new"), F.col("page"))
-    return c.select("c_custkey", r["html"].alias("html"), r["applied"].alias("applied"))
+    return templates.edit_in_place(c, "old", "new", "page").select("c_custkey", F.col("edited").alias("html"), "applied")
 
 
 EDITS_IN_PLACE = f"SELECT c_custkey, {_case_sql('c_custkey', [e[3] for e in _EDITS])} AS html, {_case_sql('c_custkey', [e[2] != e[3] for e in _EDITS])} AS applied FROM customer"
