@@ -28,7 +28,6 @@ from sieveline.session import written
 K, WINDOW = 5, 10
 #: the filter holds 16 bits for each benchmark fingerprint, up to 16 MB; beyond that more windows reach the exact join
 MAX_LOG_BITS = 27
-PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _winnow(g: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.textops import grams, mix64, signed, sub_batches, words_of
+from sieveline.llm.textops import grams, mix64, sub_batches, words_of
 from sieveline.operators.components import connected_components
 from sieveline.session import written
 

@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.sampling import bounded_sample
-from sieveline.llm.textops import LOWER, NOT_SPACE, Rolling, grams, mix64, sub_batches, words_of
-from sieveline.session import written
+from sieveline.llm.textops import LOWER, Rolling, grams, mix64, sub_batches, words_of
 
 BUCKETS = 1 << 16
 ASPECTS = ("junk", "toxic")
