@@ -11,41 +11,6 @@ from sieveline.functions import dims
 from sieveline.functions.contact import URL, is_social
 from sieveline.functions.text import fold
 
-#: trade rules in order: the first whose stems occur decides; fixed values
-TRADE_RULES = (
-    ("commerce", ("osteo", "kinesi", "kine", "reeduc")),
-    ("artisan", ("tapiss",)),
-    ("commerce", ("architecte d'interieur", "architecte interieur", "architecte d interieur", "decorateur", "decoratrice", "decoration d'interieur", "home staging")),
-    ("artisan", ("piscin",)),
-    ("commerce", ("chambre", "gite", "maison d'hote", "hotes")),
-    ("commerce", ("auto-ecole", "auto ecole", "ecole de conduite", "permis")),
-    ("artisan", ("lavage auto", "lavage automobile", "detailing", "car wash", "nettoyage auto", "lustrage")),
-    ("commerce", ("food truck", "food-truck", "foodtruck", "food trailer", "camion pizza", "camion a pizza", "camion restaurant", "camion a burger", "street food")),
-    ("commerce", ("dieteti", "nutrition")),
-    ("commerce", ("salle de sport", "salle de fitness", "fitness", "crossfit", "cross-fit", "musculation", "club de sport")),
-    ("commerce", ("salle de reception", "salle des fetes", "salle de fete", "domaine de mariage", "domaine de reception", "lieu de reception", "location de salle")),
-    ("commerce", ("wedding", "organisateur de mariage", "organisation de mariage", "organisateur d'evenement", "organisation d'evenement", "organisateur d evenement", "organisation d evenement")),
-    ("commerce", ("agent immobilier", "agence immobiliere", "mandataire immo", "negociateur immo", "immobilier", "immobiliere")),
-    ("artisan", ("poele", "granul", "pellet", "pompe a chaleur", "aerotherm", "geotherm", "climatis", "photovolta", "panneau solaire", "energies renouvelab")),
-    ("commerce", (r"\bdj\b", "disc jockey", "disc-jockey", "deejay", "sonorisation", "animation de soiree", "animation musicale")),
-    ("artisan", ("demenag", "garde-meuble")),
-    ("artisan", ("domoti", "alarme", "videosurveillance", "video surveillance", "videoprotection", "maison connectee")),
-    ("commerce", ("diagnostiqueur", "diagnostic immobilier", "diagnostics immobiliers", "diagnostic immo", "dpe")),
-    ("commerce", ("veterin",)),
-    ("artisan", ("constructeur de maison", "constructeur maison", "maitre d'oeuvre", "maitre d oeuvre", "maison individuelle", "constructeur")),
-    ("commerce", ("boucher", "boucherie", "charcuti")),
-    ("commerce", ("bijou", "joaill", "orfevr", "horloger")),
-    ("commerce", ("opticien", "optique", "lunetier", "lunetterie")),
-    ("commerce", ("fromag", "cremerie", "cremier")),
-    ("commerce", ("poissonn", "maree", "fruits de mer", "ecailler")),
-    ("commerce", ("torref", "brulerie", "cafe de specialite", "barista")),
-    ("commerce", ("microbrasserie", "micro-brasserie", "brasseur", "biere artisanale")),
-    ("artisan", ("homme toutes mains", "toutes mains", "multiservice", "petits travaux", "petit travaux", "factotum", "bricol")),
-    ("artisan", ("plomb", "chauffag", "electric", "peintr", "carrel", "faienc", "macon", "menuis", "ebenist", "charpent", "plaquist", "placo", "platr", "paysag", "jardin", "elagag", "espaces vert", "couvr", "serrur", "terrass", "renov", "batiment", "travaux", "artisan", "isolation", "garage", "mecanic", "carross", "vitrier", "metall", "ferronn", "facad", "ravalement", "cuisiniste", "store", "portail", "cloture", "etancheit", "demolition")),
-    ("cabinet", ("avocat", "notaire", "huissier", "comptab", "medecin", "dentist", "dentaire", "kine", "osteo", "infirmier", "podolog", "orthophon", "psycholog", "psychiatr", "veterin", "cabinet", "architect", "geometre", "assurance", "courtier", "therapeut", "expert")),
-    ("commerce", ("fleur", "patiss", "boulang", "chocolat", "confis", "cake", "restaur", "pizz", "brasser", "creper", "bistro", "traiteur", "snack", "kebab", "cafe", "coiff", "barbier", "esthet", "beaut", "ongle", "manucur", "maquill", "institut", "cils", "massag", "spa", "bien-etre", "bien etre", "sophro", "naturopath", "reflexo", "yoga", "hypno", "coach", "photograph", "videast", "tatou", "tattoo", "piercing", "toilettag", "canin", "pension", "dressage", "boutique", "magasin", "epicerie", "boucher", "primeur", "caviste", "opticien", "bijou", "pressing", "hotel", "gite", "fromager", "poissonn")),
-)
-
 
 def _plain(c: Column) -> Column:
     s = F.lower(F.coalesce(c, F.lit("")))
@@ -64,7 +29,7 @@ def first_rule(text: Column, rules, default: str = "") -> Column:
 
 def trade_category(c: Column) -> Column:
     """``artisan``, ``cabinet``, ``commerce`` or empty for a trade's description."""
-    return first_rule(_plain(c), TRADE_RULES)
+    return first_rule(_plain(c), dims.TRADE_RULES)
 
 
 def offer_segment(c: Column) -> Column:
@@ -133,14 +98,9 @@ def section_label(c: Column) -> Column:
     return out
 
 
-#: statuses in rank order; an opt-out or bounce absorbs all others
-STATUSES = ("new", "qualified", "contacted", "replied", "won", "lost", "refused")
-ABSORBING = ("bounced", "unsubscribed")
-
-
 def status_rank(c: Column) -> Column:
     out = F.when(c == "unsubscribed", 101).when(c == "bounced", 100)
-    for i, s in enumerate(STATUSES):
+    for i, s in enumerate(dims.STATUSES):
         out = out.when(c == s, i)
     return out.otherwise(-1)
 

@@ -19,7 +19,6 @@ POSTAL = r"\b(\d{5})\b"
 COMPANY_ID = r"(?i)\b(?:SIREN|R\.?C\.?S\.?)\s*[:\-]?\s*(\d{3}[\s.]?\d{3}[\s.]?\d{3})\b"
 SITE_ID = r"(?i)\b(?:SIRET)\s*[:\-]?\s*(\d{3}[\s.]?\d{3}[\s.]?\d{3}[\s.]?\d{5})\b"
 LEGAL = r"(?iu)\b(?:siret|siren|tva\s*intra|n°\s*tva|num[eé]ro\s*tva|directeur\s+de\s+publication|publication\s+directeur|mentions?\s+l[eé]gales?|legal\s+notice|imprint)\b"
-GENERIC_LOCAL = ("contact", "info", "hello", "bonjour", "accueil", "commercial", "secretariat", "administration", "admin", "direction", "office", "mail", "courrier", "reception", "boutique", "magasin")
 
 
 def _alternation(names) -> str:
@@ -164,7 +163,7 @@ def mailto(html: Column) -> Column:
 def is_guessed(email: Column, source: Column) -> Column:
     """Is the main address made up (by its provenance) or generic?"""
     e = F.lower(F.trim(F.coalesce(email, F.lit(""))))
-    return ~e.contains("@") | F.coalesce(F.lower(source).isin("guess", "footprint"), F.lit(False)) | F.substring_index(e, "@", 1).isin(*GENERIC_LOCAL)
+    return ~e.contains("@") | F.coalesce(F.lower(source).isin("guess", "footprint"), F.lit(False)) | F.substring_index(e, "@", 1).isin(*dims.GENERIC_LOCAL)
 
 
 def split_address(c: Column) -> Column:

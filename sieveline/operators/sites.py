@@ -9,8 +9,6 @@ from sieveline.functions import dims
 from sieveline.functions.contact import clean_email, host, mailto, page_evidence, raw_emails
 from sieveline.functions.text import html_text
 
-_NONE = "array<string>"
-
 
 def on_host(url: Column, domains) -> Column:
     """Is the URL's host one of ``domains``, or under one? False without a host."""

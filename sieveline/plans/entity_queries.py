@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions import classify, contact, score, text
+from sieveline.functions import classify, contact, dims, score, text
 from sieveline.operators import entities, matching, selection
 from sieveline.plans import oracle as o
 from sieveline.session import load
@@ -17,8 +17,8 @@ def dimension_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' country label, else their region's, else the raw code: some nations are left out on purpose."""
     c, n, r = (load(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     reg = c.join(n.select("n_nationkey", "n_regionkey"), c.c_nationkey == n.n_nationkey, "left")
-    dims = [n.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), r.where("r_regionkey <> 2").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))]
-    out = matching.label(reg, F.col("c_nationkey").cast("string"), dims, [F.col("c_nationkey"), F.col("n_regionkey")])
+    levels = [n.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), r.where("r_regionkey <> 2").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))]
+    out = matching.label(reg, F.col("c_nationkey").cast("string"), levels, [F.col("c_nationkey"), F.col("n_regionkey")])
     return out.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -40,7 +40,7 @@ _TRADES = ("Plombier chauffagiste", "Avocat à la cour", "Fleuriste", "Ostéopat
 _rules = lambda c, rules, default: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{'|'.join(s).replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, s in rules) + f" ELSE '{default}' END"
 RULE_CLASSIFIER = f"""
 WITH t AS (SELECT p_partkey, p_type, replace(strip_accents(replace(lower(list_extract([{o.names(_TRADES)}], (p_partkey % {len(_TRADES)} + 1)::INTEGER) || ' ' || p_name), 'œ', 'oe')), '’', '''') AS s FROM part)
-SELECT p_partkey, {_rules('upper(p_type)', PART_RULES, 'other')} AS category, {_rules('s', classify.TRADE_RULES, '')} AS trade FROM t
+SELECT p_partkey, {_rules('upper(p_type)', PART_RULES, 'other')} AS category, {_rules('s', dims.TRADE_RULES, '')} AS trade FROM t
 """
 
 

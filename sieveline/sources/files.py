@@ -9,26 +9,11 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions import dims
 from sieveline.functions.contact import clean_list, norm_phone
 from sieveline.functions.text import split_list
 from sieveline.sources import sheets
 
-#: fields that a column may feed, in order, with the header forms that name them; fixed values
-HEADER_HINTS = {
-    "name": ("nom", "name", "nomcomplet", "fullname", "contact", "prenomnom", "prenom", "firstname", "nomprenom", "intitule"),
-    "legal_name": ("raisonsociale", "societe", "entreprise", "company", "companyname", "denomination", "etablissement"),
-    "emails": ("email", "mail", "emails", "mails", "courriel", "adressemail", "adresseemail", "emailaddress", "emailpro"),
-    "phones": ("tel", "telephone", "phone", "phonenumber", "mobile", "portable", "telmobile", "telpro", "numero", "numerotelephone"),
-    "website": ("site", "siteweb", "website", "url", "web", "lien", "internet", "siteinternet"),
-    "address": ("adresse", "address", "rue", "voie", "addressline"),
-    "city": ("ville", "city", "town", "commune", "localite"),
-    "postal_code": ("cp", "codepostal", "postal", "zip", "zipcode", "postalcode"),
-    "country": ("pays", "country", "nation"),
-    "industry": ("secteur", "industry", "industrie", "metier", "domaine", "activite", "categorie", "type", "naf"),
-    "siren": ("siren", "siret", "rcs", "numerosiren", "numerosiret"),
-    "notes": ("notes", "note", "commentaire", "commentaires", "remarque", "remarques", "observation"),
-}
-
 
 def norm_header(h: str) -> str:
     plain = "".join(c for c in unicodedata.normalize("NFKD", h or "") if not unicodedata.combining(c))
@@ -39,7 +24,7 @@ def suggest_mapping(headers: list[str]) -> dict[str, str]:
     """Field -> column: an exact header form first, then one that contains it; a column serves once."""
     forms = {norm_header(h): h for h in headers if h}
     out: dict[str, str] = {}
-    for field, hints in HEADER_HINTS.items():
+    for field, hints in dims.HEADER_HINTS.items():
         free = {n: h for n, h in forms.items() if h not in out.values()}
         exact = next((free[x] for x in hints if x in free), None)
         loose = next((h for n, h in free.items() if any(x in n for x in hints)), None)
@@ -82,7 +67,7 @@ def import_mapped(df: DataFrame, mapping: dict[str, str], source: str = "file")
     List cells split at comma, semicolon, pipe or slash. E-mails are cleaned, phones normalised.
     """
     cell = lambda f: F.trim(F.coalesce(F.col(f"`{mapping[f]}`").cast("string"), F.lit(""))) if f in mapping else F.lit("")
-    plain = [cell(f).alias(f) for f in HEADER_HINTS if f not in ("emails", "phones")]
+    plain = [cell(f).alias(f) for f in dims.HEADER_HINTS if f not in ("emails", "phones")]
     phones = F.array_distinct(F.filter(F.transform(split_list(cell("phones")), norm_phone), lambda p: p != ""))
     out = df.select(*plain, clean_list(split_list(cell("emails"))).alias("emails"), phones.alias("phones"), F.lit(source).alias("source"))
     return out.where((F.concat("name", "legal_name", "website") != "") | (F.size("emails") > 0) | (F.size("phones") > 0))
