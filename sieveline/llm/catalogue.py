@@ -31,4 +31,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_extendible_sharding": sharding.SQL,
     "op5_source_mixing": mixing.SQL,
+    "op9_near_dedup": near_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }

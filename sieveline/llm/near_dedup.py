@@ -305,3 +305,16 @@ def near_components(docs: DataFrame, percent: int = 80, trees: int = 16, leaf: i
 def op9_near_dedup(spark, sf_dir):
     """``near_components`` of all ``documents`` at 85 %; its handling of nulls, ties and repeats holds."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
+#: all pairs that share a shingle: for small tables
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS n, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n - shared)), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT r.id, g.b FROM r JOIN g ON r.reach = g.a),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON id = doc_id
+"""

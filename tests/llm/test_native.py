@@ -1,4 +1,4 @@
-"""Exact de-duplication, sharding and mixing: SQL over the small tables, and edge cases."""
+"""Operators that SQL can express against it over the small tables; edge cases of exact de-duplication, sharding and mixing."""
 
 import hashlib
 
@@ -6,18 +6,19 @@ import duckdb
 import pytest
 
 from helpers import EDGE, SF, edge, empty
-from sieveline.llm import exact_dedup, mixing, sharding
+from sieveline.llm import decontaminate, exact_dedup, mixing, near_dedup, sharding
 from test_catalogue import compare
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
 
 
-@pytest.mark.parametrize("query, sql", [(exact_dedup.op2_exact_dedup, exact_dedup.SQL), (sharding.op4_extendible_sharding, sharding.SQL), (mixing.op5_source_mixing, mixing.SQL)])
+@pytest.mark.parametrize("query, sql", [(exact_dedup.op2_exact_dedup, exact_dedup.SQL), (sharding.op4_extendible_sharding, sharding.SQL), (mixing.op5_source_mixing, mixing.SQL), (near_dedup.op9_near_dedup, near_dedup.SQL), (decontaminate.op10_decontaminate, decontaminate.SQL)])
 def test_sql(spark, con, query, sql):
     compare(query(spark, SF), con, sql)
 
