@@ -99,6 +99,11 @@ def test_shards_keep_training_order(spark, tmp_path):
         order[r.shard] = r.place
 
 
+def test_shards_of_a_table_without_files(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.place, r.row.text) for r in corpus_pipeline.sharding_stage(spark, docs, "").orderBy("doc_id").collect()] == [(1, None, "a"), (2, None, None)]
+
+
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
     out = corpus_pipeline.run(spark, SF)
