@@ -1,7 +1,7 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
 import corpus_pipeline
-from sieveline.llm import brown_lm, decontaminate, exact_dedup, language_crf, mixing, near_dedup, on_workers, pii, quality, sharding, suffix_dedup
+from sieveline.llm import brown_lm, conversation_repair, decontaminate, exact_dedup, language_crf, mixing, near_dedup, on_workers, pii, quality, sharding, suffix_dedup
 
 
 def _query(run):
@@ -24,6 +24,7 @@ _RUNS = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _query(run) for name, run in _RUNS.items()}
