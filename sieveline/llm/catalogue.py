@@ -1,7 +1,7 @@
 """Queries of the numbered operators and the pipeline, with their SQL."""
 
 import corpus_pipeline
-from sieveline.llm import brown_lm, conversation_repair, decontaminate, exact_dedup, language_crf, mixing, near_dedup, on_workers, pii, quality, sharding, suffix_dedup, vector_codes
+from sieveline.llm import brown_lm, conversation_repair, decontaminate, exact_dedup, language_crf, licences, mixing, near_dedup, on_workers, pii, quality, sharding, suffix_dedup, vector_codes
 
 
 def _query(run):
@@ -24,6 +24,7 @@ _RUNS = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_licence_scan": licences.op11_licence_scan,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
@@ -35,5 +36,6 @@ ORACLES = {
     "op5_source_mixing": mixing.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_licence_scan": licences.op11_licence_scan,
     "op12_vector_codes": vector_codes.SQL,
 }
