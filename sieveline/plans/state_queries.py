@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.incremental import EntityStore
 from sieveline.session import checkpoint_dir, load
+from sieveline.streaming import events as stream
+from sieveline.streaming import followups
 
 
 def _folder(spark) -> str:
@@ -42,6 +44,29 @@ SELECT component, n_rows, name, score, score_label, subscribers, CASE rk WHEN 4
 FROM g JOIN b USING (component) JOIN a USING (component)
 """
 
-_PAIRS = ((incremental_merge, INCREMENTAL_MERGE),)
+
+def _mail_kind():
+    """Events as sends and ends: some clicks are sends, some purchases replies."""
+    return F.when((F.col("event_type") == "click") & (F.col("value") > 50), "email_sent").when((F.col("event_type") == "purchase") & (F.col("value") > 120), "reply_detected")
+
+
+def followup_timers(spark, sf_dir):
+    """Users whose last send found no answer for five days, from a stream with event-time timers over the landed events."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", followups.ROCKS)
+    e = stream.read_events(spark, f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("entity_id"), _mail_kind().alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    due = stream.land(followups.followups(e))
+    return due.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_sent", "due")})
+
+
+FOLLOWUP_TIMERS = """
+WITH e AS (SELECT user_id AS entity_id, ts, CASE WHEN event_type = 'click' AND value > 50 THEN 's' WHEN event_type = 'purchase' AND value > 120 THEN 'r' END AS k FROM events),
+s AS (SELECT entity_id, ts, lead(ts) OVER w AS next, row_number() OVER w AS n_sent FROM e WHERE k = 's' WINDOW w AS (PARTITION BY entity_id ORDER BY ts)),
+d AS (SELECT entity_id, ts AS last_sent, ts + INTERVAL 5 DAY AS due, n_sent FROM s WHERE next IS NULL OR next > ts + INTERVAL 5 DAY QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts) = 1),
+r AS (SELECT entity_id, min(ts) AS stop FROM e WHERE k = 'r' GROUP BY entity_id)
+SELECT entity_id, last_sent, due, n_sent FROM d LEFT JOIN r USING (entity_id)
+WHERE (stop IS NULL OR stop > due) AND due < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM e WHERE k IS NOT NULL)
+"""
+
+_PAIRS = ((incremental_merge, INCREMENTAL_MERGE), (followup_timers, FOLLOWUP_TIMERS))
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -46,19 +46,27 @@ def status_machine(events: DataFrame, key: str = "entity_id") -> DataFrame:
     return events.groupBy(key).agg(best.alias("status"))
 
 
-def land(stream: DataFrame) -> DataFrame:
-    """Process what has landed, then stop: the final rows as a Parquet table in the shared folder.
+def _place(stream: DataFrame, path: str | None) -> str:
+    return path or f"{checkpoint_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
 
-    The query's checkpoint stands beside the table, so a run that is cut short goes on where it was.
+
+def land(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Process what has landed, then stop: the final rows as the Parquet table ``path``.parquet.
+
+    The query's checkpoint stands beside it. A later call with the same ``path`` goes on where the last
+    one was, whether that ended or was cut short; without a path the run is one of its own, in the shared folder.
     """
-    path = f"{checkpoint_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
+    path = _place(stream, path)
     stream.writeStream.format("parquet").option("path", f"{path}.parquet").option("checkpointLocation", f"{path}.state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}.parquet")
 
 
-def latest(stream: DataFrame, key: str) -> DataFrame:
-    """Process what has landed in update mode: each batch's changed rows land, the last one of a key counts."""
-    path = f"{checkpoint_dir(stream.sparkSession)}/{uuid.uuid4().hex}"
+def latest(stream: DataFrame, key: str, path: str | None = None) -> DataFrame:
+    """Process what has landed in update mode: each batch's changed rows land, the last one of a key counts.
+
+    ``path`` as for ``land``: a batch that is repeated after a failure overwrites what it wrote.
+    """
+    path = _place(stream, path)
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}.parquet/batch={number}")
