@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from sieveline.operators.incremental import EntityStore
-from sieveline.session import checkpoint_dir, load
+from sieveline.session import checkpoint_dir, load, on_workers
+from sieveline.sources import mailbox
 from sieveline.streaming import events as stream
 from sieveline.streaming import followups
 
@@ -52,6 +53,7 @@ def _mail_kind():
 
 def followup_timers(spark, sf_dir):
     """Users whose last send found no answer for five days, from a stream with event-time timers over the landed events."""
+    on_workers(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", followups.ROCKS)
     e = stream.read_events(spark, f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("entity_id"), _mail_kind().alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
     due = stream.land(followups.followups(e))
@@ -67,6 +69,37 @@ SELECT entity_id, last_sent, due, n_sent FROM d LEFT JOIN r USING (entity_id)
 WHERE (stop IS NULL OR stop > due) AND due < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM e WHERE k IS NOT NULL)
 """
 
-_PAIRS = ((incremental_merge, INCREMENTAL_MERGE), (followup_timers, FOLLOWUP_TIMERS))
+def _landed_mail(spark, sf_dir, path, late: bool):
+    """Events as messages in the folder of their type, landed as pages: those before the middle of January, or the later ones."""
+    e = load(spark, sf_dir, "events").where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp")) if late else (F.col("ts") < F.lit("2024-01-15").cast("timestamp")))
+    mail = e.select(F.col("event_type").alias("folder"), (F.col("event_id") + 1).alias("uid"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@mail.fr")).alias("from_addr"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.get_json_object("props", "$.k").alias("in_reply_to"))
+    mailbox.land_pages(mail, path, 2000)
+
+
+_MAIL = "SELECT event_type AS folder, event_id + 1 AS uid, 'u' || user_id || '@mail.fr' AS from_addr, 'm' || event_id AS message_id, json_extract_string(props, '$.k') AS in_reply_to FROM events"
+
+
+def mail_stream(spark, sf_dir):
+    """All messages by a stream whose offsets are the folders' last uids: it stops, more pages land, and it goes on."""
+    on_workers(spark)
+    path, out = _folder(spark), _folder(spark)
+    for late in (False, True):
+        _landed_mail(spark, sf_dir, path, late)
+        mail = stream.land(mailbox.stream_mail(spark, path, 2000).drop("ts"), out)
+    return mail
+
+
+def mail_keyset(spark, sf_dir):
+    """The messages of two folders above a uid: the bounds choose the pages that are opened."""
+    on_workers(spark)
+    path = _folder(spark)
+    for late in (False, True):
+        _landed_mail(spark, sf_dir, path, late)
+    return mailbox.read_mail(spark, path, 2000).where("folder in ('click', 'purchase') and uid > 700").drop("ts")
+
+
+MAIL_KEYSET = f"SELECT * FROM ({_MAIL}) WHERE folder IN ('click', 'purchase') AND uid > 700"
+
+_PAIRS = ((incremental_merge, INCREMENTAL_MERGE), (followup_timers, FOLLOWUP_TIMERS), (mail_stream, _MAIL), (mail_keyset, MAIL_KEYSET))
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
+import os
+import shlex
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: what the engine relies on, and what suits one machine
+NEEDED = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+LOCAL = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+
+
 def build_session(app: str = "sieveline", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the engine relies on: UTC, AQE and Arrow.
+    """The running session, or a new one, with the settings the engine relies on: UTC, AQE and Arrow.
+
+    Only names that are unset are filled in: what the submitter or a running session has set stays, the
+    master too. Without a master the session is local, with ``cpus`` threads and ``shuffle_partitions``.
+    """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        # a running session has been given every setting it will have
+        return running
+    given = _submitted()
+    wanted = dict(NEEDED)
+    if "spark.master" not in given:
+        wanted |= LOCAL | {"spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    builder = SparkSession.builder.appName(app)
+    for k, v in wanted.items():
+        if k not in given:
+            builder = builder.config(k, v)
+    return builder.getOrCreate()
+
+
+def _submitted() -> dict[str, str]:
+    """What ``spark-submit`` has set: read from its JVM where that runs already, else from the arguments it will get."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        SparkContext._ensure_initialized()
+        return dict(SparkConf().getAll())
+    args, out = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", "")), {}
+    for name, value in zip(args, args[1:]):
+        if name == "--master":
+            out["spark.master"] = value
+        elif name == "--driver-memory":
+            out["spark.driver.memory"] = value
+        elif name in ("--conf", "-c"):
+            out.update([value.split("=", 1)])
+    return out
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Put the folder this package was loaded from on the Python workers' path, for sources and state machines in Python.
 
-    On a cluster the submitter's own settings win; only names that are unset are filled in.
+    Local sessions need it when the program was started elsewhere; it holds for the session's later workers.
+    On a cluster install the package or ship it with ``--py-files``; a folder that is not there does no harm.
     """
-    return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
