@@ -7,7 +7,7 @@ returns is written as Parquet in the shared folder and read again as the next on
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import decontaminate, mixing, near_dedup, on_workers, quality, sharding
@@ -25,11 +25,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _comparable(field) -> Column:
+    """A column by which rows can be ordered: a map by its sorted entries, what has maps inside by its JSON."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if "map<" not in kind.simpleString():
+        return c
+    flat = kind.typeName() == "map" and "map<" not in kind.keyType.simpleString() + kind.valueType.simpleString()
+    return F.array_sort(F.map_entries(c)) if flat else F.to_json(F.struct(c))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (similarity 0.8) the smallest id stays; of rows that repeat id and text, one.
 
-    Of such repeated rows the smallest by the other columns, in their order, stays (maps are not
-    compared). Rows with one id and different texts are one document: they stay or go together.
+    Of such repeated rows the smallest by the other columns, in their order, stays (maps count as their
+    sorted entries). Rows with one id and different texts are one document: they stay or go together.
     Rows without an id, and texts without words, null ones too, are linked with nothing and stay. All
     columns pass through. An empty table stays empty.
     """
@@ -41,14 +50,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     many = fate.where("many and not gone").select("of")
     single = rows.join(many, rows["doc_id"] == F.col("of"), "left_anti").select("row.*")
     again = rows.join(many, rows["doc_id"] == F.col("of"), "left_semi").select("row.*")
-    ordered = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not f.dataType.typeName() == "map"]
-    maps = [f.name for f in docs.schema if f.dataType.typeName() == "map"]
-    if maps:
-        one = again.dropDuplicates(["doc_id", "text"])
-    else:
-        # null sorts first
-        one = again.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in ordered])).alias("r"))
-        one = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("r")[c].alias(c) for c in docs.columns])
+    # null sorts first
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    rank = F.struct(F.lit(0), *[_comparable(f) for f in others])
+    one = again.groupBy("doc_id", "text").agg(F.min_by(F.struct(F.lit(0), *[F.col(f"`{f.name}`") for f in others]), rank).alias("r"))
+    one = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("r")[c].alias(c) for c in docs.columns])
     return single.unionByName(one)
 
 
@@ -86,13 +92,12 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     it to (null for tables that are not read from files). Copies of a document, and rows that share an id,
     share a shard; null text has 0 bytes. An empty table stays empty.
     """
-    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     try:
-        docs = docs.select("*", F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("__place"))
+        placed = docs.select(row, F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias("place"))
     except AnalysisException:
-        docs = docs.withColumn("__place", F.lit(None).cast("string"))
-    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("__place").alias("place"))
-    out = sharding.sharded(docs, row=row)
+        placed = docs.select(row, F.lit(None).cast("string").alias("place"))
+    out = sharding.sharded(placed.select("row", "place", "row.doc_id", "row.text"), row=F.struct("row", "doc_id", "place"))
     out = out.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "fits", "row.place", F.col("row.row").alias("row"))
     return out.repartition("shard").sortWithinPartitions("shard", "place")
 
