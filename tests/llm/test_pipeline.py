@@ -39,8 +39,8 @@ def test_stages_take_effect(spark, tmp_path):
 
 def odd(spark, path, rows):
     """A table with clashing columns under ``path``, read again, and the other tables the stages want."""
-    s = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, at string, shard string, of long, gone boolean, kept string, __x map<string,string>"
-    full = [(i, t, "en", ["a", None, "b"][k % 3], 0, "r", "i", "z", "s", 1, True, "k", {"a": "b"}) for k, (i, t) in enumerate(rows)]
+    s = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, at string, shard string, of long, gone boolean, kept string, __x map<string,string>, __place string, place string, nested map<string,map<string,int>>"
+    full = [(i, t, "en", ["a", None, "b"][k % 3], 0, "r", "i", "z", "s", 1, True, "k", {"a": "b"}, "p", "q", {"a": {"b": 1}}) for k, (i, t) in enumerate(rows)]
     spark.createDataFrame(full, s).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(7, "nothing that any text holds in ten words or more than that"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(0, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -77,6 +77,16 @@ def test_repeated_rows_are_chosen(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, rows[1:]))
 
 
+def test_repeated_rows_with_maps(spark):
+    """A map counts as its sorted entries; of 26 repeated rows the smallest stays, however they lie."""
+    kind = "doc_id long, text string, m map<string,string>, lang string"
+    rows = [(1, "one two three four five six", {"k": "v", c: c}, "en") for c in "zyxwvutsrqponmlkjihgfedcba"]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, kind).repartition(parts)
+        got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+        assert [r.m for r in got] == [{"a": "a", "k": "v"}]
+
+
 def test_decontamination_without_ids(spark, tmp_path):
     item = "one two three four five six seven eight nine ten eleven"
     docs = odd(spark, tmp_path, [(None, "a clean text of no id"), (None, "x " + item), (1, item), (1, "clean but of the same id"), (2, "clean")])
