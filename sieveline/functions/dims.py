@@ -243,3 +243,13 @@ HEADER_HINTS = {
 }
 #: local parts of addresses that stand for a firm and not for a person; fixed values
 GENERIC_LOCAL = ("contact", "info", "hello", "bonjour", "accueil", "commercial", "secretariat", "administration", "admin", "direction", "office", "mail", "courrier", "reception", "boutique", "magasin")
+
+#: accounts that stand for a community: patterns of name, handle and address; fixed values
+GROUP_NAME = r"(?i)^\s*r/"
+GROUP_HANDLE = r"(?i)^\s*/?r/"
+GROUP_URL = r"(?is)^(?!.*reddit\.com/u(?:ser)?/).*reddit\.com/r/"
+
+#: how HTML writes an apostrophe, and a blank before French punctuation; fixed values
+APOSTROPHES = ("'", "’", "&rsquo;", "&#39;")
+BLANKS = (" ", "&nbsp;")
+FRENCH_MARKS = ":;!?»"

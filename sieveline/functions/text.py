@@ -62,41 +62,34 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(fold(F.substring_index(F.coalesce(c, F.lit("")), "(", 1))), "[^a-z0-9]", "")
 
 
-def _upcap(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
-
-
-def _apostrophes(part: Column, head: Column) -> Column:
-    """Case of one part between hyphens: what follows an elided article is capitalised."""
-    segs = F.split(part, "(?<=['’])|(?=['’])")
-    texts = F.filter(segs, lambda s: ~s.isin("'", "’"))
-
-    def one(s, i):
-        mark = s.isin("'", "’")
-        before = F.when(i >= 2, F.try_element_at(segs, (i - 1).cast("int")))
-        elided = F.lower(s).isin(*dims.ELISIONS)
-        first = F.when(~head & elided & (F.size(texts) > 1), F.lower(s)).otherwise(_upcap(s))
-        return F.when(mark, s).when(i == 0, first).when(F.lower(before).isin(*dims.ELISIONS), _upcap(s)).otherwise(s)
-
-    return F.array_join(F.transform(segs, one), "")
+#: what stands between the words of a name, and a word
+_JOINTS = r"([\s'’-]*)([^\s'’-]+)"
 
 
 def display_name(c: Column) -> Column:
-    """A display case for names wholly in lower case; other names, and over-long ones, stay as they are."""
-    s = F.trim(c)
-    words = F.split(s, r"\s+")
+    """A display case for names wholly in lower case; other names, and over-long ones, stay as they are.
 
-    def word(w, i):
-        parts = F.split(w, "-")
-
-        def part(p, j):
-            head = (i == 0) & (j == 0)
-            return F.when(~head & F.lower(p).isin(*dims.SMALL_WORDS), F.lower(p)).otherwise(_apostrophes(p, head))
-
-        return F.array_join(F.transform(parts, part), "-")
-
-    fixable = s.rlike(r"\p{L}") & ~s.rlike(r"\p{Lu}") & (F.length(s) <= 55) & (F.size(words) <= 6)
-    return F.when(fixable, F.array_join(F.transform(words, word), " ")).otherwise(c)
+    A name is read once as pairs of a joint and a word, and each word is capitalised or not by its
+    neighbours: behind an apostrophe, only after an elided article; elsewhere always, but for a small word
+    or an elided article that is not the first word. Runs of blanks become one.
+    """
+    s = F.trim(c)
+    words, joints = (F.regexp_extract_all(s, F.lit(_JOINTS), F.lit(g)) for g in (2, 1))
+    at = lambda xs, i: F.try_element_at(xs, i.cast("int"))
+    hung = lambda i: F.coalesce(at(joints, i).isin("'", "’"), F.lit(False))
+    # the word before i (from 0) is number i (from 1); with none before it, it is the first
+    elided = lambda i: F.coalesce(at(words, i).isin(*dims.ELISIONS), F.lit(False))
+
+    def cased(pair, i):
+        small = F.when(hung(i + 2), elided(i + 1)).otherwise(pair["w"].isin(*dims.SMALL_WORDS))
+        low = F.when(i == 0, False).when(hung(i + 1), ~elided(i)).otherwise(small)
+        big = F.concat(F.upper(F.substring(pair["w"], 1, 1)), F.substring(pair["w"], 2, 1 << 20))
+        return F.concat(F.regexp_replace(pair["j"], r"\s+", " "), F.when(low, pair["w"]).otherwise(big))
+
+    pairs = F.arrays_zip(joints.alias("j"), words.alias("w"))
+    out = F.concat(F.array_join(F.transform(pairs, cased), ""), F.regexp_extract(s, r"[\s'’-]*$", 0))
+    fixable = s.rlike(r"\p{L}") & ~s.rlike(r"\p{Lu}") & (F.length(s) <= 55) & (F.size(F.split(s, r"\s+")) <= 6)
+    return F.when(fixable, out).otherwise(c)
 
 
 POLLUTED = r"^(.{2,60}?)\s*[.;|·:—–]\s+(.{15,})$"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sieveline.functions import dims
 from sieveline.functions.contact import is_social
 from sieveline.session import written
 
@@ -23,9 +24,8 @@ def has_email(emails: str = "emails") -> Column:
 
 def is_group_account(name: Column, handle: Column, url: Column) -> Column:
     """Does the account stand for a community (``r/...``) and not for a person?"""
-    n, h, u = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, handle, url))
-    n, h = F.trim(n), F.trim(h)
-    return n.startswith("r/") | h.startswith("r/") | h.startswith("/r/") | (u.contains("reddit.com/r/") & ~u.contains("reddit.com/u/") & ~u.contains("reddit.com/user/"))
+    patterns = ((name, dims.GROUP_NAME), (handle, dims.GROUP_HANDLE), (url, dims.GROUP_URL))
+    return reduce(lambda a, b: a | b, [F.coalesce(c.rlike(p), F.lit(False)) for c, p in patterns])
 
 
 def eligible(entities: DataFrame, sent: DataFrame, drafts: DataFrame | None = None, id_col: str = "entity_id", only_verified: bool = False, limit: int | None = None) -> DataFrame:
@@ -48,9 +48,25 @@ def eligible_creators(entities: DataFrame, sent: DataFrame, drafts: DataFrame |
     return eligible(own, sent, drafts, id_col, limit=limit)
 
 
-def accepted_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with an e-mail, rows without, and one row of counts ``n_accepted, n_rejected``."""
-    return rows.where(has_email()), rows.where(~has_email()), rows.agg(F.count_if(has_email()).alias("n_accepted"), F.count_if(~has_email()).alias("n_rejected"))
+def observed(rows: DataFrame, rules: dict[str, Column], name: str = "run") -> tuple[DataFrame, Observation]:
+    """``rows`` with ``rejected_for``, and counts that Spark takes while they pass: ``n``, ``n_accepted`` and ``n_<rule>``.
+
+    A row is rejected for the first rule in order that does not hold for it (null counts as not); null means
+    accepted. The counts are there (``observation.get``) once the frame has been written, in that one pass:
+    neither rows nor counts are read twice.
+    """
+    reason = reduce(lambda a, x: F.when(~F.coalesce(x[1], F.lit(False)), x[0]).otherwise(a), reversed(rules.items()), F.lit(None).cast("string"))
+    seen = Observation(name)
+    counts = [F.count("*").alias("n"), F.count_if(F.col("rejected_for").isNull()).alias("n_accepted"), *[F.count_if(F.coalesce(F.col("rejected_for") == k, F.lit(False))).alias(f"n_{k}") for k in rules]]
+    return rows.withColumn("rejected_for", reason).observe(seen, *counts), seen
+
+
+def accepted_rejected(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows with an e-mail, rows without, and the counts ``n, n_accepted, n_no_email`` of the one pass that wrote both under ``path``."""
+    tagged, seen = observed(rows, {"no_email": has_email()})
+    tagged.withColumn("__accepted", F.col("rejected_for").isNull()).drop("rejected_for").write.partitionBy("__accepted").parquet(path)
+    back = rows.sparkSession.read.schema(", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("__accepted", "boolean")])).parquet(path)
+    return back.where("__accepted").drop("__accepted"), back.where("not __accepted").drop("__accepted"), seen.get
 
 
 def followup_due(events: DataFrame, as_of: Column, days: int = 5, id_col: str = "entity_id", suffix: str = "_relance_j5") -> DataFrame:
@@ -63,23 +79,58 @@ def followup_due(events: DataFrame, as_of: Column, days: int = 5, id_col: str =
 
 
 def rolling_count(events: DataFrame, by: list[str], ts: str = "ts", hours: int = 24) -> DataFrame:
-    """Adds ``n_window``: events of the group in the ``hours`` up to and including each event."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-hours * 3600 * 1_000_000, 0)
-    return events.withColumn("n_window", F.count("*").over(w))
+    """Adds ``n_window``: events of the group in the ``hours`` up to and including each event.
+
+    Time is cut into buckets of ``hours``; a window holds one bucket of a group and the times of the
+    bucket before it (its halo). So a group of any size is spread over its time, and a task holds what two
+    buckets hold. Rows without a time count those without one.
+    """
+    wide = hours * 3600 * 1_000_000
+    r = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__bucket", F.floor(F.col("__us") / wide))
+    halo = r.where("__us is not null").select(*by, "__us", (F.col("__bucket") + 1).alias("__bucket"), F.lit(True).alias("__halo"))
+    both = r.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__bucket").orderBy("__us").rangeBetween(-wide, 0)
+    return both.withColumn("n_window", F.count("*").over(w)).where("not __halo").drop("__us", "__bucket", "__halo")
+
+
+def running_total(rows: DataFrame, by: list[str], order: list[Column], amount: Column, name: str = "total") -> DataFrame:
+    """Adds the sum of ``amount`` in the group up to each row in ``order``, whatever a group's size.
+
+    Two levels of prefix sums: rows are range-sorted by group and order and written, so a large group lies
+    over several parts; each part sums its own stretch, and adds what the group's parts before it sum to,
+    a table with a row for each part and group in it. ``order`` must be total for equal results in every run.
+    """
+    keys = {f"__k{i}": F.col(c) for i, c in enumerate(by)}
+    dealt = rows.withColumn("__amount", amount).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sums = dealt.groupBy(*[v.alias(k) for k, v in keys.items()], F.col("__part").alias("__p")).agg(F.sum("__amount").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.withColumn("__before", earlier).where("__before is not null").drop("__sum")
+    own = F.sum("__amount").over(Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], F.col("__part") == F.col("__p"))
+    out = dealt.withColumn("__own", own).join(before, same, "left")
+    return out.withColumn(name, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__amount", "__at", "__part", "__own", "__before", "__p", *keys)
 
 
 def daily_counts(events: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     return events.groupBy(*by, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
 
 
-def capped(rows: DataFrame, by: list[str], order: list[Column], cap: Column) -> DataFrame:
-    """The first ``cap`` rows of each group; ``cap`` may be a column, constant within a group."""
+def capped(rows: DataFrame, by: list[str], order: list[Column], cap: Column, hot: bool = False) -> DataFrame:
+    """The first ``cap`` rows of each group; ``cap`` may be a column, constant within a group.
+
+    ``hot`` numbers the rows by ``running_total``, for groups that no task should hold; ``order`` must then be total.
+    """
+    if hot:
+        return running_total(rows, by, order, F.lit(1).cast("long"), "slot").where(F.col("slot") <= cap)
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= cap)
 
 
-def running_quota(rows: DataFrame, by: list[str], order: list[Column], amount: Column, quota: Column) -> DataFrame:
-    """Rows of each group while the running sum of ``amount`` stays within ``quota``."""
+def running_quota(rows: DataFrame, by: list[str], order: list[Column], amount: Column, quota: Column, hot: bool = False) -> DataFrame:
+    """Rows of each group while the running sum of ``amount`` stays within ``quota``; ``hot`` as for ``capped``."""
+    if hot:
+        return running_total(rows, by, order, amount, "used").where(F.col("used") <= quota)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(amount).over(w)).where(F.col("used") <= quota)
 
@@ -120,18 +171,19 @@ def seeded_page(rows: DataFrame, id_col: str, seed: int, offset: int, size: int)
 def without_longer(rows: DataFrame, by: list[str], col: str, least: int = 1) -> DataFrame:
     """Distinct rows ``(*by, col)`` whose ``col`` has no proper prefix, of ``least`` letters or more, among its group's.
 
-    Each string looks up its prefixes by equi-join, only at lengths that some string of the group
-    has; no group is gathered anywhere.
+    The distinct rows are written once. Each string looks up its prefixes by equi-join, only at lengths that
+    some string of the group has, in one pass: a string and the prefixes of others that equal it meet under
+    one key, and whoever brought the prefix goes. No group is gathered anywhere.
     """
-    own = rows.select(*by, col).distinct()
+    own = written(rows.select(*by, col).distinct())
     n = F.length(col)
-    as_ = lambda df, cs, mark: df.withColumnsRenamed({c: f"__{mark}{c}" for c in cs})
-    same = lambda cs, mark: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{mark}{c}")) for c in cs])
-    lengths = as_(own.groupBy(*by).agg(F.array_sort(F.collect_set(n)).alias("__ns")), by, "l")
-    probe = own.join(lengths, same(by, "l")).select(*by, col, F.explode(F.filter("__ns", lambda k: (k >= least) & (k < n))).alias("__n"))
-    probe = probe.select(*by, F.col(col).alias("__whole"), F.left(col, F.col("__n")).alias(col))
-    longer = probe.join(as_(own, [*by, col], "p"), same([*by, col], "p"), "left_semi").select(*by, F.col("__whole").alias(col)).distinct()
-    return own.join(as_(longer, [*by, col], "x"), same([*by, col], "x"), "left_anti")
+    keys = {f"__k{i}": F.col(c) for i, c in enumerate(by)}
+    lengths = own.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.array_sort(F.collect_set(n)).alias("__ns"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], F.lit(True))
+    probe = own.join(lengths, same).select(*by, F.col(col).alias("__whole"), F.explode(F.filter("__ns", lambda k: (k >= least) & (k < n))).alias("__n"))
+    probe = probe.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.left("__whole", F.col("__n")).alias("__p"), "__whole")
+    longer = probe.join(own, same & (F.col(col) == F.col("__p")), "left_semi").select(*keys, "__whole").distinct()
+    return own.join(longer, same & (F.col(col) == F.col("__whole")), "left_anti")
 
 
 def send_order(guessed: Column, tags: Column, seq: Column, redo: str = "redo") -> list[Column]:

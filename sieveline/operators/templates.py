@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions import dims
 from sieveline.functions.text import message_name, shared_start
 
 
@@ -160,14 +161,14 @@ def writer_prompt(r: dict[str, Column], instructions: str, brief: Column) -> Col
 
 
 def stacked_prompt(user: Column, parts: Column) -> Column:
-    """A request under an ordered list of instruction sets ``(id, name, content)``; none leaves the request as it is, an empty request gives null."""
-    rule, thin, n = "=" * 70, "-" * 70, F.size(parts).cast("string")
-    at = lambda i: (i + 1).cast("string")
-    some = lambda c, d: F.coalesce(c, F.lit(d))
-    index = F.transform(parts, lambda p, i: F.concat(F.lit("  "), at(i), F.lit(". ["), some(p["id"], "??"), F.lit("] "), some(p["name"], "?")))
-    blocks = F.transform(parts, lambda p, i: F.concat_ws("\n", F.lit(thin), F.concat(F.lit("--- "), at(i), F.lit("/"), n, F.lit(": "), some(p["name"], "?"), F.lit(" ---")), F.lit(thin), F.trim(some(p["content"], "")), F.lit("")))
-    body = F.concat_ws("\n", F.lit(rule), F.concat(F.lit("ACTIVE ("), n, F.lit("):")), F.array_join(index, "\n"), F.lit(rule), F.lit(""), F.array_join(blocks, "\n"), F.lit(rule), F.lit("REQUEST"), F.lit(rule), F.trim(user), F.lit(rule))
-    return F.when(F.trim(F.coalesce(user, F.lit(""))) == "", F.lit(None).cast("string")).when(F.coalesce(F.size(parts), F.lit(0)) < 1, F.trim(user)).otherwise(body)
+    """A request behind its instruction sets ``(id, name, content)``, each between tags that name it.
+
+    Sets come in their order; unnamed ones go by their id. No sets leave the request as it is, an empty request gives null.
+    """
+    ask = F.nullif(F.trim(user), F.lit(""))
+    named = lambda p: F.replace(F.coalesce(p["name"], p["id"], F.lit("")), F.lit('"'), F.lit("'"))
+    tagged = F.transform(parts, lambda p: F.concat(F.lit('<instructions name="'), named(p), F.lit('">\n'), F.trim(F.coalesce(p["content"], F.lit(""))), F.lit("\n</instructions>")))
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, F.array_join(F.concat(tagged, F.array(F.concat(F.lit("<request>\n"), ask, F.lit("\n</request>")))), "\n")).otherwise(ask)
 
 
 def valid_library(items: DataFrame) -> DataFrame:
@@ -194,23 +195,33 @@ def chosen_model(provider: Column, usual: dict[str, str], cheap: dict[str, str]
     return F.coalesce(pick(cheap), pick(usual), F.lit("")) if cheap else F.coalesce(pick(usual), F.lit(""))
 
 
+def _found_in_html(text: str) -> Column:
+    """A pattern for the text in column ``text`` as HTML may write it: every apostrophe and every blank before French punctuation in any form."""
+    any_of = lambda forms: "(?:" + "|".join(forms) + ")"
+    quoted = F.regexp_replace(text, r"([^\p{L}\p{N}\s'’])", r"\\$1")
+    blank = F.regexp_replace(quoted, rf" (?=\\[{dims.FRENCH_MARKS}])", any_of(dims.BLANKS))
+    return F.regexp_replace(blank, "['’]", any_of(dims.APOSTROPHES))
+
+
 def edit_in_place(rows: DataFrame, old: str, new: str, html: str) -> DataFrame:
     """Adds ``edited, applied``: the one span in which ``new`` differs from ``old``, replaced once in ``html``.
 
-    The span is looked for as it is, and with apostrophes and blanks before French punctuation as
-    entities; the replacement is written the same way. Where it is not found, or would only insert,
-    nothing changes. Each step is a projection of its own, as it is read several times by the next.
+    The span's first place in the HTML is found whatever forms its apostrophes and blanks have there, mixed
+    ones too. The new text takes the form of the first apostrophe that it replaces, and of the first blank.
+    Where the span is not found, or would only insert, nothing changes.
+    Each step is a projection of its own, as it is read several times by the next.
     """
     r = rows.withColumns({f"__{k}": F.coalesce(F.col(c), F.lit("")) for k, c in (("o", old), ("n", new), ("h", html))})
     r = r.withColumn("__at", shared_start(F.col("__o"), F.col("__n")))
     r = r.withColumns({f"__{k}": F.substr(F.col(f"__{k}"), F.col("__at") + 1) for k in "on"} | {"__same": F.trim("__o") == F.trim("__n"), "__empty": (F.col("__h") == "") | (F.trim("__n") == "")})
     r = r.withColumn("__end", shared_start(F.reverse("__o"), F.reverse("__n")))
     r = r.withColumns({f"__{k}": F.left(F.col(f"__{k}"), F.length(f"__{k}") - F.col("__end")) for k in "on"})
-    marks = (lambda t: t, lambda t: F.regexp_replace(t, "['’]", "&rsquo;"), lambda t: F.regexp_replace(t, "['’]", "&#39;"))
-    blanks = (lambda t: t, lambda t: F.regexp_replace(t, " ([:;!?»])", "&nbsp;$1"))
-    ways = [F.struct(gap(mark(F.col("__o"))).alias("a"), gap(mark(F.col("__n"))).alias("b")) for mark in marks for gap in blanks]
-    r = r.withColumn("__way", F.try_element_at(F.filter(F.array(*ways), lambda w: (w["a"] != "") & F.col("__h").contains(w["a"])), F.lit(1)))
-    ok = F.col("__way").isNotNull() & ~F.col("__same") & ~F.col("__empty") & (F.trim("__o") != "")
-    at = F.instr("__h", F.col("__way.a"))
-    r = r.withColumns({"applied": ok, "edited": F.when(ok, F.concat(F.left(F.col("__h"), at - 1), F.col("__way.b"), F.substr(F.col("__h"), at + F.length("__way.a")))).otherwise(F.col("__h"))})
-    return r.drop("__o", "__n", "__h", "__at", "__end", "__same", "__empty", "__way")
+    r = r.withColumn("__pattern", _found_in_html("__o"))
+    r = r.withColumn("__hit", F.expr("regexp_extract(__h, __pattern, 0)"))
+    form = F.regexp_extract("__hit", "|".join(dims.APOSTROPHES[2:]), 0)
+    r = r.withColumn("__n", F.when(form != "", F.replace(F.replace("__n", F.lit("’"), F.lit("'")), F.lit("'"), form)).otherwise(F.col("__n")))
+    r = r.withColumn("__n", F.when(F.col("__hit").contains(dims.BLANKS[1]), F.regexp_replace("__n", f" ([{dims.FRENCH_MARKS}])", dims.BLANKS[1] + "$1")).otherwise(F.col("__n")))
+    ok = (F.col("__hit") != "") & ~F.col("__same") & ~F.col("__empty") & (F.trim("__o") != "")
+    at = F.instr("__h", F.col("__hit"))
+    r = r.withColumns({"applied": ok, "edited": F.when(ok, F.concat(F.left(F.col("__h"), at - 1), F.col("__n"), F.substr(F.col("__h"), at + F.length("__hit")))).otherwise(F.col("__h"))})
+    return r.drop("__o", "__n", "__h", "__at", "__end", "__same", "__empty", "__pattern", "__hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions import classify, contact, dims, score, text
+from sieveline.functions import classify, contact, dims, text
 from sieveline.operators import entities, matching, selection
 from sieveline.plans import oracle as o
 from sieveline.session import load
@@ -307,18 +307,6 @@ SELECT event_id, (CASE event_id % 3 WHEN 0 THEN least(10, user_id % 15) WHEN 1 T
 """
 
 
-def geo_grid(spark, sf_dir):
-    g = score.spiral(spark, 5000, 25)
-    return g.select("cell", "dx", "dy", F.round(score.shift(F.lit(48.1), F.lit(-1.7), F.col("dy").cast("double"), F.col("dx").cast("double"))["lng"], 6).alias("lng"))
-
-
-GEO_GRID = """
-WITH c AS (SELECT x, y, greatest(abs(x), abs(y)) AS r FROM range(-2, 3) a(x), range(-2, 3) b(y)),
-o AS (SELECT *, row_number() OVER (ORDER BY r, CASE WHEN abs(y) = r THEN 0 ELSE 1 END, CASE WHEN abs(y) = r THEN x ELSE y END, CASE WHEN abs(y) = r THEN -sign(y) ELSE -sign(x) END) - 1 AS cell FROM c)
-SELECT cell, x * 5000 AS dx, y * 5000 AS dy, round(-1.7::DOUBLE + (x * 5000) / (111320.0::DOUBLE * greatest(0.01::DOUBLE, cos(radians(48.1::DOUBLE)))), 6) AS lng FROM o WHERE cell < 25
-"""
-
-
 def answer_fallback(spark, sf_dir):
     """The first successful answer by provider rank: line items as attempts of an order."""
     l = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("provider"), F.concat(F.lit("a"), F.col("l_partkey").cast("string")).alias("answer"), (F.col("l_quantity") > 25).alias("ok"))
@@ -439,7 +427,7 @@ GUESSED_FIRST = "SELECT c_custkey, (c_custkey % 3 = 0 OR c_custkey % 5 = 0) AS g
 _PAIRS = (
     (dimension_label, DIMENSION_LABEL), (rule_classifier, RULE_CLASSIFIER), (entity_components, ENTITY_COMPONENTS), (entity_merge, ENTITY_MERGE), (anti_known, ANTI_KNOWN), (eligible_first_contact, ELIGIBLE), (followup_due, FOLLOWUP_DUE), (reply_match, REPLY_MATCH),
     (evidence_verdict, EVIDENCE_VERDICT), (status_rank_merge, STATUS_RANK), (rolling_24h, ROLLING_24H), (daily_cap, DAILY_CAP), (running_quota, RUNNING_QUOTA), (pool_cap, POOL_CAP), (round_robin, ROUND_ROBIN), (stable_bucket, STABLE_BUCKET), (seeded_page, SEEDED_PAGE),
-    (sender_routing, SENDER_ROUTING), (render_outbox, RENDER_OUTBOX), (event_extra_map, EVENT_EXTRA), (import_mapping, IMPORT_MAPPING), (review_parse, REVIEW_PARSE), (geo_grid, GEO_GRID), (answer_fallback, ANSWER_FALLBACK), (nested_children, NESTED_CHILDREN), (upsert_counts, UPSERT_COUNTS),
+    (sender_routing, SENDER_ROUTING), (render_outbox, RENDER_OUTBOX), (event_extra_map, EVENT_EXTRA), (import_mapping, IMPORT_MAPPING), (review_parse, REVIEW_PARSE), (answer_fallback, ANSWER_FALLBACK), (nested_children, NESTED_CHILDREN), (upsert_counts, UPSERT_COUNTS),
     (send_window, SEND_WINDOW), (stream_sessions, STREAM_SESSIONS), (stream_windows, STREAM_WINDOWS), (stream_dedupe, STREAM_DEDUPE), (stream_status, STREAM_STATUS), (guessed_first, GUESSED_FIRST),
 )
 QUERIES = {f.__name__: f for f, _ in _PAIRS}

@@ -401,7 +401,7 @@ def writer_prompts(spark, sf_dir):
 
 WRITER_PROMPTS = """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 0 THEN 13 ELSE 12 END AS n_lines, '- Nom / entreprise : ' || CASE WHEN c_custkey % 3 = 0 THEN 'Legal' ELSE c_name END AS who, 316 AS n_description,
-  CASE WHEN c_custkey % 2 = 0 AND c_custkey > 0 THEN '- Abonnés : ' || replace(format('{:,}', c_custkey * 1000), ',', ' ') ELSE '' END AS followers, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 15 END AS n_stacked FROM customer
+  CASE WHEN c_custkey % 2 = 0 AND c_custkey > 0 THEN '- Abonnés : ' || replace(format('{:,}', c_custkey * 1000), ',', ' ') ELSE '' END AS followers, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 6 END AS n_stacked FROM customer
 """
 
 _PAIRS = (

@@ -195,13 +195,14 @@ SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits FROM d JOIN
 def prefix_collapse(spark, sf_dir):
     """The distinct words of each source that no shorter word of the source begins, from 3 letters on."""
     d = load(spark, sf_dir, "documents").select("source", F.explode(text.tokens(F.col("text"))).alias("w")).where("length(w) >= 3")
-    return selection.without_longer(d.distinct(), ["source"], "w", 3)
+    return selection.without_longer(d, ["source"], "w", 3)
 
 
 PREFIX_COLLAPSE = f"""
-WITH d AS (SELECT DISTINCT source, unnest({_T}) AS w FROM documents), k AS (SELECT * FROM d WHERE len(w) >= 3),
-p AS (SELECT DISTINCT source, w, substr(w, 1, unnest(range(3, len(w)))::INTEGER) AS pre FROM k)
-SELECT source, w FROM k a WHERE NOT EXISTS (SELECT 1 FROM p JOIN k b ON b.source IS NOT DISTINCT FROM p.source AND b.w = p.pre WHERE p.source IS NOT DISTINCT FROM a.source AND p.w = a.w)
+WITH k AS MATERIALIZED (SELECT DISTINCT source, w FROM (SELECT source, unnest({_T}) AS w FROM documents) WHERE len(w) >= 3),
+p AS (SELECT source, w, substr(w, 1, n::INTEGER) AS pre FROM (SELECT source, w, unnest(range(3, len(w))) AS n FROM k)),
+x AS (SELECT DISTINCT coalesce('s' || p.source, '') AS s, p.w FROM p JOIN k ON coalesce('s' || k.source, '') = coalesce('s' || p.source, '') AND k.w = p.pre)
+SELECT k.source, k.w FROM k LEFT JOIN x ON x.s = coalesce('s' || k.source, '') AND x.w = k.w WHERE x.w IS NULL
 """
 
 

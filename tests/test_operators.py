@@ -40,7 +40,7 @@ def test_merge_rules(spark):
     assert r.emails == ["A@b.fr", "c@d.fr"]
 
 
-def test_selection_of_creators(spark):
+def test_selection_of_creators(spark, tmp_path):
     s = "entity_id int, name string, handle string, platform_url string, emails array<string>, status string, tags array<string>"
     mail, tags = ["a@b.fr"], ["site_verified"]
     rows = [(1, "Ann", None, None, mail, "new", tags), (2, " R/python", None, None, mail, "new", tags), (3, "x", "/r/x", None, mail, "new", None), (4, "x", None, "https://Reddit.com/r/x", mail, "new", []),
@@ -49,8 +49,8 @@ def test_selection_of_creators(spark):
     ids = lambda d: sorted(r.entity_id for r in d.collect())
     assert ids(selection.eligible_creators(e, none)) == [1, 5, 8] and ids(selection.eligible_creators(e, none, limit=2)) == [1, 5]
     assert ids(selection.eligible(e, none, only_verified=True)) == [1, 2, 8] and ids(selection.eligible(e, none, only_verified=True, limit=1)) == [1]
-    yes, no, n = selection.accepted_rejected(e)
-    assert ids(yes) == [1, 2, 3, 4, 5, 8] and ids(no) == [6, 7] and tuple(n.first()) == (6, 2)
+    yes, no, n = selection.accepted_rejected(e, f"file://{tmp_path}/split")
+    assert ids(yes) == [1, 2, 3, 4, 5, 8] and ids(no) == [6, 7] and n == {"n": 8, "n_accepted": 6, "n_no_email": 2} and yes.columns == e.columns
 
 
 def test_selection(spark):

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import classify, contact, dims, text
 
+#: examples whose results must match; fixed values
 NAMES = [
     ("à la mesure du bois", "À la Mesure du Bois"), ("plomberie albert nicolas", "Plomberie Albert Nicolas"), ("l'instant immobilier", "L'Instant Immobilier"), ("chemins d'aencrage", "Chemins d'Aencrage"),
     ("dilya's cake", "Dilya's Cake"), ("le fournil de paul", "Le Fournil de Paul"), ("dupont et fils", "Dupont et Fils"), ("gms33 gironde moto services", "Gms33 Gironde Moto Services"), ("école du web", "École du Web"),
@@ -15,6 +16,7 @@ def test_display_name(one):
     assert one(text.display_name, SAME) == SAME
 
 
+#: fixed values
 REJECTED = ["online@www.aaa.com", "only@savagex.com", "only@www.gobble.com", "contact@example.com", "contact@yourcompany.com", "x@domaine.commercedetail", "lebazarapetales@gmail.comwebmaster", "contact@sessile.fr", "sales@godaddy.com", "contact@amzn.to", "contact@wa.me", ".a@firm.fr", "a..b@firm.fr", "x@é.fr", "nothing", "", None]
 
 
