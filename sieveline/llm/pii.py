@@ -10,6 +10,7 @@ labeller reads: length, separators, and the hashed word before the span. So a fo
 stands in personal contexts is accepted where its votes alone say little. Candidates the classifier
 accepts are added; base spans always stay.
 
+Whole texts stay in the tasks that read them; what is exchanged are candidates with a few characters around.
 The counts behind EM and the classifier are a group-by over votes and features with a fixed number
 of values, so what reaches the driver does not grow with the corpus beyond that.
 """
@@ -51,19 +52,52 @@ def luhn(body: Column) -> Column:
     return F.aggregate(digit, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
-def _proposals(rows: DataFrame, kind: str, pattern: str, maybe: Column, valid: Column, base: bool) -> DataFrame:
-    """Matches of one pattern with code-point offsets: pieces between matches and matches alternate."""
-    hit = rows.where(maybe).withColumn("m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).where(F.size("m") > 0)
-    gap = F.split("text", pattern, -1)
-    piece = F.arrays_zip(
-        F.transform("gaps", lambda g: F.length(g)).alias("gap"), F.transform("gaps", lambda g: F.right(g, F.lit(LEFT))).alias("left"),
-        F.transform("gaps", lambda g: F.left(g, F.lit(RIGHT))).alias("head"), F.col("m").alias("body"))
-    parts = hit.withColumn("gaps", gap).select("doc", "key", F.posexplode(piece).alias("i", "p")).select("doc", "key", "i", "p.*")
-    order = Window.partitionBy("doc", "key").orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", F.sum("gap").over(order) + F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)))
-    parts = parts.withColumn("right", F.lead("head").over(order)).where("body is not null")
-    return parts.where(valid).select("doc", "key", F.lit(kind).alias("kind"), "start", (F.col("start") + F.length("body")).alias("end"), "body", "left", F.coalesce("right", F.lit("")).alias("right"), F.lit(base).alias("base"))
+def _digit_count() -> Column:
+    return F.length(_digits(F.col("body")))
+
+
+def _rules() -> list[tuple[str, str, Column, Column, bool]]:
+    """Kind, pattern, what a text must have to be searched, what a match must fulfil, and whether it is a base span."""
+    text, body = F.col("text"), F.col("body")
+    in_range = F.forall(F.split("body", r"\."), lambda p: p.rlike("^0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
+    many = _digit_count().between(9, 15)
+    return [
+        ("email", EMAIL, text.contains("@"), F.lit(True), True),
+        ("ip", IP, text.rlike(r"[0-9]\.[0-9]"), in_range, True),
+        # one search serves both kinds of card: those that pass the check digit, and the others
+        ("card", CARD, text.rlike(r"[0-9][\x20-]?[0-9]"), F.lit(True), True),
+        ("phone", PHONE, text.rlike(r"\+[0-9]"), many, True),
+        ("email", SPELLED, text.rlike(r"(?i)[\[(]at[\])]"), F.lit(True), False),
+        ("phone", NATIONAL, text.rlike(r"[0-9][ .)-]"), many, False),
+    ]
+
+
+def _proposals(rows: DataFrame) -> DataFrame:
+    """Matches of all patterns with code-point offsets, of rows ``(doc, key, text)``; once each for rows that repeat doc and key.
+
+    Every text is searched in the task that read it, and leaves as the pieces between its matches: their
+    lengths and the few characters at their ends. Whole texts are never exchanged.
+    """
+    none = F.array().cast("array<struct<rule:int,i:int,gap:string,body:string>>")
+
+    def pieces(number, pattern, maybe):
+        # pieces between matches and matches alternate
+        both = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("body"))
+        return F.when(maybe, F.transform(both, lambda x, i: F.struct(F.lit(number).alias("rule"), i.cast("int").alias("i"), x["gap"].alias("gap"), x["body"].alias("body")))).otherwise(none)
+
+    found = [pieces(n, r[1], r[2]) for n, r in enumerate(_rules())]
+    p = rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc", "key", F.explode(F.concat(*found)).alias("p"))
+    # a first piece without a match is a text without any
+    p = p.where("p.i > 0 or p.body is not null")
+    p = p.select("uid", "doc", "key", "p.rule", "p.i", "p.body", F.length("p.gap").alias("gap"), F.right("p.gap", F.lit(LEFT)).alias("left"), F.left("p.gap", F.lit(RIGHT)).alias("head"))
+    order = Window.partitionBy("uid", "rule").orderBy("i")
+    start = F.sum("gap").over(order) + F.coalesce(F.sum(F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = p.withColumns({"start": start, "right": F.coalesce(F.lead("head").over(order), F.lit(""))}).where("body is not null")
+    by_rule = lambda v: reduce(lambda a, x: a.when(F.col("rule") == x[0], v(x[1])), enumerate(_rules()), F.when(F.lit(False), v(_rules()[0])))
+    kind = by_rule(lambda r: F.lit(r[0]))
+    base = by_rule(lambda r: luhn(F.col("body")) if r[0] == "card" else F.lit(r[4]))
+    p = p.where(by_rule(lambda r: r[3])).select("doc", "key", kind.alias("kind"), "start", (F.col("start") + F.length("body")).alias("end"), "body", "left", "right", base.alias("base"))
+    return p.dropDuplicates(["doc", "key", "kind", "start", "base"])
 
 
 def _votes(c: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -179,20 +213,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     anywhere means no model and no added span. Empty input gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    own = rows.where(F.col("text").rlike("[0-9@]|(?i:[\\[(]at[\\])])")).dropDuplicates(["doc", "key"])
-    n = F.length(_digits(F.col("body")))
-    in_range = F.forall(F.split("body", r"\."), lambda p: p.rlike("^0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
-    text = F.col("text")
-    found = [
-        _proposals(own, "email", EMAIL, text.contains("@"), F.lit(True), True),
-        _proposals(own, "ip", IP, text.rlike(r"[0-9]\.[0-9]"), in_range, True),
-        _proposals(own, "card", CARD, text.rlike(CARD), luhn(F.col("body")), True),
-        _proposals(own, "phone", PHONE, text.rlike(r"\+[0-9]"), n.between(9, 15), True),
-        _proposals(own, "email", SPELLED, text.rlike(r"(?i)[\[(]at[\])]"), F.lit(True), False),
-        _proposals(own, "card", CARD, text.rlike(CARD), ~luhn(F.col("body")), False),
-        _proposals(own, "phone", NATIONAL, text.rlike(NATIONAL), n.between(9, 15), False),
-    ]
-    cands, votes = _votes(_shape(reduce(DataFrame.unionByName, found)))
+    cands, votes = _votes(_shape(_proposals(rows)))
     # candidates without their texts are a small table, read twice
     cands = written(cands.drop("left", "right", "body"))
     seen = cands.groupBy("kind", *votes, *FEATURES).agg(F.count("*").alias("n")).collect()
