@@ -131,9 +131,12 @@ def guess_email(url: Column) -> Column:
 
 
 def raw_emails(text: Column) -> Column:
+    """Addresses as they stand, and spelled-out ones; each pattern is tried only where what it needs is there."""
+    none = F.array().cast("array<string>")
     plain = F.transform(F.regexp_extract_all(text, F.lit(EMAIL_WORD), F.lit(0)), lambda e: F.lower(e))
     spelled = F.transform(F.regexp_extract_all(text, F.lit(SPELLED), F.lit(0)), lambda m: F.lower(F.regexp_replace(m, SPELLED, "$1@$2.$3")))
-    return F.concat(plain, spelled)
+    may = text.rlike("(?i)dot|point") & text.rlike("(?i)at|chez|arobase")
+    return F.when(text.isNotNull(), F.concat(F.when(text.contains("@"), plain).otherwise(none), F.when(may, spelled).otherwise(none)))
 
 
 def text_emails(text: Column, most: int = 5) -> Column:

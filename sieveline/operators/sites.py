@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import dims
@@ -64,26 +64,34 @@ def priority_links(html: Column, base: Column, most: int = 5) -> Column:
     return F.slice(F.transform(first, lambda a: a["u"]), 1, most)
 
 
-def ranked_emails(emails: Column, domain: Column, most: int = 5) -> Column:
-    """Cleaned, distinct addresses: those of the site's own domain first, then by letter, at most ``most``."""
-    clean = F.array_distinct(F.filter(F.transform(emails, clean_email), lambda e: e.isNotNull()))
-    ranked = F.array_sort(F.transform(clean, lambda e: F.struct(F.when(e.endswith(F.concat(F.lit("@"), domain)), 0).otherwise(1).alias("far"), e.alias("e"))))
-    return F.slice(F.transform(ranked, lambda x: x["e"]), 1, most)
-
-
 def _page(pages: DataFrame) -> DataFrame:
     text = pages.withColumn("__text", html_text(F.col("html")))
     return text.withColumns({"__found": page_evidence(F.col("__text")), "__raw": F.concat(raw_emails(F.col("__text")), mailto(F.col("html")))})
 
 
-def _contacts(found: DataFrame, key: list[str], order: list[Column], most_emails: int, most_phones: int) -> DataFrame:
-    """Contacts of a group of read pages; items are distinct before they are gathered, so a group's row holds no page."""
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    per = found.groupBy(*key).agg(
-        flat("__raw").alias("__emails"), F.array_sort(flat("__found.phones")).alias("phones"), F.array_sort(flat("__found.company_ids")).alias("company_ids"), F.array_sort(flat("__found.site_ids")).alias("site_ids"),
-        F.array_sort(flat("__found.postal_codes")).alias("postal_codes"), F.bool_or("__found.has_legal").alias("has_legal"), F.count("*").alias("n_pages"), F.min_by("url", F.struct(*order)).alias("first_url"))
-    domain = host(F.col("first_url"))
-    return per.withColumns({"emails": ranked_emails(F.col("__emails"), domain, most_emails), "phones": F.slice("phones", 1, most_phones)}).drop("__emails")
+def _contacts(found: DataFrame, key: str, order: list[Column], most_emails: int, most_phones: int) -> DataFrame:
+    """Contacts of a group of read pages. What pages say is told apart before it is ranked, and ranked before it is gathered.
+
+    So a site's row holds its first addresses and phones, however many pages and addresses it has; of
+    its other ids and codes it holds each once.
+    """
+    group = F.col(key).alias("__g")
+    per = found.groupBy(group).agg(F.bool_or("__found.has_legal").alias("has_legal"), F.count("*").alias("n_pages"), F.min_by("url", F.struct(*order)).alias("first_url"))
+    lists = ("phones", "company_ids", "site_ids", "postal_codes")
+    said = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    items = found.select(group, F.explode(F.concat(said("emails", F.transform("__raw", clean_email)), *[said(c, F.col(f"__found.{c}")) for c in lists])).alias("x"))
+    items = items.select("__g", "x.kind", "x.v").where("v is not null").distinct()
+    home = per.select(F.col("__g").alias("__h"), F.concat(F.lit("@"), host(F.col("first_url"))).alias("own"))
+    items = items.join(home, F.col("__g").eqNullSafe(F.col("__h"))).withColumn("far", F.when((F.col("kind") == "emails") & ~F.coalesce(F.endswith("v", "own"), F.lit(False)), 1).otherwise(0))
+    few = {"emails": most_emails, "phones": most_phones}
+    # a bound on the rank alone lets every task drop what cannot be among the first
+    ranked = items.where(F.col("kind").isin(*few)).withColumn("i", F.row_number().over(Window.partitionBy("__g", "kind").orderBy("far", "v"))).where(F.col("i") <= max(few.values()))
+    ranked = ranked.where(" or ".join(f"(kind = '{k}' and i <= {n})" for k, n in few.items())).drop("i")
+    kept = ranked.unionByName(items.where(~F.col("kind").isin(*few)))
+    gathered = kept.groupBy(F.col("__g").alias("__i")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("far", "v")))), lambda x: x["v"]).alias(c) for c in ("emails", *lists)])
+    out = per.join(gathered, F.col("__g").eqNullSafe(F.col("__i")), "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("__g").alias(key), *[F.coalesce(c, none).alias(c) for c in lists], "has_legal", "n_pages", "first_url", F.coalesce("emails", none).alias("emails"))
 
 
 def site_contacts(pages: DataFrame, site: str = "site", order: list[Column] | None = None, most_emails: int = 5, most_phones: int = 3) -> DataFrame:
@@ -92,7 +100,7 @@ def site_contacts(pages: DataFrame, site: str = "site", order: list[Column] | No
     ``pages`` has ``site, url, html``: the pages to count, the home page first in ``order``. Addresses of
     the home page's domain come first, then by letter; phones are told apart by their normal form.
     """
-    return _contacts(_page(pages), [site], order or [F.col("url")], most_emails, most_phones)
+    return _contacts(_page(pages), site, order or [F.col("url")], most_emails, most_phones)
 
 
 def hub_contacts(hubs: DataFrame, pages: DataFrame, most_outbound: int = 4) -> DataFrame:
@@ -104,7 +112,7 @@ def hub_contacts(hubs: DataFrame, pages: DataFrame, most_outbound: int = 4) -> D
     landed = pages.groupBy("url").agg(F.min("html").alias("html"))
     reached = links.join(landed, "url")
     both = hubs.select(F.col("url").alias("hub"), F.lit(-1).alias("pos"), "url", "html").unionByName(reached)
-    per = _contacts(_page(both), ["hub"], [F.col("pos")], 5, 3)
+    per = _contacts(_page(both), "hub", [F.col("pos")], 5, 3)
     first = reached.groupBy("hub").agg(F.min_by("url", "pos").alias("primary_url"))
     # an address of a hub has no domain of its own: by letter alone
     return per.withColumn("emails", F.array_sort("emails")).drop("first_url").join(first, "hub", "left")
