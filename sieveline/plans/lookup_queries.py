@@ -48,10 +48,15 @@ WITH RECURSIVE i AS (SELECT item_id, {o.tokens('text')} AS w FROM benchmark),
 p0 AS (SELECT item_id AS id, w[item_id * 7 % len(w) + 1 : item_id * 7 % len(w) + item_id % 5 + 1] AS t FROM i WHERE len(w) > 0 UNION ALL SELECT item_id + 100000, w[1:2] FROM i WHERE len(w) > 0),
 p AS (SELECT array_to_string(t, ' ') AS g, len(t) AS n, min(id) AS phrase_id FROM p0 GROUP BY ALL),
 d AS (SELECT doc_id, {o.tokens('text')} AS w FROM documents),
-x AS MATERIALIZED (SELECT doc_id, pos, max(n) AS n, arg_max(phrase_id, n) AS phrase_id FROM (SELECT doc_id, k - 1 AS pos, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)) JOIN p USING (g, n) GROUP BY doc_id, pos),
-y AS MATERIALIZED (SELECT *, pos + n AS reach FROM x),
-r(doc_id, pos, n, phrase_id) AS (SELECT doc_id, min(pos), arg_min(n, pos), arg_min(phrase_id, pos) FROM x GROUP BY doc_id
-  UNION ALL SELECT r.doc_id, min(x.pos), arg_min(x.n, x.pos), arg_min(x.phrase_id, x.pos) FROM r JOIN x ON x.doc_id = r.doc_id AND x.pos >= r.pos + r.n GROUP BY r.doc_id, r.pos)
+t AS MATERIALIZED (SELECT doc_id, unnest(w) AS t1, unnest(range(len(w))) AS pos FROM d),
+g AS MATERIALIZED (SELECT doc_id, pos, t1, t1 || ' ' || lead(t1, 1) OVER o AS t2, t1 || ' ' || lead(t1, 1) OVER o || ' ' || lead(t1, 2) OVER o AS t3, t1 || ' ' || lead(t1, 1) OVER o || ' ' || lead(t1, 2) OVER o || ' ' || lead(t1, 3) OVER o AS t4,
+  t1 || ' ' || lead(t1, 1) OVER o || ' ' || lead(t1, 2) OVER o || ' ' || lead(t1, 3) OVER o || ' ' || lead(t1, 4) OVER o AS t5 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT doc_id, pos, p.n, phrase_id FROM g JOIN p ON p.n = 1 AND p.g = t1 UNION ALL SELECT doc_id, pos, p.n, phrase_id FROM g JOIN p ON p.n = 2 AND p.g = t2 UNION ALL SELECT doc_id, pos, p.n, phrase_id FROM g JOIN p ON p.n = 3 AND p.g = t3
+  UNION ALL SELECT doc_id, pos, p.n, phrase_id FROM g JOIN p ON p.n = 4 AND p.g = t4 UNION ALL SELECT doc_id, pos, p.n, phrase_id FROM g JOIN p ON p.n = 5 AND p.g = t5),
+x AS (SELECT doc_id, pos, max(n) AS n, arg_max(phrase_id, n) AS phrase_id FROM h GROUP BY doc_id, pos),
+y AS (SELECT doc_id, pos, n, phrase_id, coalesce(max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= pos, true) AS free FROM x),
+z AS MATERIALIZED (SELECT *, sum(free::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS chain FROM y),
+r AS (SELECT doc_id, chain, pos, n, phrase_id FROM z WHERE free UNION ALL SELECT doc_id, chain, min(z.pos), arg_min(z.n, z.pos), arg_min(z.phrase_id, z.pos) FROM r JOIN z USING (doc_id, chain) WHERE z.pos >= r.pos + r.n GROUP BY doc_id, chain, r.pos)
 SELECT doc_id, pos::INTEGER AS pos, n::INTEGER AS n, phrase_id FROM r
 """
 
