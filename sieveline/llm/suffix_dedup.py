@@ -53,6 +53,8 @@ BLOCK = 1 << 18
 #: bits of a position inside a block; the other bits of an anchor's rank are its gram's hash, whatever the block
 PLACE = 20
 MAX_LOG_BITS = 28
+#: of the filter of hot anchors: 16 bits for each, up to 16 MB; beyond that more anchors are taken apart
+HOT_LOG_BITS = 27
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -213,9 +215,10 @@ def _runs(shared, parts: int):
                 else:
                     keep.append(x)
             held.clear()
-            if len(hot):
-                apart = [x for x in keep if x[0][:8] in hot]
-                keep = [x for x in keep if x[0][:8] not in hot]
+            if hot is not None and keep:
+                often = hot.passes(np.array([int.from_bytes(x[0][:8], "big") for x in keep], np.uint64)).tolist()
+                apart = [x for x, on in zip(keep, often) if on]
+                keep = [x for x, on in zip(keep, often) if not on]
                 first: dict[bytes, tuple] = {}
                 for key, doc, dig, p, q, _ in apart:
                     body = _body(key)
@@ -408,9 +411,10 @@ def repeated_spans(rows: DataFrame, hot: int = 20_000) -> DataFrame:
     counts = rows.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     often = written(counts.where("c > 1"))
     n, total = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    # at most 65,536 anchors can be above the second bound
-    many = often.where(F.col("c") > max(hot, total // 65_536)).select("h").toArrow().column("h").to_numpy()
-    apart = {int(h).to_bytes(8, "big") for h in many.view(np.uint64)}
+    many = often.where(F.col("c") > hot)
+    n_hot = many.count()
+    # an anchor that passes by chance is taken apart too, in all tasks alike: no result depends on it
+    apart = hash_filter(many, "h", n_hot, HOT_LOG_BITS) if n_hot else None
     shared = spark.sparkContext.broadcast((hash_filter(often, "h", n, MAX_LOG_BITS), apart))
     parts = max(1, math.ceil(total / RANGE))
     runs = rows.mapInArrow(_runs(shared, parts), "part int, n int, size int, block binary")
