@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline.functions import classify, contact, dims, text
-from sieveline.operators import records, sites, templates
+from sieveline.operators import completion, records, sites, templates
 from sieveline.plans import oracle as o
 from sieveline.session import load
 from sieveline.sources import profiles
@@ -215,8 +215,96 @@ d AS (SELECT *, lower(list_extract(['Lyon', 'U.S.A', 'Germany', 'United Kingdom'
 SELECT page_id, sha256(b) AS bio, CASE WHEN regexp_matches(p, 'france|paris|lyon|marseille') THEN 'FR' WHEN regexp_matches(p, 'u\.s\.a|usa|united states') THEN 'US' WHEN regexp_matches(p, 'united kingdom|u\.k\.') THEN 'GB' WHEN regexp_matches(p, 'deutschland|germany') THEN 'DE' ELSE '' END AS country FROM d
 """
 
+
+
+def own_sites(spark, sf_dir):
+    """The first link of each page that leads to a site of its own: neither social nor hosted elsewhere."""
+    a = load(spark, sf_dir, "pages").select("page_id", sites.anchors(F.col("html")).alias("a"))
+    start = F.array(*[F.lit(x) for x in ("https://", "http://www.", "", "https://my.", "https://[")])
+    hosts = F.array(*[F.lit(d) for d in (*_DOMAINS, *dims.PLATFORM_DOMAINS, "firm.example", "")])
+    n = len(set(_DOMAINS)) + len(dims.PLATFORM_DOMAINS) + 2
+    # a page tries few of its links on its own host, most on others'
+    made = F.transform("a", lambda x, i: F.concat(F.element_at(start, (F.pmod(F.col("page_id") + i, F.lit(5)) + 1).cast("int")), F.element_at(hosts, (F.pmod(F.col("page_id") * 7 + 11 * i, F.lit(n)) + 1).cast("int")), F.lit("/"), F.regexp_replace(x["text"], r"\s+", "-")))
+    return a.select("page_id", completion.first_own_site(made).alias("site"), F.size(F.filter(made, completion.hosted_elsewhere)).alias("n_elsewhere"))
+
+
+_ALL = (*_DOMAINS, *dims.PLATFORM_DOMAINS, "firm.example", "")
+OWN_SITES = rf"""
+WITH t AS (SELECT page_id, unnest(l) AS tag, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>') AS l FROM pages)),
+v AS (SELECT page_id, i, regexp_replace(trim(regexp_replace(regexp_replace(regexp_extract(tag, '(?s)^[^>]*>(.*)</a>$', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' '), '\s+', '-', 'g') AS txt FROM t),
+u AS (SELECT page_id, i, list_extract(['https://', 'http://www.', '', 'https://my.', 'https://['], ((page_id + i) % 5 + 1)::INTEGER) || list_extract([{o.names(_ALL)}], ((page_id * 7 + 11 * i) % {len(_ALL)} + 1)::INTEGER) || '/' || txt AS u FROM v),
+n AS (SELECT *, regexp_extract(CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://' || u END, '^https?://([^/?#]*)', 1) AS net, CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://' || u END AS w FROM u),
+h AS (SELECT *, CASE WHEN net <> '' THEN net ELSE regexp_extract(w, '^https?://([^?#]*)', 1) END AS host, regexp_extract(lower(u), '^(?:https?://(?:www\.)?|www\.)([^/\s]+)', 1) AS soc FROM n),
+d AS (SELECT *, {o.norm_domain('host')} AS nd FROM h),
+e AS (SELECT page_id, i, u, NOT contains(net, '[') AND {o.platform('nd')} AS elsewhere, {_UNDER.format(h='soc', names=o.alternation(dims.SOCIAL_DOMAINS))} AS social FROM d)
+SELECT page_id, arg_min(u, i) FILTER (NOT elsewhere AND NOT social) AS site, (count(i) FILTER (elsewhere))::INTEGER AS n_elsewhere FROM (SELECT page_id FROM pages) LEFT JOIN e USING (page_id) GROUP BY page_id
+"""
+
+
+def repair_patches(spark, sf_dir):
+    """Sentences as records that a reviewer sent back: cut where two things run together, else repaired by what is proposed, and once only."""
+    s = _sentences(spark, sf_dir)
+    i = F.col("i")
+    r = s.select(
+        "doc_id", "i", F.when(i % 3 == 0, F.concat("s", F.lit(" | "), "n")).otherwise(F.col("s")).alias("name"), F.when(i % 2 == 0, F.lit(" ")).otherwise(F.col("n")).alias("description"), F.lit("métier").alias("industry"),
+        F.when(i % 7 == 6, F.array(F.lit("x"), F.lit(completion.REPAIRED))).when(i % 7 == 5, F.array(F.lit("x"))).alias("tags"), F.when(i % 4 == 3, "ok").otherwise("draft").alias("verdict"), (i % 11 == 10).alias("engine_down"),
+        F.when(i % 5 == 1, F.regexp_replace("s", r"^\S+\s*", "")).when(i % 5 == 2, F.concat("s", F.lit(" zzz"))).alias("proposed_name"), F.when(i % 6 < 3, F.substring("s", 1, 12)).alias("proposed_industry"))
+    p = completion.repaired(r)
+    return p.select("doc_id", "i", "name", "description", "industry", F.array_join("repaired_fields", ",").alias("fields"), F.array_join("tags", ",").alias("tags"))
+
+
+REPAIR_PATCHES = rf"""
+WITH {_SENTENCES},
+r AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN s || ' | ' || n ELSE s END AS name, CASE WHEN i % 2 = 0 THEN ' ' ELSE n END AS description, i % 7 AS tag, i % 4 <> 3 AND i % 11 <> 10 AND i % 7 <> 6 AS due,
+  CASE WHEN i % 5 = 1 THEN regexp_replace(s, '^\S+\s*', '') WHEN i % 5 = 2 THEN s || ' zzz' END AS pn, CASE WHEN i % 6 < 3 THEN substr(s, 1, 12) END AS pi FROM x),
+z AS (SELECT *, regexp_matches(trim(name, ' '), '{text.POLLUTED}') AS hit, regexp_replace(regexp_extract(trim(name, ' '), '{text.POLLUTED}', 1), '^[ .,—·|-]+|[ .,—·|-]+$', '', 'g') AS a, trim(regexp_extract(trim(name, ' '), '{text.POLLUTED}', 2), ' ') AS b FROM r),
+k AS (SELECT *, due AND hit AND len(a) BETWEEN 2 AND 60 AS cut, name || ' ' || description || ' métier' AS own FROM z),
+q AS (SELECT *, CASE WHEN cut THEN a WHEN due AND len({_WORDS.format("coalesce(pn, '')")}) > 0 AND len(list_filter({_WORDS.format("coalesce(pn, '')")}, lambda v: NOT list_contains({_WORDS.format('own')}, v))) = 0 THEN pn END AS nn,
+  CASE WHEN cut AND trim(description, ' ') = '' THEN b END AS nd, CASE WHEN due AND NOT cut AND len(trim(coalesce(pi, ''), ' ')) BETWEEN 2 AND 40 AND regexp_matches(trim(pi, ' '), '^[a-zA-ZÀ-ÿ'' \-/&]+$') THEN pi END AS ni FROM k)
+SELECT doc_id, i::INTEGER AS i, coalesce(nn, name) AS name, coalesce(nd, description) AS description, coalesce(ni, 'métier') AS industry,
+  nullif(concat_ws(',', CASE WHEN nd IS NOT NULL THEN 'description' END, CASE WHEN ni IS NOT NULL THEN 'industry' END, CASE WHEN nn IS NOT NULL THEN 'name' END), '') AS fields,
+  CASE WHEN coalesce(nn, nd, ni) IS NOT NULL THEN concat_ws(',', CASE WHEN tag = 5 THEN 'x' END, '{completion.REPAIRED}') WHEN tag = 6 THEN 'x,{completion.REPAIRED}' WHEN tag = 5 THEN 'x' END AS tags FROM q
+"""
+
+
+def federated_accounts(spark, sf_dir):
+    """Accounts of three listings as one: the first listing that has a key gives the row, and how many each may still write to."""
+    c, x, e = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders"), load(spark, sf_dir, "events")
+    key = lambda k: completion.platform_key(F.when(k % 3 == 0, "live").when(k % 3 == 1, "video"), k)
+    one = e.select(key(F.col("user_id") * 2).alias("key"), F.col("event_id").alias("place"), F.col("event_type").alias("name"))
+    two = x.select(key(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("name"))
+    three = c.select(key(F.col("c_custkey")).alias("key"), F.col("c_custkey").alias("place"), F.col("c_name").alias("name"))
+    r = completion.first_of_sources([one, two, three], "key", "place")
+    cap = completion.effective_cap(F.lit(40), F.lit(30), F.when(F.col("source_no") < 2, F.pmod("place", F.lit(50))), F.length("name"))
+    return r.select("key", "source_no", "place", "name", cap.cast("long").alias("cap"))
+
+
+FEDERATED_ACCOUNTS = """
+WITH u AS (SELECT user_id * 2 AS k, 0 AS source_no, event_id AS place, event_type AS name FROM events UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderpriority FROM orders UNION ALL SELECT c_custkey, 2, c_custkey, c_name FROM customer),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_no, place, name) = 1)
+SELECT CASE k % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'video' ELSE '' END || '|' || k AS key, source_no, place, name, greatest(0, least(40, 30 - CASE WHEN source_no < 2 THEN place % 50 ELSE 0 END, len(name)))::BIGINT AS cap FROM f
+"""
+
+
+def filled_contacts(spark, sf_dir):
+    """Customers' lists filled from a bio where they are empty."""
+    c, k = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    s = k.cast("string")
+    bio = F.concat(F.lit("Pro "), "c_mktsegment", F.lit(" anna"), s, F.lit("@firm"), s, F.lit(".fr, 06 "), F.regexp_replace(F.lpad(s, 8, "0"), "(..)(..)(..)(..)", "$1 $2 $3 $4"), F.lit(" https://firm"), s, F.lit(".fr/x"))
+    none = F.array().cast("array<string>")
+    given = lambda n, v: F.when(k % n == 0, F.array(F.lit(v))).when(k % n == 1, none)
+    r = completion.filled_from_bio(c.select("c_custkey", bio.alias("description"), given(3, "a@b.fr").alias("emails"), given(4, "+33100000000").alias("phones"), given(5, "https://own.fr").alias("urls_in_bio")))
+    return r.select("c_custkey", *[F.array_join(x, ",").alias(x) for x in ("emails", "phones", "urls_in_bio")])
+
+
+FILLED_CONTACTS = """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a@b.fr' ELSE 'anna' || c_custkey || '@firm' || c_custkey || '.fr' END AS emails,
+  CASE WHEN c_custkey % 4 = 0 THEN '+33100000000' ELSE '+336' || lpad(c_custkey::VARCHAR, 8, '0') END AS phones, CASE WHEN c_custkey % 5 = 0 THEN 'https://own.fr' ELSE 'https://firm' || c_custkey || '.fr/x' END AS urls_in_bio FROM customer
+"""
+
 _PAIRS = (
     (sentence_names, SENTENCE_NAMES), (sentence_repairs, SENTENCE_REPAIRS), (link_kinds, LINK_KINDS), (order_addresses, ORDER_ADDRESSES), (turn_edits, TURN_EDITS), (source_audiences, SOURCE_AUDIENCES), (user_statuses, USER_STATUSES),
-    (trade_offers, TRADE_OFFERS), (turn_answers, TURN_ANSWERS), (page_bios, PAGE_BIOS))
+    (trade_offers, TRADE_OFFERS), (turn_answers, TURN_ANSWERS), (page_bios, PAGE_BIOS),
+    (own_sites, OWN_SITES), (repair_patches, REPAIR_PATCHES), (federated_accounts, FEDERATED_ACCOUNTS), (filled_contacts, FILLED_CONTACTS))
 QUERIES = {f.__name__: f for f, _ in _PAIRS}
 ORACLES = {f.__name__: s for f, s in _PAIRS}

@@ -115,3 +115,26 @@ def test_criteria(spark):
     assert cursors.shuffle_seed(a) == cursors.shuffle_seed(dict(a)) < 2**32
     t = spark.createDataFrame([("s", "h", 1)], "source string, criteria_hash string, place long")
     assert cursors.reset(t, ["s"]).count() == 0 and cursors.load(t, spark.createDataFrame([("s", "other")], "source string, criteria_hash string")).first().place is None
+
+
+def test_hosted_elsewhere_and_own_site(spark):
+    from sieveline.operators import completion
+
+    cases = [("", True), (None, True), ("https://amzn.to/x", True), ("amzn.to", True), ("http://[bad", False), ("firm.fr/a", False), ("https://shop.firm.fr", False)]
+    df = spark.createDataFrame(cases, "u string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", completion.hosted_elsewhere(F.col("u")).alias("got")).collect())
+    urls = spark.createDataFrame([([None, "", "https://instagram.com/a", "https://amzn.to/x", "https://firm.fr", "https://b.fr"],), (None,), ([],)], "u array<string>")
+    assert [r[0] for r in urls.select(completion.first_own_site(F.col("u"))).collect()] == ["https://firm.fr", None, None]
+
+
+def test_a_record_is_repaired_once(spark):
+    from sieveline.operators import completion
+
+    s = "name string, description string, industry string, tags array<string>, verdict string, engine_down boolean, proposed_name string, proposed_industry string"
+    rows = [("Bakery Paul | bread and cakes since 1950", "", "x", None, "draft", None, None, None), ("Paul", "bread", "x", ["a"], "draft", False, "Paul bread", "Bakery"), ("Paul", "", "x", None, "draft", True, "Paul", None), ("Paul", "", "x", None, None, None, "Paul", None)]
+    once = completion.repaired(spark.createDataFrame(rows, s))
+    got = once.collect()
+    assert (got[0].name, got[0].description, got[0].repaired_fields, got[0].tags) == ("Bakery Paul", "bread and cakes since 1950", ["description", "name"], [completion.REPAIRED])
+    assert (got[1].name, got[1].industry, got[1].tags) == ("Paul bread", "Bakery", ["a", completion.REPAIRED])
+    assert got[2].repaired_fields is None and got[3].repaired_fields is None and got[3].tags is None
+    assert completion.repaired(once.drop("repaired_fields")).where("repaired_fields is not null").count() == 0
