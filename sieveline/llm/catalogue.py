@@ -36,6 +36,5 @@ ORACLES = {
     "op5_source_mixing": mixing.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
-    "op11_licence_scan": licences.op11_licence_scan,
     "op12_vector_codes": vector_codes.SQL,
 }

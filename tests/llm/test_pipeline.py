@@ -124,5 +124,6 @@ def test_queries_registered():
     import __spark_entry__
 
     q = __spark_entry__.queries()
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in q} and "pipeline" in q
-    assert sharding.SQL in __spark_entry__.oracle_sql().values()
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in q} and "pipeline" in q
+    sql = __spark_entry__.oracle_sql()
+    assert sharding.SQL in sql.values() and set(sql) <= set(q) and all(isinstance(x, str) for x in sql.values())
