@@ -56,9 +56,12 @@ def match_phrases(texts: DataFrame, phrases: DataFrame, id_col: str, tokens: Col
     at = t.select("uid", "id", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.slice(F.col("w"), i + 1, most).alias("ahead")))).alias("pos", "x")).select("uid", "id", "pos", "x.word", "x.ahead")
     tried = at.join(_near(firsts, small), "word").select("uid", "id", "pos", F.explode(F.filter("lengths", lambda n: n <= F.size("ahead"))).alias("n"), "ahead")
     grams = tried.select("uid", "id", "pos", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("gram"))
-    hits = grams.join(_near(p.select("gram", "__p"), small), "gram").groupBy("uid", "id", "pos").agg(F.max(F.struct("n", "__p")).alias("h"))
+    hits = grams.join(_near(p.select("gram", "__p"), small), "gram").select("uid", "id", "pos", "n", "__p")
+    # one exchange by text serves all that follows: the longest at each place, chains, and their resolution
+    order = Window.partitionBy("uid").orderBy("pos", F.desc("n"))
+    hits = hits.withColumn("last", F.lag("pos").over(order)).where("last is null or last <> pos").drop("last")
     before = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.select("uid", "id", "pos", "h.n", "h.__p").withColumn("reach", F.max(F.col("pos") + F.col("n")).over(before))
+    hits = hits.withColumn("reach", F.max(F.col("pos") + F.col("n")).over(before))
     chain = F.sum(F.when(F.coalesce(F.col("reach") <= F.col("pos"), F.lit(True)), 1).otherwise(0)).over(Window.partitionBy("uid").orderBy("pos"))
     hits = hits.withColumn("chain", chain)
     per = hits.groupBy("uid", "id", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "__p"))).alias("xs"))
