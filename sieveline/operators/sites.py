@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import dims
 from sieveline.functions.contact import clean_email, host, mailto, page_evidence, raw_emails
 from sieveline.functions.text import html_text
+from sieveline.session import written
 
 
 def on_host(url: Column, domains) -> Column:
@@ -75,11 +76,12 @@ def _contacts(found: DataFrame, key: str, order: list[Column], most_emails: int,
     So a site's row holds its first addresses and phones, however many pages and addresses it has; of
     its other ids and codes it holds each once.
     """
-    group = F.col(key).alias("__g")
-    per = found.groupBy(group).agg(F.bool_or("__found.has_legal").alias("has_legal"), F.count("*").alias("n_pages"), F.min_by("url", F.struct(*order)).alias("first_url"))
+    # what was found is read several times; pages are searched once
+    found = written(found.select(F.col(key).alias("__g"), "url", F.struct(*order).alias("__order"), "__raw", "__found"))
+    per = found.groupBy("__g").agg(F.bool_or("__found.has_legal").alias("has_legal"), F.count("*").alias("n_pages"), F.min_by("url", "__order").alias("first_url"))
     lists = ("phones", "company_ids", "site_ids", "postal_codes")
     said = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
-    items = found.select(group, F.explode(F.concat(said("emails", F.transform("__raw", clean_email)), *[said(c, F.col(f"__found.{c}")) for c in lists])).alias("x"))
+    items = found.select("__g", F.explode(F.concat(said("emails", F.transform("__raw", clean_email)), *[said(c, F.col(f"__found.{c}")) for c in lists])).alias("x"))
     items = items.select("__g", "x.kind", "x.v").where("v is not null").distinct()
     home = per.select(F.col("__g").alias("__h"), F.concat(F.lit("@"), host(F.col("first_url"))).alias("own"))
     items = items.join(home, F.col("__g").eqNullSafe(F.col("__h"))).withColumn("far", F.when((F.col("kind") == "emails") & ~F.coalesce(F.endswith("v", "own"), F.lit(False)), 1).otherwise(0))
