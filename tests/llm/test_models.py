@@ -53,6 +53,67 @@ def test_lm_score_is_brute_force(spark):
     assert abs((10 ** model.log_size - 1).sum() - (model.tokens + model.distinct)) < 1e-3
 
 
+def test_every_word_is_exchanged(spark, monkeypatch):
+    """A word of any rank has its best class; class bigrams and scores are those of all words' classes, texts cut into many batches."""
+    monkeypatch.setattr(brown_lm, "MEMBERS", 20)
+    monkeypatch.setattr(brown_lm, "HEAD", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        model, counts = brown_lm.fit(docs.where("doc_id % 7 <> 2"))
+        table = {r.h % 2**64: r for r in counts.collect()}
+        got = {r.doc_id: r for r in brown_lm.score(docs, model, counts).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    texts = {r.doc_id: textops.words_of([(r.text or "").encode()]) for r in docs.collect()}
+    tokens = {d: list(zip(w.hashes().tolist(), (model.classes + 1 + brown_lm._rare(w)).tolist())) for d, w in texts.items()}
+    train = [x for d, x in tokens.items() if d % 7 != 2]
+    c = collections.Counter(h for x in train for h, _ in x)
+    head = dict(zip(model.head.tolist(), model.head_class.tolist()))
+    assert len(head) == 50 and len(table) > 1000 and {h: r.c for h, r in table.items()} == {h: k for h, k in c.items() if h not in head}
+
+    def bigrams(of):
+        n = np.zeros((model.classes + 1 + brown_lm.RARE,) * 2)
+        for x in train:
+            nodes = [model.classes, *(of(h, rare) for h, rare in x), model.classes]
+            np.add.at(n, (nodes[:-1], nodes[1:]), 1)
+        return n
+
+    n = bigrams(lambda h, rare: head.get(h, rare))
+    before, after = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for x in train:
+        nodes = [model.classes, *(head.get(h, rare) for h, rare in x), model.classes]
+        for i, (h, _) in enumerate(x):
+            before[h][nodes[i]] += 1
+            after[h][nodes[i + 2]] += 1
+    f = lambda x: x * math.log(x) if x else 0.0
+    grown = lambda x, by: f(x + by) - f(x)
+    rows, cols = n.sum(1), n.sum(0)
+    for h, r in table.items():
+        gain = []
+        for k in range(model.classes):
+            added = collections.Counter()
+            for s, x in before[h].items():
+                added[s, k] += x
+            for s, x in after[h].items():
+                added[k, s] += x
+            gain.append(sum(grown(n[cell], x) for cell, x in added.items()) - grown(rows[k], c[h]) - grown(cols[k], c[h]))
+        assert gain[r.cls] > max(gain) - 1e-6
+    own = lambda h, rare: head[h] if h in head else table[h].cls if h in table else rare
+    n = bigrams(own)
+    assert n[model.classes + 1 :].sum() == n[:, model.classes + 1 :].sum() == 0
+    assert np.allclose(model.log_next, np.log10((n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * len(n))))
+    assert abs((10**model.log_size - 1).sum() - (model.tokens + model.distinct)) < 1e-3
+    for d, x in tokens.items():
+        want, last = 0.0, model.classes
+        for h, k in [*((h, own(h, rare)) for h, rare in x), (None, model.classes)]:
+            want += model.log_next[last, k] + math.log10((model.ends if h is None else c[h]) + 1) - model.log_size[k]
+            last = k
+        assert abs(got[d].score - want) < 1e-6 * abs(want)
+        assert (got[d].n_tokens, got[d].n_known) == (len(x) + 1, sum(c[h] > 0 for h, _ in x) + 1)
+
+
 def test_batch_exchange_predicts_better(spark):
     """Classes by choice for words beyond the members beat fixed ones on held-out text."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
