@@ -15,7 +15,7 @@ def _fold_table() -> tuple[str, str]:
     """Latin letters whose decomposition is one ASCII letter and combining marks, by rule."""
     src, dst = [], []
     for code in range(0xC0, 0x250):
-        parts = unicodedata.normalize("NFKD", chr(code))
+        parts = unicodedata.normalize("NFD", chr(code))
         base = "".join(c for c in parts if not unicodedata.combining(c))
         if len(base) == 1 and base.isascii() and base != chr(code):
             src.append(chr(code))

@@ -73,6 +73,15 @@ def test_addresses_end_at_ascii_borders_by_source(spark, tmp_path):
     assert got == want and len(got) >= 7
 
 
+#: letters that are others in another case, and blanks
+ODD = ["foo aroba\u017fe bar dot com", "x\u212ay at bar dot com", "a at b dot \u017fk", "jo\x0bat\x0bfirm dot fr", "f\u017foo at bar dot com", "jo\u017f@firm.fr", "a.b at cd dot com.foo at bar dot fr", "jo\tat\r\nfirm\fdot fr", "PO\u0130NT at firm.fr", "ann at f\u0131rm poınt fr"]
+
+
+def test_odd_letters_of_addresses_by_document(spark, tmp_path):
+    got, want = by_sql("extract_emails", spark, tmp_path, TOUCHING + ODD)
+    assert got == want and len(got) >= 10
+
+
 def test_guessed(spark):
     df = spark.createDataFrame([(0, "contact@boite.fr", "web"), (1, "nina@boite.fr", "web"), (2, "nina@boite.fr", "guess"), (3, None, None)], "i int, e string, s string")
     assert [r[0] for r in df.orderBy("i").select(contact.is_guessed(F.col("e"), F.col("s"))).collect()] == [True, False, True, True]
