@@ -65,6 +65,15 @@ def from_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: iso(c) for c in TIMES}).drop("match_keys")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once a row, however often the body's lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _low(emails: Column) -> Column:
+    return F.transform(emails, lambda e: F.coalesce(F.lower(F.trim(e)), F.lit("")))
+
+
 def add_emails(emails: Column, meta: Column, found: Column, most: int | None = None) -> Column:
     """``struct(emails, meta)`` after adding ``found`` (a list of provenance entries), in order.
 
@@ -72,33 +81,40 @@ def add_emails(emails: Column, meta: Column, found: Column, most: int | None = N
     source, and added where there is none: the first source that found an address keeps the
     credit. ``most`` keeps the first addresses and the entries of those.
     """
-    emails, meta, found = F.coalesce(emails, _none()), clean_meta(meta), clean_meta(found)
-    key = lambda m: norm_email(m["email"])
-    found = F.filter(found, lambda m: key(m) != "")
+    keyed = F.transform(clean_meta(found), lambda m: F.struct(norm_email(m["email"]).alias("k"), m.alias("m")))
+    x = F.struct(F.coalesce(emails, _none()).alias("emails"), clean_meta(meta).alias("meta"), F.filter(keyed, lambda f: f["k"] != "").alias("found"))
+    # found keys have the strict form, so others equal one if they do once trimmed and in lower case
+    named = lambda x: F.filter(x["found"], lambda f: f["m"]["source"] != "")
+    keys = lambda x: F.struct(x["found"]["k"].alias("found"), _low(x["emails"]).alias("own"), _low(x["meta"]["email"]).alias("meta"), named(x).alias("named"), named(x)["k"].alias("named_keys"))
+    return _let(x, lambda x: _let(keys(x), lambda k: _added(x, k, most)))
+
+
+def _added(x: Column, k: Column, most: int | None) -> Column:
+    """The result of ``add_emails`` from its lists ``x`` and their keys ``k``."""
+    place = lambda keys, key: (F.array_position(keys, key) - 1).cast("int")
     # of entries for one address, the first that names a source; if none does, the first
-    first = F.filter(found, lambda m, i: ~F.exists(F.slice(found, 1, i), lambda o: key(o) == key(m)))
-    best = lambda k: F.coalesce(F.try_element_at(F.filter(found, lambda m: (key(m) == k) & (m["source"] != "")), F.lit(1)), F.try_element_at(F.filter(found, lambda m: key(m) == k), F.lit(1)))
-    known = F.transform(meta, lambda m: F.when((m["source"] == "") & F.exists(found, lambda o: key(o) == key(m)), best(key(m))).otherwise(m))
-    fresh = F.filter(first, lambda m: ~F.exists(meta, lambda o: key(o) == key(m)))
-    metas = F.concat(known, F.transform(fresh, lambda m: best(key(m))))
-    own = F.transform(emails, lambda e: norm_email(e))
-    all_ = F.concat(emails, F.transform(F.filter(first, lambda m: ~F.array_contains(own, key(m))), lambda m: F.trim(m["email"])))
-    if most is not None:
-        all_ = F.slice(all_, 1, most)
-        return F.struct(all_.alias("emails"), F.filter(metas, lambda m: F.array_contains(all_, m["email"])).alias("meta"))
-    return F.struct(all_.alias("emails"), metas.alias("meta"))
+    best = lambda key: F.coalesce(F.get(k["named"], place(k["named_keys"], key))["m"], F.get(x["found"], place(k["found"], key))["m"])
+    first = F.filter(x["found"], lambda f, i: place(k["found"], f["k"]) == i)
+    known = F.transform(x["meta"], lambda m, i: F.when((m["source"] == "") & F.array_contains(k["found"], F.get(k["meta"], i)), best(F.get(k["meta"], i))).otherwise(m))
+    fresh = lambda first: F.transform(F.filter(first, lambda f: ~F.array_contains(k["meta"], f["k"])), lambda f: best(f["k"]))
+    more = lambda first: F.transform(F.filter(first, lambda f: ~F.array_contains(k["own"], f["k"])), lambda f: F.trim(f["m"]["email"]))
+    out = _let(first, lambda first: F.struct(F.concat(x["emails"], more(first)).alias("emails"), F.concat(known, fresh(first)).alias("meta")))
+    if most is None:
+        return out
+    cut = lambda o: F.struct(F.slice(o["emails"], 1, most).alias("emails"), o["meta"].alias("meta"))
+    return _let(out, lambda o: _let(cut(o), lambda c: F.struct(c["emails"].alias("emails"), F.filter(c["meta"], lambda m: F.array_contains(c["emails"], m["email"])).alias("meta"))))
 
 
 def email_origin(meta: Column, email: Column) -> Column:
     """The provenance entry of an address, null if unknown."""
-    k = norm_email(email)
-    return F.when(k != "", F.try_element_at(F.filter(F.coalesce(meta, _none(META)), lambda m: norm_email(m["email"]) == k), F.lit(1)))
+    own = lambda k: F.filter(F.coalesce(meta, _none(META)), lambda m: F.lower(F.trim(m["email"])) == k)
+    return _let(norm_email(email), lambda k: F.when(k != "", F.get(own(k), F.lit(0))))
 
 
 def gained(found: Column, known: Column) -> Column:
     """Addresses of ``found`` that are not among ``known``, whatever their case; in order."""
     low = F.transform(F.coalesce(known, _none()), lambda e: F.lower(e))
-    return F.filter(F.coalesce(found, _none()), lambda e: ~F.array_contains(low, F.lower(e)))
+    return _let(low, lambda low: F.filter(F.coalesce(found, _none()), lambda e: ~F.array_contains(low, F.lower(e))))
 
 
 def visited(entities: DataFrame, most_emails: int = 8, most_phones: int = 5) -> DataFrame:

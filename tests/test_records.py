@@ -1,6 +1,7 @@
 """Records, templates, sites, sheets and cursors on small cases."""
 
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -55,6 +56,19 @@ def test_add_emails(spark):
     assert [[(m.email.strip().lower(), m.source) for m in g.meta] for g in got] == [[("a@x.fr", "web"), ("b@x.fr", "bio")], [], [("k@x.fr", "web")], [("a@x.fr", "bio")]]
 
 
+def test_long_lists_of_addresses(spark):
+    """The work of a record does not grow with the cube of its lists: 3,000 addresses found, a third of them known, each found twice."""
+    found = [entry(f"M{i % 3000}@x.fr", "web" if i >= 3000 else "") for i in range(6000)]
+    known = [entry(f"m{i}@x.fr", "file" if i % 2 else "") for i in range(0, 3000, 3)]
+    df = spark.createDataFrame([([k[0] for k in known], known, found)], f"emails array<string>, meta {records.META}, found {records.META}")
+    began = time.time()
+    got = df.select(records.add_emails(F.col("emails"), F.col("meta"), F.col("found")).alias("r"), records.email_origin(F.col("found"), F.lit(" m7@X.fr")).alias("o"), F.size(records.gained(F.col("found.email"), F.col("emails"))).alias("n")).first()
+    assert time.time() - began < 30
+    assert got.r.emails == [k[0] for k in known] + [f"M{i}@x.fr" for i in range(3000) if i % 3]
+    assert [(m.email, m.source) for m in got.r.meta] == [(k[0], "file") if k[1] else (k[0].upper().replace("X.FR", "x.fr"), "web") for k in known] + [(f"M{i}@x.fr", "web") for i in range(3000) if i % 3]
+    assert (got.o.email, got.o.source, got.n) == ("M7@x.fr", "", 4000)
+
+
 def test_json_records(spark):
     texts = ['{"name": "A", "emails_meta": [{"email": "a", "source": "WEB"}, {"source": "x"}], "score": 3.7, "subscribers": "9", "zzz": 1}', "[]", "bad", None, "{}"]
     got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(records.from_json_record(F.col("t")).alias("e")).collect()]
