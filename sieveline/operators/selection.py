@@ -81,16 +81,19 @@ def followup_due(events: DataFrame, as_of: Column, days: int = 5, id_col: str =
 def rolling_count(events: DataFrame, by: list[str], ts: str = "ts", hours: int = 24) -> DataFrame:
     """Adds ``n_window``: events of the group in the ``hours`` up to and including each event.
 
-    Time is cut into buckets of ``hours``; a window holds one bucket of a group and the times of the
-    bucket before it (its halo). So a group of any size is spread over its time, and a task holds what two
-    buckets hold. Rows without a time count those without one.
+    Time is cut into buckets of ``hours``; a window holds one bucket of a group and the times at which the
+    events of the bucket before it leave (its halo). So a group of any size is spread over its time, a task holds what two
+    buckets hold, and one running sum of comings and goings serves all its rows: no frame is counted
+    anew for each event. Rows without a time count those without one.
     """
     wide = hours * 3600 * 1_000_000
     r = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__bucket", F.floor(F.col("__us") / wide))
-    halo = r.where("__us is not null").select(*by, "__us", (F.col("__bucket") + 1).alias("__bucket"), F.lit(True).alias("__halo"))
-    both = r.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    w = Window.partitionBy(*by, "__bucket").orderBy("__us").rangeBetween(-wide, 0)
-    return both.withColumn("n_window", F.count("*").over(w)).where("not __halo").drop("__us", "__bucket", "__halo")
+    halo = r.where("__us is not null").select(*by, (F.col("__us") + wide + 1).alias("__us"), (F.col("__bucket") + 1).alias("__bucket"), F.lit(-1).alias("__step"))
+    both = r.withColumn("__step", F.lit(1)).unionByName(halo, allowMissingColumns=True)
+    bucket = Window.partitionBy(*by, "__bucket")
+    moved = F.sum("__step").over(bucket.orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # all of the halo is there when the bucket begins
+    return both.withColumn("n_window", moved + F.count_if(F.col("__step") < 0).over(bucket)).where("__step > 0").drop("__us", "__bucket", "__step")
 
 
 def running_total(rows: DataFrame, by: list[str], order: list[Column], amount: Column, name: str = "total") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,14 @@ def test_hot_windows_equal_plain_ones(spark):
     assert sorted((r.id, r.slot) for r in cap) == sorted((r.id, r.slot) for r in plain)
 
 
+def test_hot_days_are_counted_in_one_sweep(spark):
+    """Two events a second of one account, for 41 hours: no event counts its whole window anew."""
+    e = spark.range(300_000).select("id", F.lit("hot").alias("u"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 500_000).alias("ts"))
+    began = time.time()
+    assert selection.rolling_count(e, ["u"]).where(F.col("n_window") != F.least(F.col("id") + 1, F.lit(172_801))).count() == 0
+    assert time.time() - began < 30
+
+
 def test_counters_are_taken_in_the_one_pass(spark, tmp_path):
     df = spark.range(100).withColumn("x", F.when(F.col("id") < 90, F.col("id")))
     tagged, seen = selection.observed(df, {"known": F.col("x").isNotNull(), "even": F.col("x") % 2 == 0})
