@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,32 +81,56 @@ EARTH = 6_371_000.0
 
 def distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Metres between two points on the sphere (haversine)."""
-    half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2))
-    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng2 - lng1))))
+    return _arc(lat2 - lat1, lng2 - lng1, F.cos(F.radians(lat1)), F.cos(F.radians(lat2)))
+
+
+def _half(d: Column) -> Column:
+    return F.pow(F.sin(F.radians(d) / 2), F.lit(2))
+
+
+def _arc(lat: Column, lng: Column, cos1: Column, cos2: Column) -> Column:
+    """Metres between points by the differences of their degrees and the cosines of their latitudes."""
+    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), _half(lat) + cos1 * cos2 * _half(lng))))
 
 
 def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs ``(left_id, right_id, metres)`` of points at most ``metres`` apart; both sides have ``id, lat, lng``.
 
-    Bands of latitude as high as the radius are cut into cells at least as wide, a whole number of them
-    round the earth. A right point lies in one cell; a left point looks into the cells that its radius touches, at most
-    nine unless it is near a pole, in an equi-join that adaptive execution can split where one cell is hot. The
-    exact distance decides. Rows with a null or impossible coordinate pair with nothing.
+    Bands of latitude half as high as the radius are cut into cells about as wide, a whole number of them
+    round the earth. A right point lies in one cell; a left point looks into the cells that its circle touches, some
+    22 unless it is near a pole, in a sort-merge equi-join: a task holds one cell's right points, in memory or spilled,
+    and adaptive execution can split a hot cell. Rows with a null or impossible coordinate pair with nothing.
+
+    The chord between points on the unit sphere, three products, decides; only where it is so near the
+    radius that rounding matters does the exact distance. That is worked out once for each pair that is returned.
     """
-    high = metres / METRES * 1.01
+    # degrees of latitude, with more than rounding can take away
+    reach = min(180.0, math.degrees(metres / EARTH) * (1 + 1e-9) + 1e-9)
+    high = max(reach / 2, 1e-7)
     valid = "lat between -90 and 90 and lng between -180 and 180"
-    cells = lambda b: F.greatest(F.lit(1), F.floor(360 / (high / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * high), F.abs((b + 1) * high)))))))))
+    farthest = lambda b: F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * high), F.abs((b + 1) * high)))))
+    cells = lambda b: F.greatest(F.lit(1), F.floor(360 / (high / F.greatest(F.lit(1e-6), farthest(b)))))
     cell = lambda lng, n: F.floor((lng + 180) / (360 / n))
-    band = F.floor(F.col("lat") / high)
-    r = right.where(valid).select(F.col("id").alias("right_id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), band.alias("band"))
-    r = r.withColumn("cell", F.pmod(cell(F.col("lng2"), cells(F.col("band"))), cells(F.col("band"))))
-    l = left.where(valid).select(F.col("id").alias("left_id"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    l = l.withColumn("n", cells(F.col("band")))
-    # near a pole a band has few cells: all of them are looked into, each once
-    around = F.when(F.col("n") <= 3, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(cell(F.col("lng1"), F.col("n")) + d, F.col("n"))))
-    l = l.withColumn("cell", F.explode(around))
-    pairs = l.join(r, ["band", "cell"]).withColumn("metres", distance(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")))
-    return pairs.where(F.col("metres") <= metres).select("left_id", "right_id", "metres")
+    band = lambda lat: F.floor(lat / high)
+    key = F.col("band") * F.lit(2**32) + F.col("cell")
+    phi, lam = F.radians("lat"), F.radians("lng")
+    point = lambda i: [F.col("lat").alias(f"lat{i}"), F.col("lng").alias(f"lng{i}"), F.cos(phi).alias(f"cos{i}"), (F.cos(phi) * F.cos(lam)).alias(f"x{i}"), (F.cos(phi) * F.sin(lam)).alias(f"y{i}"), F.sin(phi).alias(f"z{i}")]
+    r = right.where(valid).withColumn("band", band(F.col("lat"))).withColumn("n", cells(F.col("band"))).withColumn("cell", F.pmod(cell(F.col("lng"), F.col("n")), F.col("n")))
+    r = r.select(F.col("id").alias("right_id"), *point(2), key.alias("key"))
+    l = left.where(valid).withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(-90.0), F.col("lat") - reach)), band(F.least(F.lit(90.0), F.col("lat") + reach)))))
+    # what the band's distance leaves of the radius, as degrees of longitude
+    near = F.greatest(F.lit(0.0), F.col("band") * high - F.col("lat") - 1e-9, F.col("lat") - (F.col("band") + 1) * high - 1e-9)
+    left_over = F.greatest(F.lit(0.0), _half(F.lit(reach)) - _half(near)) / F.greatest(F.lit(1e-30), F.cos(phi) * farthest(F.col("band")))
+    l = l.withColumns({"n": cells(F.col("band")), "wide": F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), left_over)))) * (1 + 1e-9) + 1e-9})
+    l = l.withColumns({"first": cell(F.col("lng") - F.col("wide"), F.col("n")), "last": cell(F.col("lng") + F.col("wide"), F.col("n"))})
+    l = l.withColumn("cell", F.explode(F.when(F.col("last") - F.col("first") + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.sequence("first", "last"))))
+    l = l.withColumn("cell", F.pmod("cell", "n")).select(F.col("id").alias("left_id"), *point(1), key.alias("key"))
+    chord = reduce(lambda a, b: a + b, [(F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"])
+    limit = 2 * math.sin(min(metres / EARTH, math.pi) / 2)
+    surely, may = max(0.0, limit * (1 - 1e-9) - 1e-12) ** 2, (limit * (1 + 1e-9) + 1e-12) ** 2
+    arc = _arc(F.col("lat2") - F.col("lat1"), F.col("lng2") - F.col("lng1"), F.col("cos1"), F.col("cos2"))
+    pairs = l.join(r.hint("merge"), "key").where((chord <= may) & ((chord < surely) | (arc <= metres)))
+    return pairs.select("left_id", "right_id", arc.alias("metres"))
 
 
 def spiral_number(x: Column, y: Column) -> Column:

@@ -81,7 +81,7 @@ _SUPPLIERS, _CUSTOMERS = f"SELECT s_suppkey AS id, {_point_sql('s_suppkey', 7919
 def radius_pairs(spark, sf_dir):
     """Customers within 1.5 km of each supplier."""
     s, c = _points(spark, sf_dir)
-    return lookups.within(s, c, 1500.0).select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("c_custkey"), F.round("metres", 3).alias("metres"))
+    return lookups.within(s, c, 1500.0).select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("c_custkey"), (F.floor(F.col("metres") * 1000 + 0.5) / 1000).alias("metres"))
 
 
 RADIUS_PAIRS = f"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import contact, dims, score
 from sieveline.operators import lookups, selection
+from sieveline.plans.lookup_queries import QUERIES
 
 
 def test_suffix_list_says_what_the_alternation_says(spark):
@@ -66,6 +67,30 @@ def test_radius(spark, lat, lng, spread, radius):
     assert sorted((r.left_id, r.right_id) for r in got) == sorted(want) and want
 
 
+@pytest.mark.parametrize("radius", [0.0, 1.0, 2_000_000.0, 12_000_000.0, 25_000_000.0])
+def test_radius_round_the_earth(spark, radius):
+    """Points from pole to pole, on the date line and on each other."""
+    rng = random.Random(7)
+    a = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(70)] + [(100, 90.0, 0.0), (101, -90.0, 77.0), (102, 0.0, 180.0), (103, 10.0, -180.0), (104, float("nan"), 0.0), (105, 89.999995, -90.0)]
+    b = [(i, *p) for i, *p in a[::2]] + [(200, 90.0, 123.0), (201, 0.0, -180.0), (202, 0.000005, 179.999995), (203, 10.0, 180.0), (204, 1.0, float("nan"))]
+    kind = "id long, lat double, lng double"
+    df = lookups.within(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), radius)
+    got = df.collect()
+    pairs = {(i, j): metres(p, q) for i, *p in a for j, *q in b if not any(math.isnan(x) for x in (*p, *q))}
+    # as far from the radius as two ways of rounding may lie apart
+    sure, may = ({k for k, m in pairs.items() if m <= radius + d} for d in (-1e-3, 1e-3))
+    if radius == 0:
+        sure = {k for k, m in pairs.items() if m == 0}
+    assert len(got) == len({(r.left_id, r.right_id) for r in got}) and sure <= {(r.left_id, r.right_id) for r in got} <= may and len(sure) >= 30
+    assert all(abs(r.metres - pairs[r.left_id, r.right_id]) < 1e-3 for r in got)
+
+
+def test_radius_sends_no_side_to_every_task(spark):
+    """However small the files look, the copies that one side is dealt out in do not go to one machine's memory."""
+    plan = QUERIES["radius_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_spiral_number_is_the_grid_order(spark):
     grid = score.spiral(spark, 1, 121)
     assert grid.select("cell", lookups.spiral_number(F.col("dx"), F.col("dy")).alias("n")).where("cell <> n").count() == 0
